@@ -69,19 +69,19 @@ class Frequencies:
                 .agg(F.grouping_id().alias("gid"), rows)
                 .select(*self.keys, slot.alias("slot"), "cnt")
             )
-        present = [F.col(key).isNotNull() for key in self.keys]
-        self.has_value = reduce(Column.__or__, present)
+        # Rows of a non-null value. One expression over key and count, so that neither a
+        # filter on it moves below the aggregation nor the count is pruned: all readers
+        # keep the same aggregation and share its shuffle.
+        present = reduce(Column.__or__, [F.col(key).isNotNull() for key in self.keys])
+        self.valued = F.when(present, F.col("cnt"))
 
     def distinct(self) -> DataFrame:
         """``slot, row_count, non_null_count, distinct_count``; no row where the table is
         empty."""
-        # testing cnt keeps it in the plan even if only the distinct count is wanted, so
-        # that this and top() read one and the same shuffle
-        value = self.has_value & (F.col("cnt") > 0)
         return self.frame.groupBy("slot").agg(
             F.sum("cnt").alias("row_count"),
-            F.coalesce(F.sum(F.when(value, F.col("cnt"))), F.lit(0)).alias("non_null_count"),
-            F.count_if(value).alias("distinct_count"),
+            F.coalesce(F.sum(self.valued), F.lit(0)).alias("non_null_count"),
+            F.count_if(self.valued > 0).alias("distinct_count"),
         )
 
     def surplus(self) -> DataFrame:
@@ -104,7 +104,12 @@ class Frequencies:
 
         Each task keeps its own k best per column, so only those rows are exchanged.
         """
-        ranked = Window.partitionBy("slot").orderBy(F.desc("cnt"), *self.keys)
+        # maps have no order of their own
+        order = [
+            F.col(key).cast("string") if isinstance(f.dataType, T.MapType) else F.col(key)
+            for key, f in zip(self.keys, self.fields)
+        ]
+        ranked = Window.partitionBy("slot").orderBy(F.desc("cnt"), *order)
         text = F.coalesce(
             *[
                 F.hex(key) if isinstance(f.dataType, T.BinaryType) else F.col(key).cast("string")
@@ -112,7 +117,7 @@ class Frequencies:
             ]
         )
         best = (
-            self.frame.where(self.has_value)
+            self.frame.where(self.valued > 0)
             .withColumn("rank", F.row_number().over(ranked))
             .where(F.col("rank") <= k)
             .select("slot", "rank", text.alias("key"), F.col("cnt").alias("count"))

@@ -1,0 +1,326 @@
+"""Contract runs: order, isolation, empty tables, approval, severity, drift, extension."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import tablecheck as tc
+from conftest import EMAIL, ROWS, STATUSES, contract, run
+
+GOLDEN = [
+    ("min_row_count", {"min_rows": 10}),
+    ("null_check", {"column": "customer_id", "max_null_rate": 0.0}),
+    ("unique_check", {"column": "order_id"}),
+    ("range_check", {"column": "amount", "min_val": 0.0}),
+    ("allowed_values", {"column": "status", "values": STATUSES}),
+    ("regex_match", {"column": "email", "pattern": EMAIL}),
+    ("freshness", {"column": "created_at", "max_days": 365, "as_of": "2026-06-12"}),
+]
+COLUMNS = {
+    "order_id": "Int64", "customer_id": "String", "email": "String", "amount": "Float64",
+    "status": "String", "created_at": "Date", "phone": "String",
+}
+MINIMAL = {
+    "null_check": {"column": "order_id"},
+    "unique_check": {"column": "order_id"},
+    "range_check": {"column": "amount", "min_val": 0.0},
+    "allowed_values": {"column": "status", "values": ["shipped"]},
+    "regex_match": {"column": "email", "pattern": ".*"},
+    "freshness": {"column": "created_at", "max_days": 365},
+    "min_row_count": {"min_rows": 1},
+    "type_conformance": {"column": "amount", "expected_type": "float"},
+}
+
+
+def test_golden_contract(orders):
+    rows = run(orders, *GOLDEN, columns=COLUMNS)
+    assert [(r.rule_id, r.passed, r.violation_rate, r.severity) for r in rows] == [
+        ("min_row_count", True, 0.0, "error"),
+        ("null_check", False, 0.1, "error"),
+        ("unique_check", False, 0.05, "error"),
+        ("range_check", False, 0.05, "error"),
+        ("allowed_values", False, 0.05, "error"),
+        ("regex_match", False, 0.05, "error"),
+        ("freshness", False, 0.05, "warning"),
+    ]
+    assert all(r.error is None for r in rows)
+
+
+def test_results_are_lazy_and_in_contract_order(orders):
+    results = tc.run_contract(orders, contract(*GOLDEN))
+    assert [r.ordinal for r in results.collect()] == list(range(len(GOLDEN)))
+    assert results.columns[:5] == ["ordinal", "rule_id", "column_name", "passed", "violation_rate"]
+
+
+def test_same_rule_twice(orders):
+    rows = run(
+        orders,
+        ("null_check", {"column": "order_id"}),
+        ("unique_check", {"column": "order_id"}),
+        ("null_check", {"column": "customer_id"}),
+        ("unique_check", {"column": "order_id"}),
+    )
+    assert [r.passed for r in rows] == [True, False, False, False]
+    assert [r.column_name for r in rows] == ["order_id", "order_id", "customer_id", "order_id"]
+
+
+def test_bad_rules_do_not_block_others(orders):
+    rows = run(
+        orders,
+        ("null_check", {}),
+        ("unique_check", {"column": "email"}),
+        ("does_not_exist", {}),
+        ("does_not_exist", {}, "warning"),
+        ("null_check", {"column": "nowhere"}),
+    )
+    assert [r.passed for r in rows] == [False, True, False, False, False]
+    assert rows[0].error == "rule 'null_check': missing required param 'column'"
+    assert rows[0].violation_rate is None and rows[0].severity == "error"
+    assert rows[2].error == "rule 'does_not_exist' not found in registry"
+    assert rows[2].severity is None and rows[3].severity == "warning"
+    assert "nowhere" in rows[4].error
+
+
+def test_empty_table(no_orders):
+    rows = {r.rule_id: r for r in run(no_orders, *MINIMAL.items())}
+    assert set(rows) == set(MINIMAL)
+    volume = rows.pop("min_row_count")
+    assert (volume.passed, volume.violation_rate, volume.error) == (False, 1.0, None)
+    for row in rows.values():
+        assert not row.passed and row.violation_rate is None
+        assert row.error == "cannot evaluate: dataset is empty"
+
+
+def test_empty_table_hides_errors_of_the_rule_but_not_of_its_parameters(no_orders):
+    rows = run(
+        no_orders,
+        ("range_check", {"column": "amount"}),
+        ("null_check", {"column": "nowhere"}),
+        ("null_check", {}),
+        ("does_not_exist", {}),
+        ("null_check", {"column": "order_id"}, "warning"),
+    )
+    empty = "cannot evaluate: dataset is empty"
+    assert [r.error == empty for r in rows] == [True, True, False, False, True]
+    assert rows[4].severity == "warning"
+
+
+def test_empty_contract(orders):
+    assert run(orders) == []
+
+
+def test_every_rule_measures_with_minimal_parameters(orders):
+    assert set(MINIMAL) == set(tc.rule_ids())
+    rows = run(orders, *MINIMAL.items())
+    assert [r.rule_id for r in rows] == list(MINIMAL)
+    assert all(r.error is None and r.violation_rate is not None for r in rows)
+
+
+def test_unapproved_contract_is_refused(orders):
+    with pytest.raises(tc.ContractNotApprovedError, match="orders"):
+        run(orders, ("null_check", {"column": "order_id"}), approved_at=None)
+
+
+def test_severity(orders):
+    default, override = run(
+        orders,
+        ("null_check", {"column": "order_id"}),
+        ("null_check", {"column": "order_id"}, "warning"),
+    )
+    assert (default.severity, override.severity) == ("error", "warning")
+
+
+def test_gate(orders):
+    blocking = tc.blocking_failures(tc.run_contract(orders, contract(*GOLDEN)))
+    assert [r.rule_id for r in blocking.orderBy("ordinal").collect()] == [
+        "null_check", "unique_check", "range_check", "allowed_values", "regex_match",
+    ]
+
+
+# --- drift ---
+
+
+def test_drift_names_every_difference(orders):
+    columns = COLUMNS | {"amount": "Int64", "legacy_flag": "String"}
+    del columns["phone"]
+    with pytest.raises(tc.SchemaDriftError) as raised:
+        run(orders, ("null_check", {"column": "order_id"}), columns=columns)
+    message = str(raised.value)
+    assert "column 'legacy_flag' removed; column 'phone' added" in message
+    assert "column 'amount' changed type: Int64 -> double" in message
+    diff = tc.schema_diff(orders, columns).collect()
+    assert [(d.change, d.column_name) for d in diff] == [
+        ("removed", "legacy_flag"), ("added", "phone"), ("changed", "amount"),
+    ]
+
+
+def test_same_family_is_no_drift(orders):
+    columns = COLUMNS | {"order_id": "Int32", "created_at": "Datetime(time_unit='us')"}
+    assert run(orders, ("null_check", {"column": "order_id"}), columns=columns)[0].passed
+    assert tc.schema_diff(orders, columns).count() == 0
+    assert run(orders, ("null_check", {"column": "order_id"}), columns=tc.snapshot(orders))
+
+
+@pytest.mark.parametrize(
+    "names, fam",
+    [
+        (["Int8", "UInt64", "bigint", "smallint", "byte", "integer"], "integer"),
+        (["Float32", "double", "decimal(10,2)", "Decimal(precision=10, scale=2)"], "float"),
+        (["Date", "timestamp_ntz", "interval day to second", "time(6)", "Duration(us)"], "temporal"),
+        (["Boolean", "bool"], "boolean"),
+        (["String", "Utf8", "varchar(10)", "Categorical", "Enum(categories=['a'])"], "string"),
+        (["array<int>"], "array<int>"),
+        (["List(Int64)"], "list(int64)"),
+    ],
+)
+def test_families(names, fam):
+    from tablecheck.functions import family
+
+    assert {family(n) for n in names} == {fam}
+
+
+# --- parameters and catalogue ---
+
+
+@pytest.mark.parametrize(
+    "rule_id, params, errors",
+    [
+        ("null_check", {"column": "x"}, []),
+        ("null_check", {"column": "x", "max_null_rate": 0.05}, []),
+        ("null_check", {"column": "x", "max_null_rate": 1}, []),
+        ("null_check", {"column": "x", "max_null_rate": None}, []),
+        ("null_check", {}, ["missing required param 'column'"]),
+        ("null_check", {"column": None}, ["missing required param 'column'"]),
+        ("regex_match", {}, ["missing required param 'column'", "missing required param 'pattern'"]),
+        ("null_check", {"colunm": "x"}, ["missing required param 'column'", "unknown param 'colunm'"]),
+        ("null_check", {"column": "x", "max_null_rate": "high"},
+         ["param 'max_null_rate' must be float, got str"]),
+        ("null_check", {"column": "x", "max_null_rate": True},
+         ["param 'max_null_rate' must be float, got bool"]),
+        ("allowed_values", {"column": "s", "values": "shipped"},
+         ["param 'values' must be list, got str"]),
+        ("min_row_count", {"min_rows": 1.5}, ["param 'min_rows' must be int, got float"]),
+        ("freshness", {"column": "d", "max_days": 1, "as_of": "soon"},
+         ["param 'as_of' must be date, got str"]),
+        ("freshness", {"column": "d", "max_days": 1, "as_of": "2026-01-01"}, []),
+    ],
+)
+def test_param_errors(rule_id, params, errors):
+    assert tc.param_errors(rule_id, params) == [f"rule '{rule_id}': {e}" for e in errors]
+
+
+def test_catalogue(spark):
+    rows = {r.rule_id: r for r in tc.catalogue(spark).collect()}
+    assert set(rows) == set(MINIMAL)
+    assert rows["freshness"].severity == "warning"
+    required = {p.name: p.required for p in rows["freshness"].parameters}
+    assert required == {"column": True, "max_days": True, "as_of": False}
+    tagged = [r.rule_id for r in tc.catalogue(spark, ["completeness", "volume"]).collect()]
+    assert sorted(tagged) == ["min_row_count", "null_check"]
+    assert tc.catalogue(spark, ["nonsense"]).count() == 0
+    with pytest.raises(KeyError, match="not found in registry"):
+        tc.get_rule("nonexistent")
+
+
+# --- rules of one's own ---
+
+
+@pytest.fixture
+def own_rules():
+    added = []
+
+    def add(rule_id, **spec):
+        added.append(rule_id)
+        spec.setdefault("name", rule_id)
+        spec.setdefault("parameters", {"column": tc.Param("str", required=True)})
+        return tc.register_rule(rule_id, **spec)
+
+    yield add
+    for rule_id in added:
+        tc.unregister_rule(rule_id)
+
+
+def test_registered_rule(orders, own_rules):
+    own_rules(
+        "max_length",
+        parameters={"column": tc.Param("str", required=True), "limit": tc.Param("int", required=True)},
+        build=lambda df, column, limit: F.length(column) > limit,
+        severity="warning",
+    )
+    rows = run(
+        orders,
+        ("max_length", {"column": "status", "limit": 8}),
+        ("null_check", {"column": "order_id"}),
+    )
+    assert (rows[0].violation_count, rows[0].severity) == (9, "warning")  # delivered and cancelled
+    with pytest.raises(ValueError, match="duplicate rule id 'max_length'"):
+        tc.register_rule("max_length", name="again", parameters={}, build=lambda df: F.lit(True))
+
+
+def test_registered_measurements(orders, own_rules):
+    own_rules("surplus", build=lambda df, column: tc.SurplusCheck(column, max_rate=0.5))
+    own_rules("counted", build=lambda df, column: tc.CountCheck(F.count_if(F.col(column) == "shipped")))
+    own_rules(
+        "exact_rows",
+        parameters={"rows": tc.Param("int", required=True)},
+        build=lambda df, rows: tc.TableCheck(
+            lambda n: F.abs(n - rows), lambda n: F.abs(n - rows) / rows
+        ),
+    )
+    rows = run(
+        orders,
+        ("surplus", {"column": "status"}),
+        ("counted", {"column": "status"}),
+        ("exact_rows", {"rows": 25}),
+    )
+    assert [r.violation_count for r in rows] == [15, 6, 5]
+    assert [r.passed for r in rows] == [False, False, False]
+
+
+def test_isolated_rule_that_fails_while_running(orders, own_rules):
+    strict = lambda df, column: F.col(column).cast("int") > 0
+    own_rules("strict_cast", build=strict, isolated=True)
+    own_rules("isolated_surplus", build=lambda df, column: tc.SurplusCheck(column), isolated=True)
+    rows = run(
+        orders,
+        ("strict_cast", {"column": "status"}),
+        ("strict_cast", {"column": "order_id"}),
+        ("isolated_surplus", {"column": "order_id"}),
+        ("null_check", {"column": "order_id"}),
+    )
+    assert "CAST_INVALID_INPUT" in rows[0].error
+    assert [r.violation_count for r in rows[1:]] == [ROWS, 1, 0]
+
+
+def test_rule_that_fails_while_built(orders, own_rules):
+    def build(df, column):
+        raise RuntimeError("no such luck")
+
+    own_rules("broken", build=build)
+    own_rules("mistyped", build=lambda df, column: F.array_size(column) > 0)
+    rows = run(
+        orders, ("broken", {"column": "email"}), ("mistyped", {"column": "email"}),
+        ("unique_check", {"column": "email"}),
+    )
+    assert rows[0].error == "no such luck"
+    assert "DATATYPE_MISMATCH" in rows[1].error
+    assert rows[2].passed
+
+
+# --- the plan ---
+
+
+def plan_of(df, capsys) -> str:
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_row_rules_share_one_scan_and_uniqueness_another(spark, tmp_path, orders, capsys):
+    path = str(tmp_path / "orders")
+    orders.write.parquet(path)
+    df = spark.read.parquet(path)
+    rules = [*GOLDEN, ("unique_check", {"column": "email"}), ("null_check", {"column": "amount"})]
+    plan = plan_of(tc.run_contract(df, contract(*rules)), capsys)
+    assert plan.count("FileScan") == 2
+    assert "phone" not in plan  # no rule mentions it, so no scan reads it
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -44,40 +44,65 @@ def check_pattern(spark: SparkSession, pattern: str) -> None:
     spark.range(1).select(full_match(F.lit(""), pattern)).collect()
 
 
-# The rest is SQL text on a column given as SQL (an alias or a quoted name).
+# The rest is SQL text on a column given as SQL (an alias or a quoted name). A regular
+# expression first decodes its whole text, so each is preceded by a test on the bytes that
+# every match passes and that a long text fails at once.
 
 
-def matches_hint(column: str, pattern: str) -> str:
-    """Full match of one of the fixed patterns above."""
+def is_email(column: str) -> str:
+    return f"contains({column}, '@') AND {_matches(column, EMAIL_PATTERN)}"
+
+
+def is_phone(column: str) -> str:
+    # seven to twenty-one characters of at most four bytes
+    return f"octet_length({column}) BETWEEN 7 AND 84 AND {_matches(column, PHONE_PATTERN)}"
+
+
+def _matches(column: str, pattern: str) -> str:
     return f'{column} RLIKE r"{_whole(pattern)}"'
 
 
+def _starts_like_a_number(column: str) -> str:
+    # signs, the point and the digits lie between + and 9
+    return f"{column} >= '+' AND {column} < ':'"
+
+
 def as_integer(column: str) -> str:
-    return f"CASE WHEN {column} RLIKE r'{_INTEGER_SHAPE}' THEN try_cast({column} AS BIGINT) END"
+    plausible = _starts_like_a_number(column)
+    return (
+        f"CASE WHEN {plausible} AND {column} RLIKE r'{_INTEGER_SHAPE}'"
+        f" THEN try_cast({column} AS BIGINT) END"
+    )
 
 
 def as_float(column: str) -> str:
-    return f"CASE WHEN {column} RLIKE r'{_FLOAT_SHAPE}' THEN try_cast({column} AS DOUBLE) END"
+    # the longest name of a number is "+infinity"
+    plausible = f"({_starts_like_a_number(column)} OR octet_length({column}) <= 9)"
+    return (
+        f"CASE WHEN {plausible} AND {column} RLIKE r'{_FLOAT_SHAPE}'"
+        f" THEN try_cast({column} AS DOUBLE) END"
+    )
 
 
 def dates_read(column: str) -> str:
     """Aggregate: how many texts the best date format reads; a column has one format."""
-    return _best_format(column, "", "DATE")
+    return _best_format(column, f"octet_length({column}) = 10", "", "DATE")
 
 
 def datetimes_read(column: str) -> str:
     """The same for dates with an optional time of day."""
-    return _best_format(column, _TIME_SHAPE, "TIMESTAMP_NTZ")
+    plausible = f"octet_length({column}) BETWEEN 10 AND 29"
+    return _best_format(column, plausible, _TIME_SHAPE, "TIMESTAMP_NTZ")
 
 
-def _best_format(column: str, suffix: str, target: str) -> str:
+def _best_format(column: str, plausible: str, suffix: str, target: str) -> str:
     year_first = f"translate({column}, '/', '-')"
     day_first = (
         f"concat(substr({column}, 7, 4), '-', substr({column}, 4, 2), '-',"
         f" substr({column}, 1, 2), substr({column}, 11))"
     )
     counts = [
-        f"count(CASE WHEN {column} RLIKE r'\\A{shape}{suffix}\\z'"
+        f"count(CASE WHEN {plausible} AND {column} RLIKE r'\\A{shape}{suffix}\\z'"
         f" THEN try_cast({iso} AS {target}) END)"
         for mark in "-/"
         for shape, iso in (

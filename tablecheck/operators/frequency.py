@@ -1,20 +1,21 @@
 """How often each value of each column occurs, and what follows from it.
 
-All columns are counted in one grouping-sets aggregation: one scan and one shuffle for the
-whole group of columns, each keeping its own type. Counting starts in the map tasks, so a
-value that fills a third of the table leaves each task as one row, and long texts travel
-as digests (see :func:`tablecheck.functions.columns.bounded_key`).
+Columns of one type are counted together: one scan of just these columns and one shuffle of
+``(column, value, count)``. Counting starts in the map tasks, so a value that fills a third
+of the table leaves each task as one row, and long texts travel as digests (see
+:func:`tablecheck.functions.columns.bounded_key`).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tablecheck.functions.columns import (
     STRING_KEY_BYTES,
     bounded_key,
+    chunks,
     is_digested,
     quoted,
     row_key,
@@ -24,56 +25,33 @@ from tablecheck.functions.types import is_string
 # Fixed value: how many of the most frequent values a profile shows.
 TOP_VALUES = 5
 
-# Columns per grouping-sets aggregation. Each adds one slot to the group key, so very wide
-# tables are counted in several aggregations.
-COLUMNS_PER_SCAN = 16
-
-
-def chunks(items: list, size: int) -> list[list]:
-    return [items[i : i + size] for i in range(0, len(items), size)]
-
-
-def _fields(df: DataFrame, columns: list[str]) -> list[T.StructField]:
-    by_name = {f.name: f for f in df.schema.fields}
-    return [by_name[c] for c in columns]
+# Columns of one type counted together; more are counted in several scans.
+COLUMNS_PER_SCAN = 40
 
 
 class Frequencies:
-    """Value counts of up to ``COLUMNS_PER_SCAN`` columns, as one lazy DataFrame.
+    """Value counts of some columns of one type, as a lazy DataFrame.
 
-    ``frame`` has one row per column and distinct value (null included): ``slot`` numbers
-    the column, ``k<slot>`` holds the value or its digest, the other keys are null, and
-    ``cnt`` is the number of rows.
+    ``frame`` has one row per column and distinct value (null included): ``slot`` is the
+    number the column was given, ``v`` the value or its digest, ``cnt`` the number of rows.
     """
 
-    def __init__(self, df: DataFrame, columns: list[str]):
+    def __init__(self, df: DataFrame, columns: list[tuple[int, T.StructField]]):
         self.df = df
         self.columns = columns
-        self.fields = _fields(df, columns)
-        self.keys = [f"k{i}" for i in range(len(columns))]
-        keyed = df.select(
-            *[
-                bounded_key(quoted(f.name), f.dataType).alias(key)
-                for key, f in zip(self.keys, self.fields)
-            ]
-        )
-        rows = F.count(F.lit(1)).alias("cnt")
-        width = len(columns)
-        if width == 1:
-            self.frame = keyed.groupBy("k0").agg(F.lit(0).alias("slot"), rows)
+        self.type = columns[0][1].dataType
+        pairs = [
+            (F.lit(slot).alias("slot"), _key(f).alias("v")) for slot, f in columns
+        ]
+        if len(pairs) == 1:
+            values = df.select(*pairs[0])
         else:
-            # grouping_id has one bit per key, the first key highest, clear in its own set
-            slot = F.expr(f"{width} - length(bin({2**width - 1} ^ gid))")
-            self.frame = (
-                keyed.groupingSets([[key] for key in self.keys], *self.keys)
-                .agg(F.grouping_id().alias("gid"), rows)
-                .select(*self.keys, slot.alias("slot"), "cnt")
-            )
-        # Rows of a non-null value. One expression over key and count, so that neither a
+            values = df.select(F.inline(F.array(*[F.struct(*pair) for pair in pairs])))
+        self.frame = values.groupBy("slot", "v").agg(F.count(F.lit(1)).alias("cnt"))
+        # Rows of a non-null value. One expression over value and count, so that neither a
         # filter on it moves below the aggregation nor the count is pruned: all readers
         # keep the same aggregation and share its shuffle.
-        present = reduce(Column.__or__, [F.col(key).isNotNull() for key in self.keys])
-        self.valued = F.when(present, F.col("cnt"))
+        self.valued = F.when(F.col("v").isNotNull(), F.col("cnt"))
 
     def distinct(self) -> DataFrame:
         """``slot, row_count, non_null_count, distinct_count``; no row where the table is
@@ -86,16 +64,13 @@ class Frequencies:
 
     def surplus(self) -> DataFrame:
         """One row, also for an empty table: ``n`` rows and per column the surplus copies
-        ``s0, s1, ...`` (three equal values are two surplus ones; nulls are none)."""
-        here = [F.col("slot") == i for i in range(len(self.keys))]
-        extra = [
-            F.sum(F.when(h & F.col(key).isNotNull(), F.col("cnt") - 1))
-            for h, key in zip(here, self.keys)
-        ]
-        n = F.sum(F.when(here[0], F.col("cnt")))
+        ``s<slot>`` (three equal values are two surplus ones; nulls are none)."""
+        slots = [slot for slot, _ in self.columns]
+        n = F.sum(F.when(F.col("slot") == slots[0], F.col("cnt")))
+        extra = [F.sum(F.when(F.col("slot") == s, self.valued - 1)) for s in slots]
         return self.frame.agg(
             F.coalesce(n, F.lit(0)).alias("n"),
-            *[F.coalesce(e, F.lit(0)).alias(f"s{i}") for i, e in enumerate(extra)],
+            *[F.coalesce(e, F.lit(0)).alias(f"s{s}") for s, e in zip(slots, extra)],
         )
 
     def top(self, k: int) -> DataFrame:
@@ -104,62 +79,74 @@ class Frequencies:
 
         Each task keeps its own k best per column, so only those rows are exchanged.
         """
+        v = F.col("v")
+        text = F.hex(v) if isinstance(self.type, T.BinaryType) else v.cast("string")
         # maps have no order of their own
-        order = [
-            F.col(key).cast("string") if isinstance(f.dataType, T.MapType) else F.col(key)
-            for key, f in zip(self.keys, self.fields)
-        ]
-        ranked = Window.partitionBy("slot").orderBy(F.desc("cnt"), *order)
-        text = F.coalesce(
-            *[
-                F.hex(key) if isinstance(f.dataType, T.BinaryType) else F.col(key).cast("string")
-                for key, f in zip(self.keys, self.fields)
-            ]
-        )
+        order = text if isinstance(self.type, T.MapType) else v
+        ranked = Window.partitionBy("slot").orderBy(F.desc("cnt"), order)
         best = (
             self.frame.where(self.valued > 0)
             .withColumn("rank", F.row_number().over(ranked))
             .where(F.col("rank") <= k)
             .select("slot", "rank", text.alias("key"), F.col("cnt").alias("count"))
         )
-        texts = [(i, f) for i, f in enumerate(self.fields) if is_string(f.dataType)]
-        if not texts:
+        if not is_string(self.type):
             return best.withColumnRenamed("key", "value")
 
         # The whole text behind a digest: read the text columns again and keep the values
-        # that made the list. Both broadcast sides have at most k rows per column.
+        # that made the list. The broadcast keys are at most k per column, of fixed size; the
+        # texts found are as few, but of any length, so they are joined without a hint.
         pairs = [
-            F.struct(F.lit(i).alias("slot"), quoted(f.name).cast("string").alias("value"))
-            for i, f in texts
+            F.struct(F.lit(slot).alias("slot"), quoted(f.name).alias("value"))
+            for slot, f in self.columns
         ]
         long_values = (
             self.df.select(F.inline(F.array(*pairs)))
-            .where(is_digested(F.col("value"), T.StringType()))
-            .withColumn("key", F.sha2("value", 256))
+            .where(is_digested(F.col("value"), self.type))
+            .withColumn("key", bounded_key(F.col("value"), self.type))
         )
-        wanted = best.where(F.octet_length("key") == STRING_KEY_BYTES).select("slot", "key")
+        wanted = best.where(is_digested(F.col("key"), self.type)).select("slot", "key")
         found = long_values.join(F.broadcast(wanted), ["slot", "key"], "left_semi").distinct()
-        return best.join(F.broadcast(found), ["slot", "key"], "left").select(
+        return best.join(found, ["slot", "key"], "left").select(
             "slot", "rank", F.coalesce("value", "key").alias("value"), "count"
         )
 
-    def named(self, frame: DataFrame) -> DataFrame:
-        """Put ``column_name`` in the place of ``slot``."""
-        names = F.array(*[F.lit(c) for c in self.columns])
-        return frame.withColumn("slot", names[F.col("slot")]).withColumnRenamed(
-            "slot", "column_name"
-        )
+
+def _key(f: T.StructField):
+    key = bounded_key(quoted(f.name), f.dataType)
+    kind = _kind(f.dataType)
+    return key if f.dataType.simpleString() == kind else key.cast(kind)
+
+
+def _kind(data_type: T.DataType) -> str:
+    """The type under which a column is counted: integers of any width meet in one."""
+    if isinstance(data_type, T.IntegralType):
+        return "bigint"
+    return "string" if is_string(data_type) else data_type.simpleString()
 
 
 def frequencies(df: DataFrame, columns: list[str] | None = None) -> list[Frequencies]:
-    """Value counts of the given columns (default all), in groups of one scan each."""
-    return [Frequencies(df, group) for group in chunks(columns or df.columns, COLUMNS_PER_SCAN)]
+    """Value counts of the given columns (default all), slots numbering them as given."""
+    by_name = {f.name: f for f in df.schema.fields}
+    kinds: dict[str, list] = {}
+    for slot, name in enumerate(columns or df.columns):
+        kinds.setdefault(_kind(by_name[name].dataType), []).append((slot, by_name[name]))
+    return [
+        Frequencies(df, group) for same in kinds.values() for group in chunks(same, COLUMNS_PER_SCAN)
+    ]
+
+
+def _named(parts: list[DataFrame], names: list[str]) -> DataFrame:
+    """Stack the parts, with ``column_name`` in the place of ``slot``."""
+    name = F.array(*[F.lit(c) for c in names])[F.col("slot")]
+    stacked = reduce(DataFrame.union, parts)
+    return stacked.withColumn("slot", name).withColumnRenamed("slot", "column_name")
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column_name, row_count, non_null_count, distinct_count`` per column, exact."""
-    parts = [counted.named(counted.distinct()) for counted in frequencies(df, columns)]
-    return reduce(DataFrame.union, parts)
+    parts = [counted.distinct() for counted in frequencies(df, columns)]
+    return _named(parts, columns or df.columns)
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
@@ -167,8 +154,8 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VAL
     most frequent first; values equally frequent come in ascending order, long texts in
     the order of their digests.
     """
-    parts = [counted.named(counted.top(k)) for counted in frequencies(df, columns)]
-    return reduce(DataFrame.union, parts)
+    parts = [counted.top(k) for counted in frequencies(df, columns)]
+    return _named(parts, columns or df.columns)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

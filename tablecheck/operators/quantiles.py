@@ -8,12 +8,17 @@ tasks, so neither a hot value nor a skewed distribution makes a large group anyw
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablecheck.functions.columns import quoted
+from tablecheck.functions.columns import chunks, quoted
 
 QUARTILES = (0.25, 0.5, 0.75)
 
+# Columns narrowed together; more are done in several groups.
+COLUMNS_PER_SCAN = 40
+
 # First step: buckets of equal ratio, SLICES per power of two. Doubles span the powers
 # -1074 .. 1023, so there are at most about 69,000 buckets per column.
 SLICES = 16
@@ -63,10 +68,17 @@ def order_statistics(
     quantile the non-null value whose 0-based rank is ``q * (n - 1)`` rounded half up, as
     double. Columns without non-null values have no rows. NaN ranks above every number.
     """
+    groups = chunks(list(enumerate(columns)), COLUMNS_PER_SCAN)
+    return reduce(DataFrame.union, [_narrowed(df, group, quantiles) for group in groups])
+
+
+def _narrowed(
+    df: DataFrame, columns: list[tuple[int, str]], quantiles: tuple[float, ...]
+) -> DataFrame:
     # one narrow row per value; the scan reads the numeric columns only
     pairs = [
         F.struct(F.lit(i).alias("slot"), quoted(c).cast("double").alias("v"))
-        for i, c in enumerate(columns)
+        for i, c in columns
     ]
     values = df.select(F.inline(F.array(*pairs))).where(F.col("v").isNotNull())
     tally = [F.count(F.lit(1)).alias("cnt"), F.min("v").alias("lo"), F.max("v").alias("hi")]

@@ -1,9 +1,9 @@
 """Run an approved contract on a DataFrame: one result row per rule.
 
 Everything that can be decided from the schema is decided before the plan is built. What is
-left becomes two aggregations: all row-level and table-level rules in one pass over the
-columns they mention, and all uniqueness rules in one grouping-sets pass over theirs. The
-result is lazy; nothing reads data until an action on it.
+left becomes few aggregations: all row-level and table-level rules in one pass over the
+columns they mention, and all uniqueness rules in one pass per type of column. The result
+is lazy; nothing reads data until an action on it.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablecheck.operators.frequency import COLUMNS_PER_SCAN, Frequencies, chunks
+from tablecheck.functions.columns import chunks
+from tablecheck.operators.frequency import frequencies
 from tablecheck.operators.rules import (
+    CountCheck,
     Measurement,
-    Rule,
+    RowCheck,
     SurplusCheck,
     TableCheck,
     get_rule,
@@ -24,19 +26,10 @@ from tablecheck.operators.rules import (
 )
 from tablecheck.operators.schema import check_drift
 
-RESULT_TYPES = {
-    "ordinal": "int",
-    "rule_id": "string",
-    "column_name": "string",
-    "passed": "boolean",
-    "violation_rate": "double",
-    "violation_count": "bigint",
-    "row_count": "bigint",
-    "error": "string",
-    "severity": "string",
-}
-RESULT_SCHEMA = ", ".join(f"{name} {type_}" for name, type_ in RESULT_TYPES.items())
-_RESULT_STRUCT = "struct<" + RESULT_SCHEMA + ">"
+RESULT_SCHEMA = (
+    "ordinal int, rule_id string, column_name string, passed boolean, violation_rate double,"
+    " violation_count bigint, row_count bigint, error string, severity string"
+)
 
 EMPTY_TABLE = "cannot evaluate: dataset is empty"
 
@@ -48,79 +41,75 @@ class ContractNotApprovedError(ValueError):
     """The contract has no ``approved_at``; none of its rules may run."""
 
 
+# What the parts of a run deliver per rule: its constants, and what was counted. A rule
+# without a row count was rejected before any data was read.
+_COUNTED = (
+    "struct<ordinal:int,rule_id:string,column_name:string,severity:string,error:string,"
+    "table_level:boolean,max_rate:double,row_count:bigint,violation_count:bigint,"
+    "table_rate:double>"
+)
+_ON_EMPTY = f"CASE WHEN row_count = 0 AND NOT table_level THEN '{EMPTY_TABLE}' ELSE error END"
+_RATE = (
+    "CASE WHEN error IS NULL THEN"
+    " coalesce(table_rate, CASE WHEN row_count > 0 THEN violation_count / row_count END) END"
+)
+
+
 class _Entry:
-    """One rule of the contract: its result fields, and a measurement or an error."""
+    """One rule of the contract: its constants, and a measurement or an error."""
 
-    def __init__(self, ordinal: int, spec: dict[str, Any]):
+    def __init__(self, ordinal: int, spec: dict[str, Any], df: DataFrame):
         self.ordinal = ordinal
         self.rule_id: str = spec["rule_id"]
         self.params: dict[str, Any] = spec.get("params") or {}
         self.severity: str | None = spec.get("severity")
-        self.rule: Rule | None = None
         self.measurement: Measurement | None = None
         self.error: str | None = None
         # an invalid entry is wrong on any table; other errors give way to "empty table"
         self.invalid = False
-
-    def prepare(self, df: DataFrame) -> "_Entry":
         try:
             self.rule = get_rule(self.rule_id)
         except KeyError as exc:
-            return self._reject(exc.args[0])
+            self.error, self.invalid = exc.args[0], True
+            return
         self.severity = self.severity or self.rule.severity
         wrong = param_errors(self.rule_id, self.params)
         if wrong:
-            return self._reject("; ".join(wrong))
+            self.error, self.invalid = "; ".join(wrong), True
+            return
         try:
             self.measurement = self.rule.measure(df, self.params)
-            if not isinstance(self.measurement, (SurplusCheck, TableCheck)):
-                df.agg(self.measurement.count).schema  # forces analysis, runs no job
         except Exception as exc:  # whatever one rule raises must not stop the others
-            self.measurement, self.error = None, str(exc)
-        return self
-
-    def _reject(self, error: str) -> "_Entry":
-        self.error, self.invalid = error, True
-        return self
-
-    def _row(self, **values: Any) -> Column:
-        values |= {
-            "ordinal": self.ordinal,
-            "rule_id": self.rule_id,
-            "column_name": self.params.get("column"),
-            "severity": self.severity,
-        }
-        fields = [_as_column(values.get(name)) for name in RESULT_TYPES]
-        return F.struct(*fields).cast(_RESULT_STRUCT)
-
-    def rejected(self) -> Column:
-        return self._row(passed=False, error=self.error)
-
-    def failed(self, n: Column) -> Column:
-        error = F.when(self._not_on(n), EMPTY_TABLE).otherwise(self.error)
-        return self._row(passed=False, row_count=n, error=error)
-
-    def measured(self, n: Column, count: Column) -> Column:
-        """The result once the row count and the violation count are known."""
-        if isinstance(self.measurement, TableCheck):
-            rate = self.measurement.rate(n)
-        else:
-            rate = F.when(n > 0, count / n)
-        skipped = self._not_on(n)
-        return self._row(
-            passed=~skipped & F.coalesce(rate <= self.measurement.max_rate, F.lit(False)),
-            violation_rate=F.when(~skipped, rate),
-            violation_count=F.when(~skipped, count),
-            row_count=n,
-            error=F.when(skipped, EMPTY_TABLE),
-        )
+            self.error = str(exc)
 
-    def _not_on(self, n: Column) -> Column:
-        return F.lit(False) if self.rule.is_table_level else n == 0
+    @property
+    def is_counted(self) -> bool:
+        """Whether the violations are an aggregate of their own over the rows."""
+        return isinstance(self.measurement, (RowCheck, CountCheck))
 
+    def analyse(self, df: DataFrame) -> None:
+        """Turn an expression that Spark rejects into an error; runs no job."""
+        try:
+            df.agg(self.measurement.count).schema
+        except Exception as exc:
+            self.measurement, self.error = None, str(exc)
 
-def _as_column(value: Any) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
+    def row(self, n: Column | None = None, count: Column | None = None) -> Column:
+        table_level = isinstance(self.measurement, TableCheck)
+        values = [
+            self.ordinal,
+            self.rule_id,
+            self.params.get("column"),
+            self.severity,
+            self.error,
+            not self.invalid and self.rule.is_table_level,
+            self.measurement.max_rate if self.measurement else None,
+            n,
+            self.measurement.count(n) if table_level else count,
+            self.measurement.rate(n) if table_level else None,
+        ]
+        cells = [v if isinstance(v, Column) else F.lit(v) for v in values]
+        return F.struct(*cells).cast(_COUNTED)
 
 
 def require_approval(contract: dict[str, Any]) -> None:
@@ -142,7 +131,10 @@ def run_contract(df: DataFrame, contract: dict[str, Any]) -> DataFrame:
     """
     require_approval(contract)
     check_drift(df, contract.get("columns"), contract.get("dataset"))
-    entries = [_Entry(i, spec).prepare(df) for i, spec in enumerate(contract["rules"])]
+    entries = [_Entry(i, spec, df) for i, spec in enumerate(contract["rules"])]
+    if not entries:
+        return df.sparkSession.createDataFrame([], RESULT_SCHEMA)
+    _analyse(df, [e for e in entries if e.is_counted])
 
     rejected = [e for e in entries if e.invalid]
     isolated = [e for e in entries if e.measurement is not None and e.rule.isolated]
@@ -152,13 +144,39 @@ def run_contract(df: DataFrame, contract: dict[str, Any]) -> DataFrame:
 
     parts = [_counted_rows(df, group) for group in chunks(counted, RULES_PER_SCAN)]
     parts += _surplus_rows(df, surplus)
-    parts += [_isolated_row(df, e) for e in isolated]
-    if rejected:
-        parts.append(_literal_rows(df.sparkSession, [e.rejected() for e in rejected]))
-    if not parts:
-        return df.sparkSession.createDataFrame([], RESULT_SCHEMA)
+    literal = [e.row() for e in rejected] + [_isolated_row(df, e) for e in isolated]
+    if literal:
+        parts.append(df.sparkSession.range(1).select(F.inline(F.array(*literal))))
+    return _results(reduce(DataFrame.union, parts))
+
+
+def _results(counted: DataFrame) -> DataFrame:
+    results = (
+        counted.withColumn("error", F.expr(_ON_EMPTY))
+        .withColumn("violation_rate", F.expr(_RATE))
+        .select(
+            "ordinal",
+            "rule_id",
+            "column_name",
+            F.expr("coalesce(violation_rate <= max_rate, false)").alias("passed"),
+            "violation_rate",
+            F.expr("CASE WHEN error IS NULL THEN violation_count END").alias("violation_count"),
+            "row_count",
+            "error",
+            "severity",
+        )
+    )
     # every part is a handful of rows behind its own aggregation, so one task orders them
-    return reduce(DataFrame.union, parts).coalesce(1).orderBy("ordinal")
+    return results.coalesce(1).orderBy("ordinal")
+
+
+def _analyse(df: DataFrame, entries: list[_Entry]) -> None:
+    """Find the rules whose expressions Spark rejects: all at once, singly if any is."""
+    try:
+        df.agg(F.count(F.lit(1)), *[e.measurement.count for e in entries]).schema
+    except Exception:
+        for e in entries:
+            e.analyse(df)
 
 
 def _counted_rows(df: DataFrame, entries: list[_Entry]) -> DataFrame:
@@ -166,53 +184,41 @@ def _counted_rows(df: DataFrame, entries: list[_Entry]) -> DataFrame:
     n = F.col("n")
     counts, rows = [F.count(F.lit(1)).alias("n")], []
     for e in entries:
-        if e.measurement is None:
-            rows.append(e.failed(n))
-        elif isinstance(e.measurement, TableCheck):
-            rows.append(e.measured(n, e.measurement.count(n)))
-        else:
-            name = f"v{e.ordinal}"
+        name = f"v{e.ordinal}"
+        if e.is_counted:
             counts.append(e.measurement.count.alias(name))
-            rows.append(e.measured(n, F.col(name)))
+        rows.append(e.row(n, F.col(name) if e.is_counted else None))
     return df.agg(*counts).select(F.inline(F.array(*rows)))
 
 
 def _surplus_rows(df: DataFrame, entries: list[_Entry]) -> list[DataFrame]:
-    """All uniqueness rules, one grouping-sets aggregation per group of columns."""
+    """All uniqueness rules, one aggregation per type of column."""
     columns = list(dict.fromkeys(e.measurement.column for e in entries))
     parts = []
-    for group in chunks(columns, COLUMNS_PER_SCAN):
-        totals = Frequencies(df, group).surplus()
+    for counted in frequencies(df, columns) if columns else []:
+        slots = {f.name: slot for slot, f in counted.columns}
         rows = [
-            e.measured(F.col("n"), F.col(f"s{group.index(e.measurement.column)}"))
+            e.row(F.col("n"), F.col(f"s{slots[e.measurement.column]}"))
             for e in entries
-            if e.measurement.column in group
+            if e.measurement.column in slots
         ]
-        parts.append(totals.select(F.inline(F.array(*rows))))
+        parts.append(counted.surplus().select(F.inline(F.array(*rows))))
     return parts
 
 
-def _isolated_row(df: DataFrame, entry: _Entry) -> DataFrame:
+def _isolated_row(df: DataFrame, entry: _Entry) -> Column:
     """Measure one rule in a job of its own, now, so that its failure stays its own."""
     try:
         if isinstance(entry.measurement, SurplusCheck):
-            totals = Frequencies(df, [entry.measurement.column]).surplus()
+            n, count = frequencies(df, [entry.measurement.column])[0].surplus().first()
         elif isinstance(entry.measurement, TableCheck):
-            totals = df.agg(F.count(F.lit(1)).alias("n")).withColumn(
-                "s0", entry.measurement.count(F.col("n"))
-            )
+            n, count = df.count(), None
         else:
-            totals = df.agg(F.count(F.lit(1)).alias("n"), entry.measurement.count.alias("s0"))
-        n, count = totals.first()
-        row = entry.measured(F.lit(n), F.lit(count))
+            n, count = df.agg(F.count(F.lit(1)), entry.measurement.count).first()
+        return entry.row(F.lit(n), F.lit(count))
     except Exception as exc:  # the rule's own failure, reported as its error
-        entry.error = str(exc)
-        row = entry.rejected()
-    return _literal_rows(df.sparkSession, [row])
-
-
-def _literal_rows(spark: SparkSession, rows: list[Column]) -> DataFrame:
-    return spark.range(1).select(F.inline(F.array(*rows)))
+        entry.measurement, entry.error = None, str(exc)
+        return entry.row()
 
 
 def blocking_failures(results: DataFrame) -> DataFrame:

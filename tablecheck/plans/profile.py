@@ -1,10 +1,10 @@
 """Profile a table: what each column holds, as DataFrames.
 
-The exact profile reads the table in a fixed number of passes, whatever the number of
-columns up to the chunk sizes below: one aggregation for everything a single pass can tell,
-one grouping-sets aggregation for distinct counts and top values, and the interval
-narrowing of :mod:`tablecheck.operators.quantiles` for the quartiles. ``approx=True`` does
-it all in the first pass, with sketches and without any shuffle of values.
+The exact profile reads each column in a fixed number of passes: one aggregation for
+everything a single pass can tell, one counting of values per column type for distinct
+counts and top values, and the interval narrowing of
+:mod:`tablecheck.operators.quantiles` for the quartiles. ``approx=True`` does it all in the
+first pass, with sketches and without any shuffle of values.
 """
 
 from __future__ import annotations
@@ -17,12 +17,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablecheck.functions import text
-from tablecheck.functions.columns import quoted
+from tablecheck.functions.columns import chunks, quoted
 from tablecheck.functions.types import is_fractional, is_numeric, is_string, is_temporal
 from tablecheck.operators.frequency import (
     TOP_VALUES,
-    Frequencies,
-    chunks,
     duplicate_rows,
     frequencies,
 )
@@ -33,8 +31,9 @@ from tablecheck.operators.schema import fingerprint
 # Columns per aggregation, to keep the generated code small.
 PROFILED_PER_SCAN = 40
 
-# Relative standard deviation of the approximate distinct count, and the rank accuracy
-# (1/n) of the approximate quartiles.
+# Sizes of the sketches: 2**n buckets for distinct counts, which gives APPROX_RSD as their
+# relative standard deviation, and a rank accuracy of 1/n for the quartiles.
+APPROX_LOG_BUCKETS = 12
 APPROX_RSD = 0.02
 APPROX_ACCURACY = 10_000
 
@@ -146,14 +145,19 @@ def profile_columns(
         [(i, f.name, f.dataType.simpleString(), _fixed_hint(f)) for i, f in enumerate(fields)],
         "ordinal int, name string, dtype string, fixed_hint string",
     )
-    # every frame joined here has at most one row per column of the profiled table
-    parts = [_scan(df, approx=approx, stats=True, tests=hints is None)]
+    parts = [described, _scan(df, approx=approx, stats=True, tests=hints is None)]
     if hints is not None:
         parts.append(_scan(hints, approx=approx, stats=False, tests=True))
     if not approx:
         parts += _exact_parts(df)
-    base = reduce(lambda a, b: a.join(F.broadcast(b), "ordinal", "left"), parts, described)
-    return _report(base).coalesce(1).orderBy("ordinal")
+    # Every part has at most one row per column of the table and fills fields of its own, so
+    # stacking and merging them needs no join and no assumption on how long a value is.
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    fields_of = [name for name in stacked.columns if name != "ordinal"]
+    merged = stacked.groupBy("ordinal").agg(
+        *[F.expr(f"first({name}, true) AS {name}") for name in fields_of]
+    )
+    return _report(merged).coalesce(1).orderBy("ordinal")
 
 
 def _hint_frame(df: DataFrame, rows: int | None) -> DataFrame | None:
@@ -166,27 +170,24 @@ def _hint_frame(df: DataFrame, rows: int | None) -> DataFrame | None:
 
 def _exact_parts(df: DataFrame) -> list[DataFrame]:
     """What needs more than one pass: distinct counts and top values, and quartiles."""
-    counted = [_counted(group, df.columns.index(group.columns[0])) for group in frequencies(df)]
-    parts = [reduce(DataFrame.union, counted)]
+    parts = []
+    for counted in frequencies(df):
+        tops = counted.top(TOP_VALUES).groupBy("slot").agg(_listed().alias("top_values"))
+        for part in (counted.distinct().select("slot", "distinct_count"), tops):
+            parts.append(part.withColumnRenamed("slot", "ordinal"))
     positions = [i for i, f in enumerate(df.schema.fields) if is_numeric(f.dataType)]
     if positions:
-        found = quartiles(df, [df.columns[i] for i in positions])
         ordinals = F.array(*[F.lit(i) for i in positions])
-        parts.append(found.withColumn("slot", ordinals[F.col("slot")]).withColumnRenamed("slot", "ordinal"))
+        found = quartiles(df, [df.columns[i] for i in positions])
+        slot = ordinals[F.col("slot")]
+        parts.append(found.withColumn("slot", slot).withColumnRenamed("slot", "ordinal"))
     return parts
 
 
-def _counted(group: Frequencies, offset: int) -> DataFrame:
-    listed = F.expr(
-        "transform(sort_array(collect_list(struct(rank, value, count))),"
-        " t -> struct(t.value, t.count))"
-    )
-    tops = group.top(TOP_VALUES).groupBy("slot").agg(listed.cast(_TOP_TYPE).alias("top_values"))
-    return (
-        group.distinct()
-        .join(F.broadcast(tops), "slot", "left")
-        .select((F.col("slot") + offset).alias("ordinal"), "distinct_count", "top_values")
-    )
+def _listed() -> Column:
+    """Aggregate: the ranked values as an array."""
+    ranked = "sort_array(collect_list(struct(rank, value, count)))"
+    return F.expr(f"transform({ranked}, t -> struct(t.value, t.count))").cast(_TOP_TYPE)
 
 
 def _scan(df: DataFrame, *, approx: bool, stats: bool, tests: bool) -> DataFrame:
@@ -253,7 +254,8 @@ def _one_pass(i: int, f: T.StructField, approx: bool) -> dict[str, str]:
     elif is_temporal(f.dataType):
         stats |= {"min": f"min({c})", "max": f"max({c})"}
     if approx and _is_sketchable(f.dataType):
-        distinct = f"approx_count_distinct({c}, {APPROX_RSD}D)"
+        hashed = f"CASE WHEN {c} IS NOT NULL THEN xxhash64({c}) END"
+        distinct = f"hll_sketch_estimate(hll_sketch_agg({hashed}, {APPROX_LOG_BUCKETS}))"
         stats["distinct_count"] = f"least({distinct}, count({c}))"
         stats["top_values"] = f"approx_top_k({c}, {TOP_VALUES})"
     return stats
@@ -272,9 +274,9 @@ def _value_tests(i: int, f: T.StructField) -> dict[str, str]:
     c = f"c{i}"
     return {
         "values_seen": f"count({c})",
-        "email": f"count_if({text.matches_hint(c, text.EMAIL_PATTERN)})",
+        "email": f"count_if({text.is_email(c)})",
         "date": text.dates_read(c),
-        "phone": f"count_if({text.matches_hint(c, text.PHONE_PATTERN)})",
+        "phone": f"count_if({text.is_phone(c)})",
         "int": f"count({text.as_integer(c)})",
         "float": f"count({text.as_float(c)})",
     }

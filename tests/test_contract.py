@@ -314,13 +314,13 @@ def plan_of(df, capsys) -> str:
     return capsys.readouterr().out
 
 
-def test_row_rules_share_one_scan_and_uniqueness_another(spark, tmp_path, orders, capsys):
+def test_row_rules_share_one_scan_and_unique_columns_of_a_type_another(spark, tmp_path, orders, capsys):
     path = str(tmp_path / "orders")
     orders.write.parquet(path)
     df = spark.read.parquet(path)
-    rules = [*GOLDEN, ("unique_check", {"column": "email"}), ("null_check", {"column": "amount"})]
-    plan = plan_of(tc.run_contract(df, contract(*rules)), capsys)
-    assert plan.count("FileScan") == 2
+    texts = [("unique_check", {"column": c}) for c in ("email", "status")]
+    plan = plan_of(tc.run_contract(df, contract(*GOLDEN, *texts)), capsys)
+    assert plan.count("FileScan") == 3  # all row rules, unique numbers, unique texts
     assert "phone" not in plan  # no rule mentions it, so no scan reads it
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 2

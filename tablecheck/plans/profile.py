@@ -4,7 +4,8 @@ The exact profile reads each column in a fixed number of passes: one aggregation
 everything a single pass can tell, one counting of values per column type for distinct
 counts and top values, and the interval narrowing of
 :mod:`tablecheck.operators.quantiles` for the quartiles. ``approx=True`` does it all in the
-first pass, with sketches and without any shuffle of values.
+first pass, with sketches and without any shuffle of values; its top values show texts of
+64 bytes or more by their SHA-256.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablecheck.functions import text
-from tablecheck.functions.columns import chunks, quoted
+from tablecheck.functions.columns import STRING_KEY_BYTES, chunks, quoted
 from tablecheck.functions.types import is_fractional, is_numeric, is_string, is_temporal
 from tablecheck.operators.frequency import (
     TOP_VALUES,
@@ -32,10 +33,12 @@ from tablecheck.operators.schema import fingerprint
 PROFILED_PER_SCAN = 40
 
 # Sizes of the sketches: 2**n buckets for distinct counts, which gives APPROX_RSD as their
-# relative standard deviation, and a rank accuracy of 1/n for the quartiles.
+# relative standard deviation; a rank accuracy of 1/n for the quartiles; and the values
+# tracked for the most frequent ones.
 APPROX_LOG_BUCKETS = 12
 APPROX_RSD = 0.02
-APPROX_ACCURACY = 10_000
+APPROX_ACCURACY = 1000
+APPROX_TRACKED = 1000
 
 _TOP_TYPE = "array<struct<value:string,count:bigint>>"
 
@@ -257,7 +260,10 @@ def _one_pass(i: int, f: T.StructField, approx: bool) -> dict[str, str]:
         hashed = f"CASE WHEN {c} IS NOT NULL THEN xxhash64({c}) END"
         distinct = f"hll_sketch_estimate(hll_sketch_agg({hashed}, {APPROX_LOG_BUCKETS}))"
         stats["distinct_count"] = f"least({distinct}, count({c}))"
-        stats["top_values"] = f"approx_top_k({c}, {TOP_VALUES})"
+        # long texts by their digests, so that no sketch holds more than short ones
+        key = f"CASE WHEN octet_length({c}) < {STRING_KEY_BYTES} THEN {c} ELSE sha2({c}, 256) END"
+        tracked = key if is_string(f.dataType) else c
+        stats["top_values"] = f"approx_top_k({tracked}, {TOP_VALUES}, {APPROX_TRACKED})"
     return stats
 
 

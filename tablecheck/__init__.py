@@ -42,5 +42,6 @@ from tablecheck.plans.score import expected_issues, issue_status, score
 from tablecheck.plans.suggest import draft_contract, suggest_rules
 from tablecheck.sources.files import load_csv, load_parquet, load_table
 from tablecheck.sources.jdbc import estimate_row_count, load_jdbc, load_profiling
+from tablecheck.sources.tables import estimate_table_rows, load_table_profiling
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -99,7 +99,7 @@ class _Entry:
         values = [
             self.ordinal,
             self.rule_id,
-            self.params.get("column"),
+            _text(self.params.get("column")),
             self.severity,
             self.error,
             not self.invalid and self.rule.is_table_level,
@@ -112,6 +112,10 @@ class _Entry:
         return F.struct(*cells).cast(_COUNTED)
 
 
+def _text(value: Any) -> str | None:
+    return None if value is None else str(value)
+
+
 def require_approval(contract: dict[str, Any]) -> None:
     if contract.get("approved_at") is None:
         raise ContractNotApprovedError(
@@ -233,8 +237,8 @@ def contract_rules(spark: SparkSession, contract: dict[str, Any]) -> DataFrame:
         (
             i,
             spec["rule_id"],
-            (spec.get("params") or {}).get("column"),
-            {k: None if v is None else str(v) for k, v in (spec.get("params") or {}).items()},
+            _text((spec.get("params") or {}).get("column")),
+            {k: _text(v) for k, v in (spec.get("params") or {}).items()},
             spec.get("severity"),
         )
         for i, spec in enumerate(contract["rules"])

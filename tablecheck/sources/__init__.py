@@ -1 +1 @@
-"""Reading tables: files by suffix and databases over JDBC."""
+"""Reading tables: files by suffix, catalog tables, and databases over JDBC."""

@@ -104,6 +104,22 @@ def test_empty_table_hides_errors_of_the_rule_but_not_of_its_parameters(no_order
     assert rows[4].severity == "warning"
 
 
+def test_column_that_is_no_name(orders):
+    rows = run(orders, ("null_check", {"column": {"a": 1}}), ("null_check", {"column": 5}),
+               ("null_check", {"column": "order_id"}))
+    assert rows[0].error == "rule 'null_check': param 'column' must be str, got dict"
+    assert rows[1].column_name == "5" and rows[2].passed
+
+
+def test_contract_rules(spark):
+    made = contract(("null_check", {"column": "x", "max_null_rate": None}, "warning"),
+                    ("min_row_count", {"min_rows": 5}))
+    assert [tuple(r) for r in tc.contract_rules(spark, made).collect()] == [
+        (0, "null_check", "x", {"column": "x", "max_null_rate": None}, "warning"),
+        (1, "min_row_count", None, {"min_rows": "5"}, None),
+    ]
+
+
 def test_empty_contract(orders):
     assert run(orders) == []
 

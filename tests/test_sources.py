@@ -62,6 +62,23 @@ def test_unsupported_and_missing(spark, tmp_path):
         tc.load_table(spark, str(tmp_path / "missing.csv"))
 
 
+def test_catalog_tables(spark, orders):
+    spark.sql("DROP TABLE IF EXISTS shop_orders")
+    orders.write.saveAsTable("shop_orders")
+    assert tc.estimate_table_rows(spark, "shop_orders") is None
+    unknown = tc.load_table_profiling(spark, table="shop_orders", max_rows=5)
+    assert (unknown.sampled, unknown.estimated_rows, unknown.df.count()) == (True, None, 5)
+    spark.sql("ANALYZE TABLE shop_orders COMPUTE STATISTICS")
+    assert tc.estimate_table_rows(spark, "default.shop_orders") == ROWS
+    whole = tc.load_table_profiling(spark, table="shop_orders", max_rows=ROWS)
+    assert (whole.sampled, whole.df.count()) == (False, ROWS)
+    part = tc.load_table_profiling(spark, table="shop_orders", max_rows=5)
+    assert part.sampled and part.df.count() <= 5
+    with pytest.raises(ValueError, match="invalid table name"):
+        tc.estimate_table_rows(spark, "shop_orders; DROP TABLE x")
+    spark.sql("DROP TABLE shop_orders")
+
+
 # --- databases: no driver here, so the reads themselves are replaced ---
 
 

@@ -25,6 +25,10 @@ from tablecheck.functions.types import is_string
 # Fixed value: how many of the most frequent values a profile shows.
 TOP_VALUES = 5
 
+# Up to this many values per column each task cuts its own list before the exchange; for more
+# Spark would send every distinct value of a column to one task.
+MOST_TOP_VALUES = 1000
+
 # Columns of one type counted together; more are counted in several scans.
 COLUMNS_PER_SCAN = 40
 
@@ -79,14 +83,19 @@ class Frequencies:
 
         Each task keeps its own k best per column, so only those rows are exchanged.
         """
+        if k > MOST_TOP_VALUES:
+            raise ValueError(f"at most {MOST_TOP_VALUES} top values, got {k}")
         v = F.col("v")
         text = F.hex(v) if isinstance(self.type, T.BinaryType) else v.cast("string")
         # maps have no order of their own
-        order = text if isinstance(self.type, T.MapType) else v
-        ranked = Window.partitionBy("slot").orderBy(F.desc("cnt"), order)
+        order = [F.desc("cnt"), text if isinstance(self.type, T.MapType) else v]
+        values = self.frame.where(self.valued > 0)
+        if len(self.columns) == 1:
+            # The slot is a constant here, which the optimiser drops from the window below;
+            # without this limit it would gather all values in one task.
+            values = values.orderBy(*order).limit(k)
         best = (
-            self.frame.where(self.valued > 0)
-            .withColumn("rank", F.row_number().over(ranked))
+            values.withColumn("rank", F.row_number().over(Window.partitionBy("slot").orderBy(*order)))
             .where(F.col("rank") <= k)
             .select("slot", "rank", text.alias("key"), F.col("cnt").alias("count"))
         )

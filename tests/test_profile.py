@@ -258,6 +258,29 @@ def test_exact_profile_shares_the_frequency_shuffle(spark, tmp_path, orders, cap
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
 
 
+@pytest.mark.parametrize(
+    "columns, cut",
+    [
+        (["order_id"], "TakeOrderedAndProject(limit=5"),
+        (["email", "status"], "row_number(), 5, Partial"),
+        (["email"], "TakeOrderedAndProject(limit=5"),
+    ],
+)
+def test_tasks_send_only_their_own_top_values(spark, tmp_path, orders, capsys, columns, cut):
+    orders.write.parquet(str(tmp_path / "o"))
+    tc.top_values(spark.read.parquet(str(tmp_path / "o")), columns).explain()
+    plan = capsys.readouterr().out
+    assert cut in plan
+    # a window below which nothing was cut would receive every distinct value
+    assert plan.count("- Window [") <= plan.count(cut)
+
+
+def test_top_values_are_few(orders):
+    assert tc.top_values(orders, ["order_id"], k=1000).count() == 19
+    with pytest.raises(ValueError, match="at most 1000"):
+        tc.top_values(orders, ["order_id"], k=1001)
+
+
 def test_deterministic(orders):
     first, second = (tc.profile_columns(orders).collect() for _ in range(2))
     assert first == second

@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tablecheck.functions.columns import (
-    STRING_KEY_BYTES,
     bounded_key,
     chunks,
     is_digested,

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from tablecheck.llm import exact_dedup, mixing, sharding
+import corpus_pipeline
+from tablecheck.llm import exact_dedup, language, mixing, near_dedup, packing, sharding
 
 QUERIES = {
+    "op2_language": language.op2_language,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op7_sharding": sharding.op7_sharding,
+    "op8_packing": packing.op8_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

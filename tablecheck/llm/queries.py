@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tablecheck.llm import exact_dedup, language, mixing, near_dedup, packing, sharding
+from tablecheck.llm import exact_dedup, language, mixing, near_dedup, packing, sharding, substring_dedup, topk_search
 
 QUERIES = {
+    "op1_topk_search": topk_search.op1_topk_search,
     "op2_language": language.op2_language,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op7_sharding": sharding.op7_sharding,
     "op8_packing": packing.op8_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -16,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_topk_search": topk_search.SQL,
+    "op4_substring_dedup": substring_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_mixing": mixing.SQL,
 }

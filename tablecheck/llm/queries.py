@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tablecheck.llm import exact_dedup, language, mixing, near_dedup, packing, sharding, substring_dedup, topk_search
+from tablecheck.llm import exact_dedup, html_text, language, mixing, near_dedup, packing, sharding, substring_dedup, topk_search, warc
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
     "op2_language": language.op2_language,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_html_text": html_text.op5_html_text,
+    "op6_warc": warc.op6_warc,
     "op7_sharding": sharding.op7_sharding,
     "op8_packing": packing.op8_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,

@@ -94,16 +94,8 @@ def build_index(
     return written(owned.sortWithinPartitions("key", "link"), "index")
 
 
-def probed(docs: DataFrame, index: DataFrame, text_col: str = "text", key_bits: int = KEY_BITS) -> DataFrame:
-    """``docs`` with the index entry of each row."""
-    whole = normalised(text_col)
-    keyed = docs.withColumns({"__key": _key(whole, key_bits), "__digest": F.sha2(whole, 256)})
-    entry = index.select(
-        F.col("key").alias("__key"), F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep_id"),
-        F.col("group_size").alias("__group_size"), F.col("bucket").alias("__bucket"),
-        F.col("local_depth").alias("__local_depth"), F.col("link").alias("__link"),
-    )
-    return keyed.join(entry, ["__key", "__digest"])
+def _entry(index: DataFrame) -> DataFrame:
+    return index.select("key", "digest", "keep_id", "group_size", "bucket", "link")
 
 
 def exact_duplicates(
@@ -112,30 +104,23 @@ def exact_duplicates(
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 and its bucket."""
     index = build_index(docs, id_col, text_col, capacity, key_bits)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = (
-        probed(slim, index, "text", key_bits)
-        .groupBy("doc_id", "__key", "__digest", "__keep_id", "__group_size", "__bucket", "__link")
-        .agg(F.count("*").cast("int").alias("__rows"))
-    )
-    each = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__rows"))))
-    return each.select(
-        "doc_id",
-        F.col("__keep_id").alias("keep_id"),
-        F.col("__group_size").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.col("__copy") == 1)).alias("kept"),
-        F.col("__digest").alias("text_sha256"),
-        F.col("__bucket").alias("bucket"),
-        F.col("__link").alias("link"),
-    )
+    text = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("whole"))
+    keyed = text.select("doc_id", _key(F.col("whole"), key_bits).alias("key"), F.sha2("whole", 256).alias("digest"))
+    # Counted before the join, so that the join alone deals out a large group and can split it.
+    rows = keyed.groupBy("doc_id", "key", "digest").agg(F.count("*").cast("int").alias("rows"))
+    found = rows.join(_entry(index), ["key", "digest"])
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+    return each.select("doc_id", "keep_id", "group_size", stays.alias("kept"), F.col("digest").alias("text_sha256"), "bucket", "link")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     index = build_index(docs, id_col, text_col)
-    stays = F.col(id_col).eqNullSafe(F.col("__keep_id"))
-    kept = probed(docs, index, text_col).where(stays)
-    return kept.dropDuplicates(["__key", "__digest"]).select(*docs.columns)
+    rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("whole"), F.struct("*").alias("row"))
+    keyed = rows.select("id", _key(F.col("whole"), KEY_BITS).alias("key"), F.sha2("whole", 256).alias("digest"), "row")
+    kept = keyed.join(_entry(index), ["key", "digest"]).where(F.col("id").eqNullSafe(F.col("keep_id")))
+    return kept.dropDuplicates(["key", "digest"]).select("row.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

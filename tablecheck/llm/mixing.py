@@ -37,7 +37,7 @@ MOST = 2
 # Multipliers of the weight at the start, the middle and the end, in turn like the weights.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 SEED = 11
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 10_000
 
 
 def words(name: str) -> Column:
@@ -153,17 +153,15 @@ def mixed(
     """
     plan = curriculum(docs, id_col, text_col, source_col, weights, share, most, schedules, seed, bucket_rows)
     reads = F.array(*[F.struct(F.col(f"taken_{k}").alias("taken"), F.col(f"position_{k}").alias("position")) for k in range(most)])
-    # Rows that repeat id and text are interchangeable: their reads are summed up and dealt out.
+    # Rows that repeat id and text are interchangeable: one of them takes the reads of all.
     plan = plan.select("order", "size", F.explode(reads).alias("read")).where("read.taken > 0")
-    plan = plan.select(F.col("order").alias("__order"), F.col("size").alias("__size"), F.col("read.taken").alias("__taken"), F.col("read.position").alias("__position"))
-    keyed = docs.withColumn("__order", _order(id_col, text_col, seed))
-    keyed = keyed.dropDuplicates(["__order"])
-    rows = keyed.join(plan, "__order")
-    part = F.array_join(F.slice(F.split(F.trim(F.regexp_replace(text_col, SPACES, " ")), " "), F.lit(1), F.col("__taken").cast("int")), " ")
-    text = F.when(F.col("__taken") < F.col("__size"), part).otherwise(F.col(text_col))
-    rows = rows.withColumn(text_col, text).orderBy("__position", "__order")
-    kept = [F.col(c) for c in docs.columns]
-    return rows.select(*kept, *([F.col("__position").alias(position_col)] if position_col else []))
+    rows = docs.select(_order(id_col, text_col, seed).alias("order"), F.struct("*").alias("row"))
+    rows = rows.dropDuplicates(["order"]).join(plan, "order").orderBy("read.position", "order")
+    whole = F.col(f"row.{text_col}")
+    first = F.slice(F.split(F.trim(F.regexp_replace(whole, SPACES, " ")), " "), F.lit(1), F.col("read.taken").cast("int"))
+    text = F.when(F.col("read.taken") < F.col("size"), F.array_join(first, " ")).otherwise(whole)
+    columns = [(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    return rows.select(*columns, *([F.col("read.position").alias(position_col)] if position_col else []))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

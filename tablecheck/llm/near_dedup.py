@@ -279,7 +279,7 @@ def deduplicated(
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
     found = near_duplicates(docs, id_col, text_col, size, percent)
     gone = found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,11 @@ is 16 labels of 8 values: the trees of the forest. Each tree is one sorted order
 and its neighbours with the longest common prefix are the candidates of a node: the next few
 nodes that share a prefix of two values at least. So the depth at which a tree is read follows
 the region: two values where nodes are sparse, all eight where they crowd. Where even the last
-neighbour shares three values the region is crowded, and its nodes are also compared with the
-hubs of the region, the nodes with most links so far, until that brings no new link.
+neighbour shares three values the region is crowded: there a node may have more neighbours at
+full depth than a tree shows it. So nodes of crowded regions that are not in a large component,
+and the middles of large ones, are also compared with the middles of the large components in
+their region, the nodes most like the consensus of its sketches, then with the next, until that
+brings no new link.
 
 Candidates whose sketches (one byte for each signature value) are far below the threshold go
 first. The others are confirmed on the full sets of shingles: first neighbours next to each
@@ -39,11 +42,15 @@ from tablecheck.llm.hashing import chunks, shingle_sets
 
 SHINGLE, PERCENT = 5, 80
 TREES, DEPTH = 16, 8
-NEIGHBOURS = 4
+NEIGHBOURS = 6
 LEAST_PREFIX, CROWDED_PREFIX = 2, 3
 CHAIN_TREES = 4
+HUB_NODES, HUB_SAMPLE, HUBS = 16, 256, 8
 _FACTORS = np.random.Generator(np.random.Philox(key=29)).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
 
+_LABELS = (
+    f"transform(sequence(0, {TREES - 1}), t -> struct(t AS tree, substring(signature, t * {4 * DEPTH} + 1, {4 * DEPTH}) AS label))"
+)
 SIGNATURES = "doc_id long, n_shingles long, digest binary, signature binary, sketch binary"
 NEAR = "a long, b long, next boolean, tree int, label binary, node long, n long, crowded boolean"
 
@@ -152,22 +159,24 @@ def _near(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.reindex(columns=names).astype(whole).astype({"label": object}).replace({"label": {np.nan: None}})
 
 
+def _agreeing():
+    @F.pandas_udf("int")
+    def agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
+        a, b = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, TREES * DEPTH) for s in (x, y))
+        return pd.Series((a == b).sum(axis=1), dtype="int32")
+
+    return agreeing
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sketches agree as often as similar sets do, but for five deviations."""
     share, size = percent / 100, TREES * DEPTH
     least = int(size * (share - 5 * (share * (1 - share) / size) ** 0.5))
 
-    @F.pandas_udf("int")
-    def agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="int32")
-        a, b = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, size) for s in (x, y))
-        return pd.Series((a == b).sum(axis=1))
-
     sketches = nodes.select("node", "sketch")
     both = pairs.join(sketches.withColumnsRenamed({"node": "a", "sketch": "x"}), "a")
     both = both.join(sketches.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
-    return both.where(agreeing("x", "y") >= least).drop("x", "y")
+    return both.where(_agreeing()("x", "y") >= least).drop("x", "y")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,24 +204,38 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.where(apart).drop("root_a", "root_b")
 
 
-def _hub_pairs(crowds: DataFrame, links: DataFrame, used: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs of crowded nodes with the hub of their region, and all hubs used so far."""
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-    degrees = ends.groupBy("node").agg(F.count("*").alias("degree"))
-    ranked = crowds.join(degrees, "node", "left").select("tree", "prefix", "node", F.coalesce("degree", F.lit(0)).alias("degree"))
-    if used is not None:
-        ranked = ranked.join(used, ["tree", "prefix", "node"], "left_anti")
-    best = ranked.groupBy("tree", "prefix").agg(F.max(F.struct("degree", -F.col("node"))).alias("best"))
-    hubs = written(best.select("tree", "prefix", (-F.col("best.col2")).alias("node")), "hubs")
-    pairs = crowds.join(hubs.withColumnRenamed("node", "hub"), ["tree", "prefix"]).where("node != hub")
-    pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    return pairs, hubs if used is None else used.union(hubs)
+def _consensus(rows: pd.DataFrame) -> pd.DataFrame:
+    """The most frequent value at each place of the sketches of a component."""
+    values = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), -1)
+    counts = np.zeros((values.shape[1], 256), dtype=np.int64)
+    np.add.at(counts, (np.broadcast_to(np.arange(values.shape[1]), values.shape), values), 1)
+    return pd.DataFrame({"root": rows["root"].head(1), "middle": [counts.argmax(axis=1).astype(np.uint8).tobytes()]})
+
+
+def _hubs(members: DataFrame, used: DataFrame | None) -> DataFrame:
+    """The middle of each component, as ``root, hub``: of each share of its nodes the one that
+    is most like the consensus of a sample of the component and has not been used."""
+    drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < F.lit(float(HUB_SAMPLE)) / F.col("size")
+    middles = members.where(drawn).select("root", "sketch").groupBy("root").applyInPandas(_consensus, "root long, middle binary")
+    left = members if used is None else members.join(used, "node", "left_anti")
+    likeness = _agreeing()("sketch", "middle")
+    scored = left.join(written(middles, "middles"), "root").select("root", "node", likeness.alias("likeness"))
+    share = F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(HUBS)).alias("share")
+    best = scored.groupBy("root", share).agg(F.max(F.struct("likeness", (-F.col("node")).alias("last"))).alias("best"))
+    return written(best.select("root", (-F.col("best.last")).alias("hub")), "hubs")
+
+
+def _large(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes of large components: node, root, size, sketch."""
+    members = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    sizes = written(members.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") >= HUB_NODES), "sizes")
+    members = members.join(sizes, "root").join(nodes.select("node", "sketch"), "node")
+    return written(members.dropDuplicates(["node"]), "members")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """Confirmed links between nodes: enough of them to give all components."""
-    start = F.expr("transform(sequence(0, %d), t -> struct(t AS tree, substring(signature, t * %d + 1, %d) AS label))" % (TREES - 1, 4 * DEPTH, 4 * DEPTH))
-    forest = nodes.select("node", F.col("n_shingles").alias("n"), F.explode(start).alias("at"))
+    forest = nodes.select("node", F.col("n_shingles").alias("n"), F.explode(F.expr(_LABELS)).alias("at"))
     forest = forest.select(F.col("at.tree").alias("tree"), F.col("at.label").alias("label"), "node", "n")
     order = ["tree", "label", "node"]
     ordered = forest.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -236,9 +259,17 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFr
     links = written(links.union(_confirmed(rest, sets, percent)), "links")
     used = None
     while not crowds.isEmpty():
-        found, used = _hub_pairs(crowds, links, used)
-        found = _likely(_apart(found, components(links)), nodes, percent)
-        fresh = written(_confirmed(found, sets, percent), "links")
+        roots = components(links)
+        members = _large(nodes, roots)
+        hubs = _hubs(members, used)
+        used = hubs.select(F.col("hub").alias("node")) if used is None else used.union(hubs.select("hub"))
+        places = hubs.join(nodes.select(F.col("node").alias("hub"), F.explode(F.expr(_LABELS)).alias("at")), "hub")
+        places = places.select(F.col("at.tree").alias("tree"), F.substring("at.label", 1, 4 * CROWDED_PREFIX).alias("prefix"), "hub")
+        places = written(places, "places")
+        loose = crowds.join(members.select("node"), "node", "left_anti").select("tree", "prefix", "node")
+        found = loose.union(places).join(places, ["tree", "prefix"]).where("node != hub")
+        found = found.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        fresh = written(_confirmed(_likely(_apart(found, roots), nodes, percent), sets, percent), "links")
         if fresh.isEmpty():
             break
         links = links.union(fresh)

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
 import random
+import sys
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -40,10 +44,6 @@ def awkward():
     ]
 
 
-def words(rng: random.Random, n: int, letters: str = "abcdefghij") -> list[str]:
-    return ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n)]
-
-
 @pytest.fixture()
 def rng():
     return random.Random(7)

@@ -1,0 +1,5 @@
+"""Helpers of these tests."""
+
+
+def words(rng, n: int, letters: str = "abcdefghij") -> list[str]:
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n)]

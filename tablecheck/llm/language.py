@@ -119,7 +119,8 @@ def _bundled(dimensions: int):
                 rows = bundles(chunk, dimensions)
                 for lang, row in zip(islice(langs, len(chunk)), rows.astype(np.float64)):
                     sums[lang] = sums[lang] + row if lang in sums else row
-        yield pd.DataFrame({"lang": list(sums), "bundle": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "bundle": [v.tolist() for v in sums.values()]})
 
     return bundle
 
@@ -184,22 +185,22 @@ def _predicted(langs: list[str], model: np.ndarray):
     return run
 
 
-def predicted(docs: DataFrame, langs: list[str], model: np.ndarray, text_col: str = "text") -> DataFrame:
-    """``docs`` with the struct ``__language``: lang_pred, score."""
+def _language_of(text_col: str, langs: list[str], model: np.ndarray) -> Column:
+    """The struct lang_pred, score of a text."""
     run = _predicted(langs, model)
 
     @F.pandas_udf("lang_pred string, score double")
     def language(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from run(texts)
 
-    return docs.withColumn("__language", language(F.col(text_col)))
+    return language(F.col(text_col))
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
-    langs, model = prototypes(docs, id_col, text_col, lang_col)
-    rows = predicted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), langs, model)
-    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "__language.lang_pred", "__language.score")
+    found = _language_of(text_col, *prototypes(docs, id_col, text_col, lang_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), found.alias("language"))
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "language.lang_pred", "language.score")
 
 
 def accepted(
@@ -207,10 +208,10 @@ def accepted(
     min_score: float = MIN_SCORE,
 ) -> DataFrame:
     """Rows whose text is in one of the languages learned, with all their columns."""
-    langs, model = prototypes(docs, id_col, text_col, lang_col)
-    rows = predicted(docs, langs, model, text_col)
-    taken = (F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= min_score)
-    return rows.where(taken).select(*docs.columns)
+    found = _language_of(text_col, *prototypes(docs, id_col, text_col, lang_col))
+    rows = docs.select(F.struct("*").alias("row"), found.alias("language"))
+    taken = (F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= min_score)
+    return rows.where(taken).select("row.*")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

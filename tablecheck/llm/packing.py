@@ -132,8 +132,11 @@ def packs(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[i
                     open_packs[space - size].append([(*pattern, size), used])
                 if count > used:
                     open_packs[space].append([pattern, count - used])
-        if left:
-            open_packs[length - size].append([(size,), left])
+        # A new pack is the shortest as long as it has room for more of this size.
+        many = length // size
+        for pieces_each, count in ((many, left // many), (left % many, 1)):
+            if pieces_each and count:
+                open_packs[length - size * pieces_each].append([(size,) * pieces_each, count])
     return [(pattern, count) for group in open_packs.values() for pattern, count in group]
 
 

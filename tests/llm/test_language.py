@@ -1,0 +1,81 @@
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tablecheck.llm import language
+
+VOWELS = {"aa": "aei", "bb": "ouy", "cc": "äöü"}
+
+
+def text(rng, lang, n):
+    return " ".join("".join(rng.choice("bdfklmnrst") + rng.choice(VOWELS[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+@pytest.fixture()
+def corpus(rng):
+    rows = []
+    for i in range(400):
+        lang = rng.choice(list(VOWELS))
+        rows.append((i, text(rng, lang, rng.randint(8, 40)), lang, "s"))
+    return rows
+
+
+def test_held_out_accuracy(documents, corpus):
+    rows = language.identified(documents(corpus)).collect()
+    langs = {i: lang for i, _, lang, _ in corpus}
+    assert len(rows) == len(corpus)
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert 0 <= r["score"] <= 1
+    held = [r for r in rows if r["held_out"]]
+    assert held and all(r["lang_pred"] == langs[r["doc_id"]] for r in held)
+
+
+def test_labels_of_held_out_rows_are_not_read(documents, corpus):
+    hidden = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 4 == 2 else lang, s) for i, t, lang, s in corpus]
+    a, b = (sorted(map(tuple, language.identified(documents(r)).collect())) for r in (corpus, hidden))
+    assert a == b
+
+
+def test_bundles_bind_permuted_letters():
+    """As the definition, letter by letter."""
+    texts = ["Ab, cä!", "", "x", "12 3", "aaa  aaa"]
+    rows = language.bundles(texts, 64)
+    for source, row in zip(texts, rows):
+        want = np.zeros(64)
+        for word in re.findall(r"[^\W\d_]+", source.lower()):
+            padded = [0, *map(ord, word), 0]
+            for a, b, c in zip(padded, padded[1:], padded[2:]):
+                va, vb, vc = (language.letter_vector(x, 64) for x in (a, b, c))
+                want += np.roll(va, 2) * np.roll(vb, 1) * vc
+        assert (row == want).all()
+
+
+def test_batches_do_not_matter(monkeypatch, rng):
+    texts = [text(rng, rng.choice(list(VOWELS)), rng.randint(0, 30)) for _ in range(50)]
+    whole = language.bundles(texts)
+    monkeypatch.setattr(language, "CHUNK_ROWS", 3)
+    assert (np.concatenate([language.bundles(c) for c in language._chunks(texts)]) == whole).all()
+
+
+def test_awkward_rows(documents, awkward, corpus):
+    rows = language.identified(documents(awkward)).collect()
+    assert len(rows) == len(awkward)
+    texts = {i: t for i, t, *_ in awkward if i is not None}
+    for r in rows:
+        if r["doc_id"] is not None and not any(c.isalpha() for c in texts[r["doc_id"]] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+    df = documents(awkward + [(i + 100, t, lang, s) for i, t, lang, s in corpus])
+    kept = language.accepted(df)
+    assert kept.columns == df.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert set(range(100, 500)) <= set(ids) and not {1, 2, 3} & set(ids)
+
+
+def test_without_labels_or_rows(documents):
+    rows = language.identified(documents([(1, "some text", None, "s"), (2, None, None, "s")])).collect()
+    assert {(r["lang_pred"], r["score"]) for r in rows} == {("und", 0.0)}
+    assert language.identified(documents([])).count() == 0
+    assert language.accepted(documents([])).count() == 0

@@ -51,7 +51,29 @@ def duplicate_rows_long_text(spark, sf_dir):
     return tc.duplicate_rows(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
-WIDE = 18  # more columns than a row key keeps apart
+@query("duplicate_rows_documents", duplicates_sql("SELECT * FROM documents"))
+def duplicate_rows_documents(spark, sf_dir):
+    return tc.duplicate_rows(table(spark, sf_dir, "documents"))
+
+
+VERY_WIDE = [f"shift{i}" for i in range(24)]
+
+
+@query(
+    "duplicate_rows_very_wide",
+    duplicates_sql(
+        "SELECT event_type, date_trunc('month', ts) AS month, "
+        + ", ".join(f"date_trunc('month', ts) + INTERVAL {i} HOUR AS {c}" for i, c in enumerate(VERY_WIDE))
+        + " FROM events"
+    ),
+)
+def duplicate_rows_very_wide(spark, sf_dir):
+    month = "date_trunc('month', ts)"
+    shifted = [F.expr(f"{month} + INTERVAL {i} HOUR AS {c}") for i, c in enumerate(VERY_WIDE)]
+    return tc.duplicate_rows(table(spark, sf_dir, "events").select("event_type", F.expr(f"{month} AS month"), *shifted))
+
+
+WIDE = 18
 
 
 @query(
@@ -243,14 +265,14 @@ def profile_quantiles(spark, sf_dir):
 # --- frequencies ---
 
 
-def top_sql(source: str, column: str) -> str:
+def top_sql(source: str, column: str, k: int = 5) -> str:
     return f"""
         SELECT '{column}' AS column_name,
                row_number() OVER (ORDER BY n DESC, v)::INTEGER AS rank,
                CAST(v AS VARCHAR) AS value, n AS count
         FROM (SELECT {column} AS v, count(*)::BIGINT AS n FROM {source}
               WHERE {column} IS NOT NULL GROUP BY 1)
-        QUALIFY rank <= 5"""
+        QUALIFY rank <= {k}"""
 
 
 PART_COLUMNS = ["p_name", "p_brand", "p_type", "p_size", "p_partkey"]
@@ -266,9 +288,7 @@ def profile_top_values(spark, sf_dir):
     """
     SELECT 'text' AS column_name, rank, value, n AS count
     FROM (SELECT text AS value, count(*)::BIGINT AS n,
-                 row_number() OVER (ORDER BY count(*) DESC, CASE
-                   WHEN octet_length(encode(text)) < 64 THEN text ELSE sha256(text) END
-                 )::INTEGER AS rank
+                 row_number() OVER (ORDER BY count(*) DESC, left(text, 48), sha256(text))::INTEGER AS rank
           FROM documents GROUP BY text)
     WHERE rank <= 5
     """,
@@ -277,6 +297,44 @@ def profile_top_long_texts(spark, sf_dir):
     return tc.top_values(table(spark, sf_dir, "documents"), ["text"])
 
 
+@query("top_values_many", " UNION ALL ".join(top_sql("lineitem", c, 5000) for c in ("l_orderkey", "l_partkey", "l_shipdate")))
+def top_values_many(spark, sf_dir):
+    return tc.top_values(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_shipdate"], k=5000)
+
+
+TOP_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
+
+
+@query(
+    "profile_top_values_orders",
+    " UNION ALL ".join(f"SELECT column_name AS name, rank, value, count, NULL::VARCHAR AS inferred_dtype FROM ({top_sql('orders', c)})" for c in TOP_ORDERS),
+)
+def profile_top_values_orders(spark, sf_dir):
+    """The lists in a column profile of the whole table; prices, written differently, are left out."""
+    profiled = tc.profile_columns(tc.load_table(spark, f"{sf_dir}/orders.parquet"))
+    listed = profiled.select("name", "inferred_dtype", F.posexplode("top_values").alias("place", "top"))
+    rows = listed.select("name", (F.col("place") + 1).alias("rank"), "top.value", "top.count", "inferred_dtype")
+    return rows.where("name != 'o_totalprice'")
+
+
+APPROX_TEXTS = {"letters": "repeat(lang, 40)", "kind": "if(doc_id % 3 = 0, repeat('third ', 20), repeat('other ', 20))"}
+
+
+@query(
+    "profile_approx_texts",
+    """
+    SELECT 'letters' AS name, repeat(lang, 40) AS value, count(*)::BIGINT AS count FROM documents GROUP BY 2
+    UNION ALL
+    SELECT 'kind', CASE WHEN doc_id % 3 = 0 THEN repeat('third ', 20) ELSE repeat('other ', 20) END, count(*)::BIGINT
+    FROM documents GROUP BY 2
+    """,
+)
+def profile_approx_texts(spark, sf_dir):
+    """Long texts in the lists of an approximate profile."""
+    texts = table(spark, sf_dir, "documents").select(*[F.expr(sql).alias(name) for name, sql in APPROX_TEXTS.items()])
+    return tc.profile_columns(texts, approx=True).select("name", F.inline("top_values"))
+
+
 LINEITEM_COLUMNS = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
     "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",

@@ -136,5 +136,9 @@ rule_query("rule_type_datetime", "orders", "type_conformance",
            {"column": "day_text", "expected_type": "datetime"},
            "count(*) FILTER (WHERE try_strptime(day_text, '%Y-%m-%dT%H:%M:%S') IS NULL)",
            derive=_date_text("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"))
+rule_query("rule_type_datetime_zoned", "orders", "type_conformance",
+           {"column": "day_text", "expected_type": "datetime"},
+           "count(*) FILTER (WHERE day_text = 'unknown')",
+           derive=_date_text("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ"))
 rule_query("rule_type_native", "lineitem", "type_conformance",
            {"column": "l_quantity", "expected_type": "int"}, "0")

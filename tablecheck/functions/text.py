@@ -22,7 +22,7 @@ _FLOAT_SHAPE = (
     r"\A[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
     r"|[nN][aA][nN]|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?)\z"
 )
-_TIME_SHAPE = r"(?:[ T][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?)?"
+_TIME_SHAPE = r"(?:[ T][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?"
 
 
 def full_match(column: Column, pattern: str) -> Column:
@@ -40,8 +40,11 @@ def _whole(pattern: str) -> str:
 
 
 def check_pattern(spark: SparkSession, pattern: str) -> None:
-    """Raise for a pattern that does not compile, before it reaches a job over data."""
-    spark.range(1).select(full_match(F.lit(""), pattern)).collect()
+    """Raise for a pattern that does not compile, before it reaches a job over data.
+
+    The optimiser folds this into a local row: no job runs.
+    """
+    spark.sql("SELECT * FROM VALUES ('') AS t(x)").select(full_match(F.lit(""), pattern)).collect()
 
 
 # The rest is SQL text on a column given as SQL (an alias or a quoted name). A regular
@@ -91,7 +94,7 @@ def dates_read(column: str) -> str:
 
 def datetimes_read(column: str) -> str:
     """The same for dates with an optional time of day."""
-    plausible = f"octet_length({column}) BETWEEN 10 AND 29"
+    plausible = f"octet_length({column}) BETWEEN 10 AND 35"
     return _best_format(column, plausible, _TIME_SHAPE, "TIMESTAMP_NTZ")
 
 

@@ -18,15 +18,16 @@ from tablecheck.functions.columns import (
     is_digested,
     quoted,
     row_key,
+    string_order,
 )
 from tablecheck.functions.types import is_string
 
 # Fixed value: how many of the most frequent values a profile shows.
 TOP_VALUES = 5
 
-# Up to this many values per column each task cuts its own list before the exchange; for more
-# Spark would send every distinct value of a column to one task.
-MOST_TOP_VALUES = 1000
+# Up to this many values per column Spark cuts the lists of all columns in the tasks, in one
+# plan; beyond, the list of each column is cut by a limit of its own.
+WINDOW_TOP_VALUES = 1000
 
 # Columns of one type counted together; more are counted in several scans.
 COLUMNS_PER_SCAN = 40
@@ -43,13 +44,10 @@ class Frequencies:
         self.df = df
         self.columns = columns
         self.type = columns[0][1].dataType
-        pairs = [
-            (F.lit(slot).alias("slot"), _key(f).alias("v")) for slot, f in columns
-        ]
-        if len(pairs) == 1:
-            values = df.select(*pairs[0])
-        else:
-            values = df.select(F.inline(F.array(*[F.struct(*pair) for pair in pairs])))
+        pairs = [F.struct(F.lit(slot).alias("slot"), _key(f).alias("v")) for slot, f in columns]
+        # also for one column: a slot that is a literal would be folded into each reader, in
+        # other ways, and they would no longer share the shuffle
+        values = df.select(F.inline(F.array(*pairs)))
         self.frame = values.groupBy("slot", "v").agg(F.count(F.lit(1)).alias("cnt"))
         # Rows of a non-null value. One expression over value and count, so that neither a
         # filter on it moves below the aggregation nor the count is pruned: all readers
@@ -65,6 +63,14 @@ class Frequencies:
             F.count_if(self.valued > 0).alias("distinct_count"),
         )
 
+    def numbers(self) -> DataFrame:
+        """``slot, v, cnt`` of the non-null values of numeric columns, as doubles."""
+        # Both depend on the count: else the tests for null that a join or a bound puts on them
+        # would move below the aggregation, which then was no longer the one that others share.
+        slot = F.when(self.valued > 0, F.col("slot")).alias("slot")
+        value = F.when(self.valued > 0, F.col("v").cast("double")).alias("v")
+        return self.frame.where(self.valued > 0).select(slot, value, "cnt")
+
     def surplus(self) -> DataFrame:
         """One row, also for an empty table: ``n`` rows and per column the surplus copies
         ``s<slot>`` (three equal values are two surplus ones; nulls are none)."""
@@ -78,21 +84,19 @@ class Frequencies:
 
     def top(self, k: int) -> DataFrame:
         """``slot, rank, value, count``: the k most frequent values per column, ties in
-        ascending order of the key.
+        ascending order: texts by :func:`string_order`.
 
         Each task keeps its own k best per column, so only those rows are exchanged.
         """
-        if k > MOST_TOP_VALUES:
-            raise ValueError(f"at most {MOST_TOP_VALUES} top values, got {k}")
         v = F.col("v")
         text = F.hex(v) if isinstance(self.type, T.BinaryType) else v.cast("string")
         # maps have no order of their own
-        order = [F.desc("cnt"), text if isinstance(self.type, T.MapType) else v]
+        ties = [text if isinstance(self.type, T.MapType) else v]
+        order = [F.desc("cnt"), *(string_order(v) if is_string(self.type) else ties)]
         values = self.frame.where(self.valued > 0)
-        if len(self.columns) == 1:
-            # The slot is a constant here, which the optimiser drops from the window below;
-            # without this limit it would gather all values in one task.
-            values = values.orderBy(*order).limit(k)
+        if k > WINDOW_TOP_VALUES:
+            each = [values.where(F.col("slot") == slot) for slot, _ in self.columns]
+            values = reduce(DataFrame.union, [part.orderBy(*order).limit(k) for part in each])
         best = (
             values.withColumn("rank", F.row_number().over(Window.partitionBy("slot").orderBy(*order)))
             .where(F.col("rank") <= k)
@@ -126,6 +130,16 @@ def _key(f: T.StructField):
     return key if f.dataType.simpleString() == kind else key.cast(kind)
 
 
+def countable(df: DataFrame) -> DataFrame:
+    """``df`` with the types that have no equality, VARIANT and calendar intervals, as text."""
+    plain = {
+        f.name: F.to_json(quoted(f.name)) if isinstance(f.dataType, T.VariantType) else quoted(f.name).cast("string")
+        for f in df.schema.fields
+        if isinstance(f.dataType, (T.VariantType, T.CalendarIntervalType))
+    }
+    return df.select(*[plain[c].alias(c) if c in plain else quoted(c) for c in df.columns]) if plain else df
+
+
 def _kind(data_type: T.DataType) -> str:
     """The type under which a column is counted: integers of any width meet in one."""
     if isinstance(data_type, T.IntegralType):
@@ -135,6 +149,7 @@ def _kind(data_type: T.DataType) -> str:
 
 def frequencies(df: DataFrame, columns: list[str] | None = None) -> list[Frequencies]:
     """Value counts of the given columns (default all), slots numbering them as given."""
+    df = countable(df)
     by_name = {f.name: f for f in df.schema.fields}
     kinds: dict[str, list] = {}
     for slot, name in enumerate(columns or df.columns):
@@ -159,8 +174,8 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
     """``column_name, rank, value, count``: the k most frequent non-null values per column,
-    most frequent first; values equally frequent come in ascending order, long texts in
-    the order of their digests.
+    most frequent first. Values equally frequent come in ascending order; texts by their first
+    48 characters, then by the SHA-256 of the whole text.
     """
     parts = [counted.top(k) for counted in frequencies(df, columns)]
     return _named(parts, columns or df.columns)

@@ -69,19 +69,22 @@ def order_statistics(
     double. Columns without non-null values have no rows. NaN ranks above every number.
     """
     groups = chunks(list(enumerate(columns)), COLUMNS_PER_SCAN)
-    return reduce(DataFrame.union, [_narrowed(df, group, quantiles) for group in groups])
+    return reduce(DataFrame.union, [_narrowed(_values(df, group), quantiles) for group in groups])
 
 
-def _narrowed(
-    df: DataFrame, columns: list[tuple[int, str]], quantiles: tuple[float, ...]
-) -> DataFrame:
+def _values(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
     # one narrow row per value; the scan reads the numeric columns only
     pairs = [
         F.struct(F.lit(i).alias("slot"), quoted(c).cast("double").alias("v"))
         for i, c in columns
     ]
     values = df.select(F.inline(F.array(*pairs))).where(F.col("v").isNotNull())
-    tally = [F.count(F.lit(1)).alias("cnt"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    return values.withColumn("cnt", F.lit(1).cast("bigint"))
+
+
+def _narrowed(values: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
+    """The order statistics of rows ``slot, v, cnt``: a value as often as it counts."""
+    tally = [F.sum("cnt").alias("cnt"), F.min("v").alias("lo"), F.max("v").alias("hi")]
 
     buckets = values.groupBy("slot", _ratio_bucket(F.col("v")).alias("bucket")).agg(*tally)
     n = F.sum("cnt").over(Window.partitionBy("slot"))
@@ -100,7 +103,7 @@ def _narrowed(
         picked = _pick(counted, ["slot", "q"], "bucket")
 
     inside = _inside(values, picked)
-    counted = inside.groupBy("slot", "q", "rank", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    counted = inside.groupBy("slot", "q", "rank", "v").agg(F.sum("cnt").alias("cnt"))
     found = _pick(counted, ["slot", "q"], "v")
     return found.select("slot", "q", F.col("v").alias("value"))
 
@@ -115,7 +118,15 @@ def _inside(values: DataFrame, picked: DataFrame) -> DataFrame:
 
 def quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
     """``slot, p25, p50, p75`` per numeric column."""
-    stats = order_statistics(df, columns, QUARTILES)
+    return _by_slot(order_statistics(df, columns, QUARTILES))
+
+
+def counted_quartiles(values: DataFrame) -> DataFrame:
+    """The same from rows ``slot, v, cnt`` of distinct values that are counted already."""
+    return _by_slot(_narrowed(values, QUARTILES))
+
+
+def _by_slot(stats: DataFrame) -> DataFrame:
     return stats.groupBy("slot").agg(
         *[
             F.max(F.when(F.col("q") == q, F.col("value"))).alias(name)

@@ -1,29 +1,39 @@
-"""Samples of a DataFrame: bounded, reproducible, sized for profiling."""
+"""Samples of a DataFrame: exact in size, uniform, sized for profiling.
+
+Every row gets a key of random or hashed bits, and the sample is the rows with the n smallest
+keys. The n-th smallest is found by counting rows per range of keys, 16 bits at a time, so the
+sample is a filter on the table: it keeps the partitions of the table, has no prefix and no
+single task, whatever n is. Finding it runs a few counting jobs, now; the sample itself is lazy.
+"""
 
 from __future__ import annotations
 
-import math
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablecheck.functions.columns import quoted
 
-# A block or Bernoulli sample aims at this multiple of the wanted rows
-# before the exact cap, and never below this percentage.
+# A block sample of a database aims at this multiple of the wanted rows before
+# the exact cut, and never below this percentage.
 OVERSHOOT = 1.5
 MIN_PERCENT = 0.000001
 
-# A hash sample looks at the rows per leading bits of the hash: about a million counts.
-HASH_BUCKET_BITS = 20
+_DIGIT_BITS = 16
+_KEY_BITS = 64
 
 
 class ProfilingLoad(NamedTuple):
-    """A table sized for profiling, whether it is a sample, and the estimate behind it."""
+    """A table sized for profiling, whether it is a sample, and the estimate behind it.
+
+    ``method`` says how it was read: ``whole``, ``sample`` (uniform) or ``prefix`` (the first
+    rows in storage order, only where that was asked for).
+    """
 
     df: DataFrame
     sampled: bool
     estimated_rows: int | None
+    method: str = "sample"
 
 
 def sample_percent(max_rows: int, estimate: int) -> float:
@@ -32,84 +42,88 @@ def sample_percent(max_rows: int, estimate: int) -> float:
     return min(100.0, max(MIN_PERCENT, wanted))
 
 
-def profiling_load(
-    df: DataFrame, max_rows: int, seed: int = 0, estimate: int | None = None
-) -> ProfilingLoad:
-    """The whole table if the estimate fits ``max_rows``, else at most ``max_rows`` rows.
+class _Cut(NamedTuple):
+    """Where the n smallest keys end: ``below`` holds for rows that are in, ``at`` for rows with
+    the last key, of which ``more`` are in. ``at`` is None where all rows fit exactly."""
+
+    below: Column
+    at: Column | None
+    more: int
+
+
+def _cut(keyed: DataFrame, keys: list[str], n: int) -> _Cut | None:
+    """The cut after the n smallest keys; None if there are no more rows than n."""
+    below, at, done = F.lit(False), F.lit(True), 0
+    for key in keys:
+        for shift in range(_KEY_BITS - _DIGIT_BITS, -1, -_DIGIT_BITS):
+            digit = F.shiftrightunsigned(key, shift).bitwiseAND((1 << _DIGIT_BITS) - 1)
+            held = keyed.where(at).groupBy(digit.alias("digit")).agg(F.count("*").alias("held"))
+            upto = F.sum("held").over(Window.orderBy("digit"))
+            first = held.withColumn("upto", upto).where(F.col("upto") >= n - done).orderBy("digit").first()
+            if first is None:
+                return None
+            done += first["upto"] - first["held"]
+            below, at = below | (at & (digit < first["digit"])), at & (digit == first["digit"])
+            if done + first["held"] == n:
+                return _Cut(below | at, None, 0)
+    return _Cut(below, at, n - done)
 
-    With an estimate the sample is random and its plan never exchanges much more than
-    ``max_rows`` rows. Without one it is a bounded read in storage order.
+
+def uniform_sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows, or all if there are fewer; every row equally likely.
+
+    The same rows for the same input files, partitioning and seed.
     """
-    if estimate is not None and estimate <= max_rows:
-        return ProfilingLoad(df, False, estimate)
-    if estimate is None:
-        return ProfilingLoad(df.limit(max_rows), True, None)
-    fraction = sample_percent(max_rows, estimate) / 100.0
-    # withReplacement by keyword: a lone positional fraction would lose the seed
-    drawn = df.sample(withReplacement=False, fraction=fraction, seed=seed)
-    return ProfilingLoad(drawn.limit(max_rows), True, estimate)
-
-
-def _thinning(n: int, total: int) -> float:
-    """Fraction that leaves at least ``n`` of ``total`` rows, ten standard deviations sure."""
-    if total <= 0:
-        return 1.0
-    return min(1.0, (n + 10.0 * math.sqrt(n) + 100.0) / total)
-
-
-def uniform_sample(df: DataFrame, n: int, seed: int = 0, total: int | None = None) -> DataFrame:
-    """``min(n, total)`` rows, every row equally likely; the same rows for the same input
-    files, partitioning and seed.
-
-    A Bernoulli pass thins the table to little more than ``n`` rows before the random order
-    picks exactly ``n``, so the exchange does not grow with the table. ``total`` defaults
-    to a count, which columnar files answer from their footers.
+    if n <= 0:
+        return df.where(F.lit(False))
+    bits = [F.floor(F.rand(seed + i) * F.lit(float(1 << 31))).cast("long") for i in (0, 1)]
+    keyed = df.withColumn("__key", F.shiftleft(bits[0], 31).bitwiseOR(bits[1]))
+    cut = _cut(keyed.select("__key"), ["__key"], n)
+    if cut is None:
+        return df
+    # 62 random bits: rows that tie with the last one are as good as excluded.
+    kept = keyed.where(cut.below if cut.at is None else cut.below | cut.at)
+    return kept.drop("__key")
+
+
+def hash_sample(df: DataFrame, n: int, seed: int = 0, key: list[str] | None = None) -> DataFrame:
+    """``n`` rows chosen by a hash of their content: the same rows under any partitioning.
+
+    ``key`` names the columns that are hashed (default all); rows that agree in them follow one
+    another in the order of a hash of the whole row. Only rows equal to the last one are
+    grouped: they are counted in the tasks that read them, and as many as needed are restored.
     """
-    total = df.count() if total is None else total
-    fraction = _thinning(n, total)
-    drawn = df if fraction >= 1.0 else df.sample(withReplacement=False, fraction=fraction, seed=seed)
-    return drawn.orderBy(F.rand(seed)).limit(n)
+    if n <= 0:
+        return df.where(F.lit(False))
+    names = [quoted(c) for c in df.columns]
+    by_key = F.xxhash64(F.lit(seed), *[quoted(c) for c in key or df.columns])
+    whole = F.xxhash64(F.lit(seed + 1), *names)
+    keyed = df.withColumns({"__key": by_key, "__row": whole})
+    cut = _cut(keyed.select("__key", "__row"), ["__key", "__row"], n)
+    if cut is None:
+        return df
+    kept = keyed.where(cut.below).select(*names)
+    if cut.at is None:
+        return kept
+    last = keyed.where(cut.at).groupBy(*names).agg(F.count("*").alias("__n"))
+    # One kind of row here, but for collisions of both hashes.
+    upto = F.sum("__n").over(Window.orderBy(F.sha2(F.to_json(F.struct(*names)), 256)))
+    copies = F.least(F.col("__n"), F.lit(cut.more) - upto + F.col("__n"))
+    last = last.withColumn("__copies", copies).where(F.col("__copies") > 0)
+    last = last.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
+    return kept.union(last.select(*names))
 
 
-def hash_sample(
-    df: DataFrame, n: int, seed: int = 0, key: list[str] | None = None
-) -> DataFrame:
-    """``n`` rows chosen by a hash of their content: the same rows under any partitioning.
+def profiling_load(
+    df: DataFrame, max_rows: int, seed: int = 0, estimate: int | None = None, prefix: bool = False
+) -> ProfilingLoad:
+    """The whole table if it has at most ``max_rows`` rows, else a uniform sample of that many.
 
-    ``key`` names the hashed columns (default all). One job first counts the rows per hash
-    bucket and fetches the last bucket needed, so that only about ``n`` rows are ordered.
-    Equal rows are counted before they are exchanged and restored afterwards: a row that
-    fills a third of the table costs one row per task.
+    Without an estimate the rows are counted. ``prefix`` asks for the first rows in storage order
+    where there is no estimate, which reads no more than it returns and is no sample.
     """
-    names = df.columns
-    columns = [quoted(c) for c in names]
-    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), *[quoted(c) for c in key or names]))
-    bucket = F.shiftright("__h", 64 - HASH_BUCKET_BITS)
-
-    filled = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    enough = (
-        hashed.groupBy(bucket.alias("b"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("rows", F.sum("rows").over(filled))
-        .where(F.col("rows") >= n)
-        .agg(F.min("b"))
-        .first()[0]
-    )
-    kept = hashed if enough is None else hashed.where(bucket <= enough)
-
-    order = ["__h", *[quoted(f.name) for f in df.schema.fields if _is_orderable(f.dataType)]]
-    counted = kept.groupBy("__h", *columns).agg(F.count(F.lit(1)).alias("__n"))
-    # at most n distinct rows reach the one task that numbers them
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = counted.orderBy(*order).limit(n).withColumn("__upto", F.sum("__n").over(upto))
-    copies = F.least(F.col("__n"), F.lit(n) - F.col("__upto") + F.col("__n"))
-    return (
-        numbered.withColumn("__copies", copies)
-        .where(F.col("__copies") > 0)
-        .withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
-        .select(*columns)
-    )
-
-
-def _is_orderable(data_type: T.DataType) -> bool:
-    return not isinstance(data_type, (T.MapType, T.VariantType))
+    if estimate is None and prefix:
+        return ProfilingLoad(df.limit(max_rows), True, None, "prefix")
+    if (df.count() if estimate is None else estimate) <= max_rows:
+        return ProfilingLoad(df, False, estimate, "whole")
+    return ProfilingLoad(uniform_sample(df, max_rows, seed), True, estimate)

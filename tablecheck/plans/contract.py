@@ -22,7 +22,7 @@ from tablecheck.operators.rules import (
     SurplusCheck,
     TableCheck,
     get_rule,
-    param_errors,
+    read_params,
 )
 from tablecheck.operators.schema import check_drift
 
@@ -73,12 +73,12 @@ class _Entry:
             self.error, self.invalid = exc.args[0], True
             return
         self.severity = self.severity or self.rule.severity
-        wrong = param_errors(self.rule_id, self.params)
+        values, wrong = read_params(self.rule_id, self.params)
         if wrong:
             self.error, self.invalid = "; ".join(wrong), True
             return
         try:
-            self.measurement = self.rule.measure(df, self.params)
+            self.measurement = self.rule.measure(df, values)
         except Exception as exc:  # whatever one rule raises must not stop the others
             self.error = str(exc)
 
@@ -90,7 +90,10 @@ class _Entry:
     def analyse(self, df: DataFrame) -> None:
         """Turn an expression that Spark rejects into an error; runs no job."""
         try:
-            df.agg(self.measurement.count).schema
+            if isinstance(self.measurement, SurplusCheck):
+                frequencies(df, [self.measurement.column])[0].surplus().schema
+            else:
+                df.agg(self.measurement.count).schema
         except Exception as exc:
             self.measurement, self.error = None, str(exc)
 
@@ -138,10 +141,10 @@ def run_contract(df: DataFrame, contract: dict[str, Any]) -> DataFrame:
     entries = [_Entry(i, spec, df) for i, spec in enumerate(contract["rules"])]
     if not entries:
         return df.sparkSession.createDataFrame([], RESULT_SCHEMA)
-    _analyse(df, [e for e in entries if e.is_counted])
+    _analyse(df, entries)
 
     rejected = [e for e in entries if e.invalid]
-    isolated = [e for e in entries if e.measurement is not None and e.rule.isolated]
+    isolated = [e for e in entries if e.measurement is not None and not e.rule.total]
     together = [e for e in entries if not e.invalid and e not in isolated]
     surplus = [e for e in together if isinstance(e.measurement, SurplusCheck)]
     counted = [e for e in together if e not in surplus]
@@ -176,10 +179,15 @@ def _results(counted: DataFrame) -> DataFrame:
 
 def _analyse(df: DataFrame, entries: list[_Entry]) -> None:
     """Find the rules whose expressions Spark rejects: all at once, singly if any is."""
+    counted = [e for e in entries if e.is_counted]
+    surplus = [e for e in entries if isinstance(e.measurement, SurplusCheck)]
     try:
-        df.agg(F.count(F.lit(1)), *[e.measurement.count for e in entries]).schema
+        df.agg(F.count(F.lit(1)), *[e.measurement.count for e in counted]).schema
+        columns = list(dict.fromkeys(e.measurement.column for e in surplus))
+        for part in frequencies(df, columns) if columns else []:
+            part.surplus().schema
     except Exception:
-        for e in entries:
+        for e in counted + surplus:
             e.analyse(df)
 
 

@@ -2,10 +2,10 @@
 
 The exact profile reads each column in a fixed number of passes: one aggregation for
 everything a single pass can tell, one counting of values per column type for distinct
-counts and top values, and the interval narrowing of
-:mod:`tablecheck.operators.quantiles` for the quartiles. ``approx=True`` does it all in the
-first pass, with sketches and without any shuffle of values; its top values show texts of
-64 bytes or more by their SHA-256.
+counts, top values and quartiles, the latter by the interval narrowing of
+:mod:`tablecheck.operators.quantiles` over the counted values. ``approx=True`` does it all in the
+first pass, with sketches and without any shuffle of values; only texts of 64 bytes or more
+that are among the top values are looked up by a second pass over the text columns.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from tablecheck.operators.frequency import (
     duplicate_rows,
     frequencies,
 )
-from tablecheck.operators.quantiles import QUARTILES, quartiles
+from tablecheck.operators.quantiles import QUARTILES, counted_quartiles
 from tablecheck.operators.sampling import uniform_sample
 from tablecheck.operators.schema import fingerprint
 
@@ -42,6 +42,8 @@ APPROX_TRACKED = 1000
 
 _TOP_TYPE = "array<struct<value:string,count:bigint>>"
 
+_DATED = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
 # What one pass tells about a column, and the value tests on text columns. Statistics that
 # a column or mode does not have are null.
 _STATS = {
@@ -148,7 +150,8 @@ def profile_columns(
         [(i, f.name, f.dataType.simpleString(), _fixed_hint(f)) for i, f in enumerate(fields)],
         "ordinal int, name string, dtype string, fixed_hint string",
     )
-    parts = [described, _scan(df, approx=approx, stats=True, tests=hints is None)]
+    scan = _scan(df, approx=approx, stats=True, tests=hints is None)
+    parts = [described, *(_with_long_texts(df, scan) if approx else [scan])]
     if hints is not None:
         parts.append(_scan(hints, approx=approx, stats=False, tests=True))
     if not approx:
@@ -160,7 +163,7 @@ def profile_columns(
     merged = stacked.groupBy("ordinal").agg(
         *[F.expr(f"first({name}, true) AS {name}") for name in fields_of]
     )
-    return _report(merged).coalesce(1).orderBy("ordinal")
+    return _report(merged, approx).coalesce(1).orderBy("ordinal")
 
 
 def _hint_frame(df: DataFrame, rows: int | None) -> DataFrame | None:
@@ -168,7 +171,32 @@ def _hint_frame(df: DataFrame, rows: int | None) -> DataFrame | None:
     if rows is None:
         return None
     total = df.count()
-    return uniform_sample(df, rows, seed=0, total=total) if total > rows else None
+    return uniform_sample(df, rows, seed=0) if total > rows else None
+
+
+def _with_long_texts(df: DataFrame, scan: DataFrame) -> list[DataFrame]:
+    """The scan, with the texts behind the digests in its lists of top values.
+
+    The text columns are read again for the few digests that made a list.
+    """
+    texts = [(i, f) for i, f in enumerate(df.schema.fields) if is_string(f.dataType)]
+    if not texts:
+        return [scan]
+    is_text = F.col("ordinal").isin([i for i, _ in texts])
+    listed = scan.where(is_text).select("ordinal", F.posexplode("top_values").alias("place", "top"))
+    listed = listed.select("ordinal", "place", F.col("top.value").alias("key"), F.col("top.count").alias("count"))
+    pairs = [F.struct(F.lit(i).alias("ordinal"), quoted(f.name).cast("string").alias("value")) for i, f in texts]
+    digested = lambda c: F.octet_length(c) >= STRING_KEY_BYTES
+    values = df.select(F.inline(F.array(*pairs))).where(digested("value")).withColumn("key", F.sha2("value", 256))
+    wanted = listed.where(digested("key")).select("ordinal", "key")
+    found = values.join(F.broadcast(wanted), ["ordinal", "key"], "left_semi").distinct()
+    whole = listed.join(found, ["ordinal", "key"], "left")
+    ranked = F.sort_array(F.collect_list(F.struct("place", F.coalesce("value", "key").alias("value"), "count")))
+    tops = whole.groupBy("ordinal").agg(ranked.alias("ranked")).select(
+        "ordinal", F.transform("ranked", lambda t: F.struct(t["value"], t["count"])).cast(_TOP_TYPE).alias("top_values")
+    )
+    empty = F.size("top_values") == 0
+    return [scan.withColumn("top_values", F.when(~is_text | empty, F.col("top_values"))), tops]
 
 
 def _exact_parts(df: DataFrame) -> list[DataFrame]:
@@ -176,14 +204,11 @@ def _exact_parts(df: DataFrame) -> list[DataFrame]:
     parts = []
     for counted in frequencies(df):
         tops = counted.top(TOP_VALUES).groupBy("slot").agg(_listed().alias("top_values"))
-        for part in (counted.distinct().select("slot", "distinct_count"), tops):
-            parts.append(part.withColumnRenamed("slot", "ordinal"))
-    positions = [i for i, f in enumerate(df.schema.fields) if is_numeric(f.dataType)]
-    if positions:
-        ordinals = F.array(*[F.lit(i) for i in positions])
-        found = quartiles(df, [df.columns[i] for i in positions])
-        slot = ordinals[F.col("slot")]
-        parts.append(found.withColumn("slot", slot).withColumnRenamed("slot", "ordinal"))
+        own = [counted.distinct().select("slot", "distinct_count"), tops]
+        if is_numeric(counted.type):
+            # the counted values are the whole distribution: the table is not read again
+            own.append(counted_quartiles(counted.numbers()))
+        parts += [part.withColumnRenamed("slot", "ordinal") for part in own]
     return parts
 
 
@@ -219,7 +244,7 @@ def _scan_row(i: int, f: T.StructField, wanted: dict, have: dict, stats: bool) -
 
     def shown(name: str) -> str:
         source = f"{name}_{i}"
-        if name in ("min", "max") and is_temporal(f.dataType):
+        if name in ("min", "max") and isinstance(f.dataType, _DATED):
             return _iso_text(source)
         if name in ("min_num", "max_num"):
             source = f"{name[:3]}_{i}"
@@ -254,12 +279,13 @@ def _one_pass(i: int, f: T.StructField, approx: bool) -> dict[str, str]:
             stats["quartiles"] = (
                 f"percentile_approx(CAST({c} AS DOUBLE), array({shares}), {APPROX_ACCURACY})"
             )
-    elif is_temporal(f.dataType):
+    elif is_temporal(f.dataType) and not isinstance(f.dataType, T.CalendarIntervalType):
         stats |= {"min": f"min({c})", "max": f"max({c})"}
-    if approx and _is_sketchable(f.dataType):
+    if approx and _is_hashable(f.dataType):
         hashed = f"CASE WHEN {c} IS NOT NULL THEN xxhash64({c}) END"
         distinct = f"hll_sketch_estimate(hll_sketch_agg({hashed}, {APPROX_LOG_BUCKETS}))"
         stats["distinct_count"] = f"least({distinct}, count({c}))"
+    if approx and _is_sketchable(f.dataType):
         # long texts by their digests, so that no sketch holds more than short ones
         key = f"CASE WHEN octet_length({c}) < {STRING_KEY_BYTES} THEN {c} ELSE sha2({c}, 256) END"
         tracked = key if is_string(f.dataType) else c
@@ -267,6 +293,11 @@ def _one_pass(i: int, f: T.StructField, approx: bool) -> dict[str, str]:
     return stats
 
 
+def _is_hashable(data_type: T.DataType) -> bool:
+    """Types whose values have a hash."""
+    return not re.search("map<|variant|interval$", data_type.simpleString())
+
+
 def _is_sketchable(data_type: T.DataType) -> bool:
     """Types that the sketches behind ``approx`` accept."""
     plain = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -298,6 +329,10 @@ def _iso_text(value: str) -> str:
     )
 
 
+def _or(name: str, otherwise: Column, approx: bool) -> Column:
+    return F.col(name) if approx else F.coalesce(name, otherwise).alias(name)
+
+
 def _fixed_hint(f: T.StructField) -> str | None:
     """The hint that the type or the name of the column gives without its values."""
     if is_temporal(f.dataType):
@@ -305,7 +340,7 @@ def _fixed_hint(f: T.StructField) -> str | None:
     return "id" if re.search(text.ID_NAME_PATTERN, f.name) else None
 
 
-def _report(base: DataFrame) -> DataFrame:
+def _report(base: DataFrame, approx: bool) -> DataFrame:
     """Turn counts into the reported ratios, hints and types."""
     missing = [name for name in _STATS if name not in base.columns]
     base = base.withColumns({name: F.lit(None).cast(_STATS[name]) for name in missing})
@@ -318,11 +353,9 @@ def _report(base: DataFrame) -> DataFrame:
     hint = F.coalesce(
         F.col("fixed_hint"),
         F.when(passes["email"], "email")
-        # dates before phones: an ISO date also has the shape of a phone number
         .when(passes["date"], "date")
         .when(passes["phone"], "phone"),
     )
-    # the narrowest type first: integers also read as floats
     hidden = (("int", "Int64"), ("float", "Float64"), ("date", "Date"))
     return rates.select(
         "ordinal",
@@ -341,11 +374,12 @@ def _report(base: DataFrame) -> DataFrame:
         F.expr("CASE WHEN mean IS NOT NULL THEN struct(mean, std, p25, p50, p75) END").alias(
             "numeric"
         ),
-        F.coalesce("top_values", F.array().cast(_TOP_TYPE)).alias("top_values"),
+        # what the sketches cannot measure stays null
+        _or("top_values", F.array().cast(_TOP_TYPE), approx),
         hint.alias("semantic_hint"),
         F.coalesce(*[F.when(passes[t], name) for t, name in hidden]).alias("inferred_dtype"),
         F.coalesce(*[F.when(passes[t], F.col(t)) for t, _ in hidden]).alias("inferred_match_rate"),
         "row_count",
         "non_null_count",
-        F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"),
+        _or("distinct_count", F.lit(0), approx),
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,9 +10,6 @@ from tablecheck.functions.text import EMAIL_PATTERN
 from tablecheck.operators.rules import get_rule, param_errors
 from tablecheck.operators.schema import snapshot
 
-_DECODE = {"float": float, "int": int, "list": json.loads}
-
-
 def _proposal(applies: Column, rule_id: str, reason: str, **params: Column | str) -> Column:
     """A struct where the condition holds, else null."""
     given = {"column": F.col("name")} | {
@@ -78,8 +74,7 @@ def draft_contract(df: DataFrame, dataset: str, suggestions: DataFrame) -> dict[
         except KeyError:
             raise ValueError(f"invalid proposal: unknown rule '{row['rule_id']}'") from None
         params = {
-            k: _DECODE[spec[k].type](v) if k in spec and spec[k].type in _DECODE else v
-            for k, v in row["params"].items()
+            k: spec[k].parse(v) if k in spec else v for k, v in row["params"].items()
         }
         wrong = param_errors(row["rule_id"], params)
         if wrong:

@@ -1,7 +1,9 @@
 """Database sources over JDBC: whole tables, queries, samples, sized for profiling.
 
-Sampling runs in the database, so only the sampled rows travel. The planner's row estimate
-is PostgreSQL's; whole tables and queries work with any JDBC driver.
+What is read is always a relation in the FROM clause of the database. Reads are split over tasks
+by ranges of a partition column, whose bounds are looked up where they are not given; without
+such a column the protocol has one cursor, and one task reads it. The planner's row estimate and
+block samples are PostgreSQL's; tables and queries work with any driver.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecheck.operators.sampling import ProfilingLoad, sample_percent
+from tablecheck.operators.sampling import ProfilingLoad, sample_percent, uniform_sample
 
 # Fixed value: a table name, optionally with its schema. Names go into SQL text, so nothing
 # else is accepted.
 TABLE_NAME = r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?"
 
+NUM_PARTITIONS = 8
+
 
 def check_table_name(table: str) -> str:
     if not re.fullmatch(TABLE_NAME, table):
@@ -24,20 +28,19 @@ def check_table_name(table: str) -> str:
     return table
 
 
-def table_query(
-    table: str | None = None, query: str | None = None, sample_rows: int | None = None
-) -> str:
-    """The SQL text that reads a table, a random sample of one, or the given query."""
-    if (table is None) == (query is None):
-        raise ValueError("provide exactly one of 'table' or 'query'")
-    if query is not None:
-        if sample_rows is not None:
-            raise ValueError("sample_rows applies to 'table', not a custom 'query'")
-        return query
-    whole = f"SELECT * FROM {check_table_name(table)}"
-    if sample_rows is None:
-        return whole
-    return f"{whole} ORDER BY random() LIMIT {int(sample_rows)}"
+def relation(table: str | None = None, query: str | None = None, sample_rows: int | None = None) -> str:
+    """What stands in the FROM clause: a table, a subquery, or a random sample of a table."""
+    match table, query, sample_rows:
+        case str(), None, None:
+            return check_table_name(table)
+        case str(), None, int():
+            drawn = f"SELECT t.* FROM {check_table_name(table)} t ORDER BY random()"
+            return f"({drawn} FETCH FIRST {sample_rows} ROWS ONLY) sampled"
+        case None, str(), None:
+            return f"({query}) q"
+        case None, str(), _:
+            raise ValueError("a query decides itself how many rows it returns: no sample_rows")
+    raise ValueError("a database source is exactly one of table and query")
 
 
 def jdbc_options(
@@ -49,81 +52,74 @@ def jdbc_options(
     partition_column: str | None = None,
     lower_bound: Any = None,
     upper_bound: Any = None,
-    num_partitions: int | None = None,
+    num_partitions: int = NUM_PARTITIONS,
     **options: Any,
 ) -> dict[str, str]:
-    """Options of the JDBC reader. With ``partition_column``, its bounds and
-    ``num_partitions`` the table is read by that many tasks; a sample is read by one."""
-    text = table_query(table, query, sample_rows)
-    split = {
-        "partitionColumn": partition_column,
-        "lowerBound": lower_bound,
-        "upperBound": upper_bound,
-        "numPartitions": num_partitions,
-    }
-    given = {k: str(v) for k, v in split.items() if v is not None}
-    extra = {k: str(v) for k, v in options.items()}
-    if not given:
-        # a whole table by name lets Spark push its own projections and filters into it
-        source = {"dbtable": table} if table and sample_rows is None else {"query": text}
-        return {"url": url, **source, **extra}
-    if len(given) < len(split):
-        raise ValueError(f"a partitioned read needs all of {', '.join(split)}")
-    if sample_rows is not None:
-        raise ValueError("a sample cannot be read in partitions")
-    return {"url": url, "dbtable": table or f"({text}) q", **given, **extra}
-
-
-def load_jdbc(spark: SparkSession, url: str, **source: Any) -> DataFrame:
-    """Read a table or query; the keywords are those of :func:`jdbc_options`."""
-    return _read(spark, jdbc_options(url, **source))
+    """Options of the JDBC reader; a partitioned read needs both bounds here."""
+    made = {"url": url, "dbtable": relation(table, query, sample_rows)}
+    if partition_column is not None:
+        if sample_rows is not None:
+            raise ValueError("every range of a partitioned read would draw a sample of its own")
+        if lower_bound is None or upper_bound is None:
+            raise ValueError("a partitioned read needs lower_bound and upper_bound")
+        made |= {
+            "partitionColumn": partition_column, "lowerBound": str(lower_bound),
+            "upperBound": str(upper_bound), "numPartitions": str(num_partitions),
+        }
+    return made | {k: str(v) for k, v in options.items()}
+
+
+def load_jdbc(
+    spark: SparkSession, url: str, *, partition_column: str | None = None, lower_bound: Any = None,
+    upper_bound: Any = None, **source: Any,
+) -> DataFrame:
+    """Read a table or query; the keywords are those of :func:`jdbc_options`.
+
+    Bounds of the partition column that are not given are asked from the database.
+    """
+    if partition_column is not None and (lower_bound is None or upper_bound is None):
+        named = {k: source.get(k) for k in ("table", "query")}
+        other = {k: v for k, v in source.items() if k not in ("table", "query", "sample_rows", "num_partitions")}
+        column = check_table_name(partition_column)
+        ends = f"SELECT min({column}) AS low, max({column}) AS high FROM {relation(**named)}"
+        low, high = _read(spark, jdbc_options(url, query=ends, **other)).first()
+        lower_bound = low if lower_bound is None else lower_bound
+        upper_bound = high if upper_bound is None else upper_bound
+        if lower_bound is None:  # an empty table has no bounds and nothing to split
+            return _read(spark, jdbc_options(url, **source))
+    split = {"partition_column": partition_column, "lower_bound": lower_bound, "upper_bound": upper_bound}
+    return _read(spark, jdbc_options(url, **split, **source))
 
 
 def _read(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     return spark.read.format("jdbc").options(**options).load()
 
 
-def estimate_query(table: str) -> str:
-    """SQL that reads the planner's row estimate of a PostgreSQL table."""
-    schema, _, name = check_table_name(table).rpartition(".")
-    return (
-        "SELECT c.reltuples::bigint AS estimate "
-        "FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace "
-        f"WHERE n.nspname = '{schema or 'public'}' AND c.relname = '{name}' "
-        "AND c.relkind IN ('r', 'p', 'm')"
-    )
-
-
 def estimate_row_count(spark: SparkSession, url: str, table: str, **options: Any) -> int | None:
-    """The planner's estimate, without reading the table; None where it has none."""
-    row = _read(spark, jdbc_options(url, query=estimate_query(table), **options)).first()
-    known = row is not None and row["estimate"] is not None and row["estimate"] > 0
-    return int(row["estimate"]) if known else None
-
-
-def profiling_query(table: str, max_rows: int, seed: int, estimate: int | None) -> str:
-    """SQL that reads a table for profiling: all of it if it fits, a reproducible block
-    sample if it is larger, a bounded read if its size is unknown."""
-    whole = f"SELECT * FROM {check_table_name(table)}"
-    if estimate is None:
-        return f"{whole} LIMIT {int(max_rows)}"
-    if estimate <= max_rows:
-        return whole
-    percent = sample_percent(max_rows, estimate)
-    return (
-        f"{whole} TABLESAMPLE SYSTEM ({percent:.6f}) REPEATABLE ({int(seed)}) "
-        f"LIMIT {int(max_rows)}"
-    )
+    """PostgreSQL's estimate of a table, without reading it; None where it has none."""
+    # The name is looked up as the database itself would, along its search path.
+    query = f"SELECT reltuples AS rows FROM pg_class WHERE oid = to_regclass('{check_table_name(table)}')"
+    found = _read(spark, jdbc_options(url, query=query, **options)).first()
+    rows = int(found["rows"] or 0) if found else 0
+    return rows if rows > 0 else None
 
 
 def load_profiling(
     spark: SparkSession, url: str, *, table: str, max_rows: int, seed: int = 0, **options: Any
 ) -> ProfilingLoad:
-    """A database table sized for profiling, by its planner estimate."""
+    """A database table sized for profiling, by its planner estimate, else by its row count.
+
+    A table that does not fit is thinned in the database by a reproducible block sample, and cut
+    to ``max_rows`` uniformly, so that the sample has no prefix of the blocks.
+    """
     estimate = estimate_row_count(spark, url, table, **options)
-    fits = estimate is not None and estimate <= max_rows
-    if fits:
-        source = jdbc_options(url, table=table, **options)
-    else:
-        source = jdbc_options(url, query=profiling_query(table, max_rows, seed, estimate), **options)
-    return ProfilingLoad(_read(spark, source), not fits, estimate)
+    rows = estimate
+    if rows is None:
+        counted = f"SELECT count(*) AS rows FROM {check_table_name(table)}"
+        rows = int(_read(spark, jdbc_options(url, query=counted, **options)).first()["rows"])
+    if rows <= max_rows:
+        return ProfilingLoad(_read(spark, jdbc_options(url, table=table, **options)), False, estimate, "whole")
+    percent = sample_percent(max_rows, rows)
+    blocks = f"SELECT * FROM {table} TABLESAMPLE SYSTEM ({percent:.6f}) REPEATABLE ({int(seed)})"
+    drawn = _read(spark, jdbc_options(url, query=blocks, **options))
+    return ProfilingLoad(uniform_sample(drawn, max_rows, seed), True, estimate)

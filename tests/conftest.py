@@ -38,36 +38,40 @@ def spark(tmp_path_factory):
     return session
 
 
+# The twenty orders, as they stand in the example file.
+ORDERS = """
+1001 C001 alice@example.com 99.99 shipped 2026-05-15 +1-555-0101
+1001 C002 bob@example.com 149.50 delivered 2026-05-16 +1-555-0102
+1003 C003 carol@example.com 25.00 pending 2026-05-17 +1-555-0103
+1004 C004 dan@example.com 200.00 cancelled 2026-05-18 +1-555-0104
+1005 null eve@example.com 75.00 shipped 2026-05-19 +1-555-0105
+1006 C006 frank@example.com 50.00 delivered 2026-05-20 +1-555-0106
+1007 C007 grace@example.com 300.00 pending 2026-05-21 +1-555-0107
+1008 null henry@example.com 120.00 shipped 2026-05-22 +1-555-0108
+1009 C009 iris@example.com 89.99 delivered 2026-05-23 +1-555-0109
+1010 C010 jack@example.com 45.00 cancelled 2026-05-24 +1-555-0110
+1011 C011 kate@example.com -50.00 shipped 2026-05-25 +1-555-0111
+1012 C012 liam@example.com 175.00 pending 2026-05-26 +1-555-0112
+1013 C013 mia@example.com null delivered 2026-05-27 +1-555-0113
+1014 C014 noah@example.com 60.00 cancelled 2026-05-28 +1-555-0114
+1015 C015 not-an-email 90.00 shipped 2026-05-29 +1-555-0115
+1016 C016 pam@example.com 130.00 delivered 2026-05-30 +1-555-0116
+1017 C017 quinn@example.com 55.00 refunded 2026-05-31 +1-555-0117
+1018 C018 rosa@example.com 210.00 pending 2026-06-01 +1-555-0118
+1019 C019 sam@example.com 40.00 shipped 2020-01-15 +1-555-0119
+1020 C020 tina@example.com 95.00 delivered 2026-06-05 +1-555-0120
+"""
+
+
 def order_rows() -> list[tuple]:
-    names = (
-        "alice bob carol dan eve frank grace henry iris jack "
-        "kate liam mia noah - pam quinn rosa sam tina"
-    ).split()
-    amounts = [
-        99.99, 149.5, 25.0, 200.0, 75.0, 50.0, 300.0, 120.0, 89.99, 45.0,
-        -50.0, 175.0, None, 60.0, 90.0, 130.0, 55.0, 210.0, 40.0, 95.0,
-    ]
-    cycle = ["shipped", "delivered", "pending"]
-    statuses = (
-        cycle + ["cancelled"] + cycle + ["shipped", "delivered", "cancelled", "shipped"]
-        + ["pending", "delivered", "cancelled", "shipped", "delivered", "refunded", "pending"]
-        + ["shipped", "delivered"]
-    )
-    first = datetime.date(2026, 5, 15)
-    days = [first + datetime.timedelta(days=i) for i in range(18)]
-    days += [datetime.date(2020, 1, 15), datetime.date(2026, 6, 5)]
-    return [
-        (
-            1001 if i == 2 else 1000 + i,
-            None if i in (5, 8) else f"C{i:03d}",
-            "not-an-email" if names[i - 1] == "-" else f"{names[i - 1]}@example.com",
-            amounts[i - 1],
-            statuses[i - 1],
-            days[i - 1],
-            f"+1-555-{100 + i:04d}",
-        )
-        for i in range(1, ROWS + 1)
-    ]
+    rows = []
+    for line in ORDERS.split("\n")[1:-1]:
+        number, customer, email, amount, status, day, phone = line.split()
+        rows.append((
+            int(number), None if customer == "null" else customer, email,
+            None if amount == "null" else float(amount), status, datetime.date.fromisoformat(day), phone,
+        ))
+    return rows
 
 
 ORDERS_SCHEMA = (

@@ -1,5 +1,7 @@
 """Contract runs: order, isolation, empty tables, approval, severity, drift, extension."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,24 +202,23 @@ def test_families(names, fam):
 @pytest.mark.parametrize(
     "rule_id, params, errors",
     [
-        ("null_check", {"column": "x"}, []),
-        ("null_check", {"column": "x", "max_null_rate": 0.05}, []),
-        ("null_check", {"column": "x", "max_null_rate": 1}, []),
-        ("null_check", {"column": "x", "max_null_rate": None}, []),
-        ("null_check", {}, ["missing required param 'column'"]),
-        ("null_check", {"column": None}, ["missing required param 'column'"]),
-        ("regex_match", {}, ["missing required param 'column'", "missing required param 'pattern'"]),
-        ("null_check", {"colunm": "x"}, ["missing required param 'column'", "unknown param 'colunm'"]),
-        ("null_check", {"column": "x", "max_null_rate": "high"},
-         ["param 'max_null_rate' must be float, got str"]),
-        ("null_check", {"column": "x", "max_null_rate": True},
-         ["param 'max_null_rate' must be float, got bool"]),
-        ("allowed_values", {"column": "s", "values": "shipped"},
-         ["param 'values' must be list, got str"]),
-        ("min_row_count", {"min_rows": 1.5}, ["param 'min_rows' must be int, got float"]),
-        ("freshness", {"column": "d", "max_days": 1, "as_of": "soon"},
+        ("min_row_count", {"min_rows": 3}, []),
+        ("null_check", {"column": "a b", "max_null_rate": 0}, []),
+        ("range_check", {"column": "z", "min_val": None, "max_val": 7.5}, []),
+        ("freshness", {"column": "t", "max_days": 30, "as_of": datetime.date(2024, 2, 29)}, []),
+        ("freshness", {"column": "t", "max_days": 30, "as_of": "2024-02-29"}, []),
+        ("type_conformance", {}, ["missing required param 'column'", "missing required param 'expected_type'"]),
+        ("min_row_count", {"min_rows": None, "rows": 3},
+         ["missing required param 'min_rows'", "unknown param 'rows'"]),
+        ("unique_check", {"column": 5, "b": 1, "a": 1},
+         ["unknown param 'a'", "unknown param 'b'", "param 'column' must be str, got int"]),
+        ("range_check", {"column": "z", "max_val": "7"}, ["param 'max_val' must be float, got str"]),
+        ("range_check", {"column": "z", "min_val": False}, ["param 'min_val' must be float, got bool"]),
+        ("allowed_values", {"column": "z", "values": ("a",)}, ["param 'values' must be list, got tuple"]),
+        ("freshness", {"column": "t", "max_days": True}, ["param 'max_days' must be int, got bool"]),
+        ("freshness", {"column": "t", "max_days": 2, "as_of": "29.02.2024"},
          ["param 'as_of' must be date, got str"]),
-        ("freshness", {"column": "d", "max_days": 1, "as_of": "2026-01-01"}, []),
+        ("freshness", {"column": "t", "max_days": 2, "as_of": 2024}, ["param 'as_of' must be date, got int"]),
     ],
 )
 def test_param_errors(rule_id, params, errors):
@@ -292,21 +293,43 @@ def test_registered_measurements(orders, own_rules):
     assert [r.passed for r in rows] == [False, False, False]
 
 
-def test_isolated_rule_that_fails_while_running(orders, own_rules):
+def test_rule_that_fails_while_running(orders, own_rules):
     strict = lambda df, column: F.col(column).cast("int") > 0
-    own_rules("strict_cast", build=strict, isolated=True)
-    own_rules("isolated_surplus", build=lambda df, column: tc.SurplusCheck(column), isolated=True)
+    own_rules("strict_cast", build=strict)
+    own_rules("own_surplus", build=lambda df, column: tc.SurplusCheck(column))
     rows = run(
         orders,
         ("strict_cast", {"column": "status"}),
         ("strict_cast", {"column": "order_id"}),
-        ("isolated_surplus", {"column": "order_id"}),
+        ("own_surplus", {"column": "order_id"}),
         ("null_check", {"column": "order_id"}),
     )
     assert "CAST_INVALID_INPUT" in rows[0].error
     assert [r.violation_count for r in rows[1:]] == [ROWS, 1, 0]
 
 
+def test_rule_without_a_measurement(orders, own_rules):
+    own_rules("nothing", build=lambda df, column: None)
+    rows = run(orders, ("nothing", {"column": "email"}), ("null_check", {"column": "email"}))
+    assert "no measurement" in rows[0].error and rows[0].violation_rate is None
+    assert rows[1].passed
+
+
+def test_total_rules_share_the_scan(orders, own_rules):
+    own_rules("short", build=lambda df, column: F.length(column) < 5, total=True)
+    assert run(orders, ("short", {"column": "email"}))[0].passed
+
+
+def test_types_without_equality(spark):
+    df = spark.sql("SELECT id, parse_json('{\"a\": ' || id % 2 || '}') AS v, make_interval(0, id % 3) AS i FROM range(6)")
+    rows = run(df, ("unique_check", {"column": "v"}), ("unique_check", {"column": "i"}), ("unique_check", {"column": "id"}))
+    assert [r.violation_count for r in rows] == [4, 3, 0]
+    columns = {r["name"]: r for r in tc.profile_columns(df).collect()}
+    assert (columns["v"]["distinct_count"], columns["i"]["distinct_count"], columns["i"]["min"]) == (2, 3, None)
+    assert tc.duplicate_rows(df.drop("id")).first()["duplicate_row_count"] == 0
+    assert tc.duplicate_rows(df.drop("id", "i")).first()["duplicate_row_count"] == 4
+
+
 def test_rule_that_fails_while_built(orders, own_rules):
     def build(df, column):
         raise RuntimeError("no such luck")

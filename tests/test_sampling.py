@@ -1,6 +1,7 @@
-"""Samples: sizes, reproducibility, skew."""
+"""Samples: exact sizes, spread, reproducibility, skew."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import tablecheck as tc
 from tablecheck.operators.sampling import sample_percent
@@ -10,13 +11,32 @@ def ids(df):
     return sorted(r[0] for r in df.collect())
 
 
-@pytest.mark.parametrize("n, rows", [(5, 5), (500, 500), (1000, 1000), (2000, 1000)])
+def spread(sample, rows, parts=10):
+    """How many of the sampled numbers fall into each part of their range."""
+    counts = [0] * parts
+    for i in sample:
+        counts[i * parts // rows] += 1
+    return counts
+
+
+@pytest.mark.parametrize("n, rows", [(0, 0), (1, 1), (500, 500), (999, 999), (1000, 1000), (2000, 1000)])
 def test_uniform_sample_size(spark, n, rows):
-    df = spark.range(1000)
-    sample = ids(tc.uniform_sample(df, n, seed=3))
+    sample = ids(tc.uniform_sample(spark.range(1000), n, seed=3))
     assert len(sample) == rows == len(set(sample))
 
 
+@pytest.mark.parametrize("draw", [tc.uniform_sample, tc.hash_sample, lambda df, n, seed: tc.profiling_load(df, n, seed).df])
+def test_samples_reach_every_part_of_the_table(spark, draw):
+    rows, n = 200_000, 20_000
+    df = spark.range(0, rows, 1, 4)
+    sample = draw(df, n, seed=5)
+    found = ids(sample)
+    assert len(found) == len(set(found)) == n
+    assert all(1800 < c < 2200 for c in spread(found, rows))
+    # the sample keeps the partitions of the table
+    assert sample.select(F.spark_partition_id()).distinct().count() == 4
+
+
 def test_uniform_sample_is_reproducible_and_seeded(spark):
     df = spark.range(0, 20_000, 1, 4)
     one, same, other = (ids(tc.uniform_sample(df, 50, seed=s)) for s in (1, 1, 2))
@@ -26,37 +46,49 @@ def test_uniform_sample_is_reproducible_and_seeded(spark):
 
 def test_hash_sample_does_not_depend_on_partitioning(spark):
     df = spark.range(0, 5000).selectExpr("id", "id % 7 AS g")
-    samples = [ids(tc.hash_sample(df.repartition(p), 200, seed=1)) for p in (1, 2, 5)]
+    samples = [ids(tc.hash_sample(df.repartition(p), 200, seed=1)) for p in (1, 2, 8)]
     assert samples[0] == samples[1] == samples[2]
     assert len(set(samples[0])) == 200
     assert ids(tc.hash_sample(df, 200, seed=2)) != samples[0]
 
 
-@pytest.mark.parametrize("n", [10, 900, 1500, 5000])
+@pytest.mark.parametrize("n", [10, 900, 1500, 2999, 5000])
 def test_hash_sample_with_a_row_that_fills_a_third_of_the_table(spark, n):
     df = spark.range(0, 3000).selectExpr("if(id % 3 = 0, -1, id) AS id")
-    for seed in range(4):
+    for seed in range(3):
         sample = ids(tc.hash_sample(df, n, seed=seed))
         assert len(sample) == min(n, 3000)
         others = [i for i in sample if i != -1]
         assert len(set(others)) == len(others)
 
 
-def test_hash_sample_by_key_and_of_nothing(spark):
+def test_rows_of_one_key_are_sampled_uniformly(spark):
+    df = spark.range(0, 20_000).selectExpr("id", "id % 2 AS k")
+    found = ids(tc.hash_sample(df, 1000, key=["k"]))
+    assert len(found) == 1000 and len({i % 2 for i in found}) == 1
+    assert all(60 < c < 140 for c in spread(found, 20_000))
+    assert found == ids(tc.hash_sample(df.repartition(5), 1000, key=["k"]))
+
+
+def test_hash_sample_of_maps_and_of_nothing(spark):
     df = spark.range(0, 1000).selectExpr("id", "map('a', id) AS m")
-    assert len(ids(tc.hash_sample(df, 10, key=["id"]))) == 10
-    assert ids(tc.hash_sample(df.where("id < 0"), 10, key=["id"])) == []
+    assert len(ids(tc.hash_sample(df.drop("m"), 10, key=["id"]))) == 10
+    assert ids(tc.hash_sample(df.drop("m").where("id < 0"), 10, key=["id"])) == []
 
 
 def test_profiling_load(spark):
     df = spark.range(0, 10_000, 1, 4)
     whole = tc.profiling_load(df, 10_000, estimate=10_000)
-    assert (whole.sampled, whole.estimated_rows, whole.df) == (False, 10_000, df)
+    assert (whole.sampled, whole.estimated_rows, whole.df, whole.method) == (False, 10_000, df, "whole")
     part = tc.profiling_load(df, 500, estimate=10_000)
-    assert part.sampled and part.df.count() == 500
+    assert (part.sampled, part.df.count(), part.method) == (True, 500, "sample")
     assert ids(part.df) == ids(tc.profiling_load(df, 500, estimate=10_000).df)
     unknown = tc.profiling_load(df, 500)
-    assert (unknown.sampled, unknown.estimated_rows, unknown.df.count()) == (True, None, 500)
+    assert (unknown.sampled, unknown.estimated_rows, unknown.method) == (True, None, "sample")
+    assert all(20 < c < 85 for c in spread(ids(unknown.df), 10_000))
+    assert tc.profiling_load(df, 10_000).sampled is False
+    prefix = tc.profiling_load(df, 500, prefix=True)
+    assert (prefix.sampled, prefix.method, prefix.df.count()) == (True, "prefix", 500)
 
 
 def test_sample_percent():

@@ -53,6 +53,29 @@ def test_csv_and_parquet_give_the_same_profile(spark, tmp_path, orders):
     assert same[0] == same[1]
 
 
+def test_quoted_csv_fields(spark, tmp_path):
+    import duckdb
+
+    path = tmp_path / "notes.csv"
+    path.write_text(
+        'id,note,amount\n1,"He said ""hi"", ok",2.5\n2,"two\nlines",3\n3,"a,b",\n4,"",5\n5,plain,6\n6,"back\\slash",7\n'
+    )
+    want = duckdb.sql(f"SELECT * FROM read_csv('{path}', header = true, quote = '\"', escape = '\"')").fetchall()
+    for given in ({}, {"schema": "id int, note string, amount double"}):
+        got = [tuple(r) for r in tc.load_table(spark, str(path), **given).orderBy("id").collect()]
+        assert [(i, n or None, a) for i, n, a in got] == [(i, n or None, a) for i, n, a in want]
+    simple = tmp_path / "simple.csv"
+    simple.write_text('id,note\n1,"a ""b"""\n2,c\n')
+    assert tc.load_table(spark, str(simple), multi_line=False).orderBy("id").collect()[0]["note"] == 'a "b"'
+
+
+def test_broken_csv_lines_fail(spark, tmp_path):
+    path = tmp_path / "broken.csv"
+    path.write_text("a,b\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tc.load_table(spark, str(path), schema="a int, b int").collect()
+
+
 def test_unsupported_and_missing(spark, tmp_path):
     with pytest.raises(ValueError, match="unsupported file type '.xlsx'"):
         tc.load_table(spark, "orders.xlsx")
@@ -68,14 +91,17 @@ def test_catalog_tables(spark, orders):
     assert tc.estimate_table_rows(spark, "shop_orders") is None
     unknown = tc.load_table_profiling(spark, table="shop_orders", max_rows=5)
     assert (unknown.sampled, unknown.estimated_rows, unknown.df.count()) == (True, None, 5)
+    prefix = tc.load_table_profiling(spark, table="shop_orders", max_rows=5, prefix=True)
+    assert (prefix.method, prefix.df.count()) == ("prefix", 5)
     spark.sql("ANALYZE TABLE shop_orders COMPUTE STATISTICS")
-    assert tc.estimate_table_rows(spark, "default.shop_orders") == ROWS
+    assert tc.estimate_table_rows(spark, "spark_catalog.default.shop_orders") == ROWS
     whole = tc.load_table_profiling(spark, table="shop_orders", max_rows=ROWS)
     assert (whole.sampled, whole.df.count()) == (False, ROWS)
     part = tc.load_table_profiling(spark, table="shop_orders", max_rows=5)
-    assert part.sampled and part.df.count() <= 5
-    with pytest.raises(ValueError, match="invalid table name"):
-        tc.estimate_table_rows(spark, "shop_orders; DROP TABLE x")
+    assert part.sampled and part.df.count() == 5
+    for name in ("shop_orders -- no", "a.b.c.d", "a..b"):
+        with pytest.raises(ValueError, match="invalid table name"):
+            tc.estimate_table_rows(spark, name)
     spark.sql("DROP TABLE shop_orders")
 
 
@@ -83,86 +109,93 @@ def test_catalog_tables(spark, orders):
 
 
 def test_exactly_one_source():
-    for source in ({}, {"table": "orders", "query": "SELECT 1"}):
+    for source in ({}, {"table": "items", "query": "SELECT 2"}, {"sample_rows": 3}):
         with pytest.raises(ValueError, match="exactly one"):
             jdbc.jdbc_options(URL, **source)
 
 
-@pytest.mark.parametrize("name", ["orders; DROP TABLE x", "a.b.c", "1a", "", "a b", "orders\n"])
+@pytest.mark.parametrize("name", ["items--", "one.two.three", "9lives", "", "two words", "items\t", "'quoted'"])
 def test_table_names(name):
-    with pytest.raises(ValueError, match="invalid table name"):
-        jdbc.table_query(table=name)
-    with pytest.raises(ValueError, match="invalid table name"):
-        jdbc.estimate_query(name)
-    with pytest.raises(ValueError, match="invalid table name"):
-        jdbc.profiling_query(name, 10, 0, None)
+    for read in (jdbc.relation, lambda n: jdbc.relation(n, sample_rows=2), lambda n: tc.estimate_row_count(None, URL, n)):
+        with pytest.raises(ValueError, match="invalid table name"):
+            read(name)
 
 
 def test_options():
-    assert jdbc.jdbc_options(URL, table="shop.orders") == {"url": URL, "dbtable": "shop.orders"}
-    assert jdbc.jdbc_options(URL, query="SELECT 1", fetchsize=100) == {
-        "url": URL, "query": "SELECT 1", "fetchsize": "100",
+    assert jdbc.jdbc_options(URL, table="stock.items") == {"url": URL, "dbtable": "stock.items"}
+    assert jdbc.jdbc_options(URL, query="SELECT 2", fetchsize=50) == {
+        "url": URL, "dbtable": "(SELECT 2) q", "fetchsize": "50",
     }
-    sampled = jdbc.jdbc_options(URL, table="orders", sample_rows=100)
-    assert sampled["query"] == "SELECT * FROM orders ORDER BY random() LIMIT 100"
-    with pytest.raises(ValueError, match="sample_rows applies to 'table'"):
-        jdbc.jdbc_options(URL, query="SELECT 1", sample_rows=100)
+    drawn = jdbc.jdbc_options(URL, table="items", sample_rows=40)["dbtable"]
+    assert drawn == "(SELECT t.* FROM items t ORDER BY random() FETCH FIRST 40 ROWS ONLY) sampled"
+    with pytest.raises(ValueError, match="sample_rows"):
+        jdbc.jdbc_options(URL, query="SELECT 2", sample_rows=40)
 
 
 def test_partitioned_reads():
-    split = dict(partition_column="id", lower_bound=0, upper_bound=100, num_partitions=8)
-    options = jdbc.jdbc_options(URL, table="orders", **split)
-    assert (options["dbtable"], options["numPartitions"]) == ("orders", "8")
-    assert jdbc.jdbc_options(URL, query="SELECT 1 AS id", **split)["dbtable"] == "(SELECT 1 AS id) q"
-    with pytest.raises(ValueError, match="needs all of"):
-        jdbc.jdbc_options(URL, table="orders", partition_column="id")
+    split = dict(partition_column="nr", lower_bound=1, upper_bound=90, num_partitions=3)
+    options = jdbc.jdbc_options(URL, table="items", **split)
+    assert (options["dbtable"], options["numPartitions"], options["upperBound"]) == ("items", "3", "90")
+    assert jdbc.jdbc_options(URL, query="SELECT 2 AS nr", **split)["dbtable"] == "(SELECT 2 AS nr) q"
+    with pytest.raises(ValueError, match="lower_bound"):
+        jdbc.jdbc_options(URL, table="items", partition_column="nr")
     with pytest.raises(ValueError, match="sample"):
-        jdbc.jdbc_options(URL, table="orders", sample_rows=5, **split)
+        jdbc.jdbc_options(URL, table="items", sample_rows=4, **split)
 
 
 @pytest.fixture
 def database(spark, monkeypatch):
-    """Answers estimate queries with ``estimate``, other reads with three rows."""
-    state = SimpleNamespace(reads=[], estimate=None)
+    """Answers what is asked of the catalog and of counts and bounds, and other reads with rows."""
+    state = SimpleNamespace(reads=[], estimate=None, rows=3, bounds=(1, 9))
 
     def read(session, options):
         state.reads.append(options)
-        if "pg_class" in options.get("query", ""):
-            rows = [] if state.estimate is None else [(state.estimate,)]
-            return session.createDataFrame(rows, "estimate bigint")
-        return session.range(3)
+        asked = options["dbtable"]
+        if "pg_class" in asked:
+            rows = [] if state.estimate is None else [(float(state.estimate),)]
+            return session.createDataFrame(rows, "rows float")
+        if "count(*)" in asked:
+            return session.createDataFrame([(state.rows,)], "rows long")
+        if "min(" in asked:
+            return session.createDataFrame([state.bounds], "low long, high long")
+        return session.range(state.rows)
 
     monkeypatch.setattr(jdbc, "_read", read)
     return state
 
 
-@pytest.mark.parametrize("estimate, known", [(5000, 5000), (-1, None), (0, None), (None, None)])
+@pytest.mark.parametrize("estimate, known", [(7000, 7000), (-1, None), (0, None), (None, None)])
 def test_row_estimate(spark, database, estimate, known):
     database.estimate = estimate
-    assert tc.estimate_row_count(spark, URL, "orders") == known
-    text = database.reads[0]["query"]
-    assert "reltuples" in text and "nspname = 'public'" in text and "relname = 'orders'" in text
-    tc.estimate_row_count(spark, URL, "shop.orders")
-    assert "nspname = 'shop'" in database.reads[1]["query"]
-
-
-@pytest.mark.parametrize(
-    "estimate, sampled, read",
-    [
-        (100, False, {"dbtable": "orders"}),
-        (10_000_000, True, {"query": "SELECT * FROM orders TABLESAMPLE SYSTEM (0.750000) "
-                                     "REPEATABLE (0) LIMIT 50000"}),
-        (None, True, {"query": "SELECT * FROM orders LIMIT 50000"}),
-    ],
-)
-def test_profiling_load(spark, database, estimate, sampled, read):
-    database.estimate = estimate
-    load = tc.load_profiling(spark, URL, table="orders", max_rows=50_000)
-    assert (load.sampled, load.estimated_rows) == (sampled, estimate)
-    assert database.reads[-1] == {"url": URL, **read}
-    assert load.df.count() == 3
+    assert tc.estimate_row_count(spark, URL, "stock.items") == known
+    assert "to_regclass('stock.items')" in database.reads[0]["dbtable"]
+
+
+def test_profiling_load(spark, database):
+    database.estimate, database.rows = 80, 80
+    load = tc.load_profiling(spark, URL, table="items", max_rows=200)
+    assert (load.sampled, load.estimated_rows, load.method) == (False, 80, "whole")
+    assert database.reads[-1] == {"url": URL, "dbtable": "items"}
+
+    database.estimate, database.rows = 4_000_000, 900  # rows: what the block sample returns
+    load = tc.load_profiling(spark, URL, table="items", max_rows=600, seed=4)
+    assert (load.sampled, load.estimated_rows, load.df.count()) == (True, 4_000_000, 600)
+    blocks = [r["dbtable"] for r in database.reads if "TABLESAMPLE" in r["dbtable"]]
+    assert blocks == ["(SELECT * FROM items TABLESAMPLE SYSTEM (0.022500) REPEATABLE (4)) q"]
+
+    database.estimate, database.rows = None, 900
+    load = tc.load_profiling(spark, URL, table="items", max_rows=600)
+    assert (load.sampled, load.estimated_rows, load.df.count()) == (True, None, 600)
+    load = tc.load_profiling(spark, URL, table="items", max_rows=900)
+    assert (load.sampled, load.df.count()) == (False, 900)
 
 
 def test_load_jdbc(spark, database):
-    assert tc.load_jdbc(spark, URL, table="orders", user="me").count() == 3
-    assert database.reads == [{"url": URL, "dbtable": "orders", "user": "me"}]
+    assert tc.load_jdbc(spark, URL, table="items", user="me").count() == 3
+    assert database.reads == [{"url": URL, "dbtable": "items", "user": "me"}]
+    tc.load_jdbc(spark, URL, table="items", partition_column="nr", user="me")
+    assert "min(nr)" in database.reads[1]["dbtable"] and database.reads[1]["user"] == "me"
+    assert (database.reads[2]["lowerBound"], database.reads[2]["upperBound"]) == ("1", "9")
+    database.bounds = (None, None)
+    tc.load_jdbc(spark, URL, table="items", partition_column="nr")
+    assert "partitionColumn" not in database.reads[-1]

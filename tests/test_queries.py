@@ -19,7 +19,7 @@ def connection():
     return oracle.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(entry_points.oracle_sql()))
 def test_query(spark, connection, name):
     got = oracle.spark_rows(entry_points.queries()[name](spark, SF_DIR))
     assert got == oracle.sql_rows(connection, entry_points.oracle_sql()[name])

@@ -9,8 +9,9 @@ the region: two values where nodes are sparse, all eight where they crowd. Where
 neighbour shares three values the region is crowded: there a node may have more neighbours at
 full depth than a tree shows it. So nodes of crowded regions that are not in a large component,
 and the middles of large ones, are also compared with the middles of the large components in
-their region, the nodes most like the consensus of its sketches, then with the next, until that
-brings no new link.
+their region, the nodes most like the consensus of its sketches. What is then still outside the
+component that has most of a region is compared with all nodes of the region, on the full sets
+and in cells of bounded size that return links only, one for each component.
 
 Candidates whose sketches (one byte for each signature value) are far below the threshold go
 first. The others are confirmed on the full sets of shingles: first neighbours next to each
@@ -46,6 +47,7 @@ NEIGHBOURS = 6
 LEAST_PREFIX, CROWDED_PREFIX = 2, 3
 CHAIN_TREES = 4
 HUB_NODES, HUB_SAMPLE, HUBS = 16, 256, 8
+CELL_NODES = 512
 _FACTORS = np.random.Generator(np.random.Philox(key=29)).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
 
 _LABELS = (
@@ -212,14 +214,13 @@ def _consensus(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"root": rows["root"].head(1), "middle": [counts.argmax(axis=1).astype(np.uint8).tobytes()]})
 
 
-def _hubs(members: DataFrame, used: DataFrame | None) -> DataFrame:
+def _hubs(members: DataFrame) -> DataFrame:
     """The middle of each component, as ``root, hub``: of each share of its nodes the one that
-    is most like the consensus of a sample of the component and has not been used."""
+    is most like the consensus of a sample of the component."""
     drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < F.lit(float(HUB_SAMPLE)) / F.col("size")
     middles = members.where(drawn).select("root", "sketch").groupBy("root").applyInPandas(_consensus, "root long, middle binary")
-    left = members if used is None else members.join(used, "node", "left_anti")
     likeness = _agreeing()("sketch", "middle")
-    scored = left.join(written(middles, "middles"), "root").select("root", "node", likeness.alias("likeness"))
+    scored = members.join(written(middles, "middles"), "root").select("root", "node", likeness.alias("likeness"))
     share = F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(HUBS)).alias("share")
     best = scored.groupBy("root", share).agg(F.max(F.struct("likeness", (-F.col("node")).alias("last"))).alias("best"))
     return written(best.select("root", (-F.col("best.last")).alias("hub")), "hubs")
@@ -233,8 +234,58 @@ def _large(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return written(members.dropDuplicates(["node"]), "members")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links between nodes: enough of them to give all components."""
+def _cell(percent: int):
+    """Loose nodes and members that share a cell, with their full sets, to links: for each loose
+    node one to every component it is similar to a member of."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        members, loose = rows[~rows["loose"]], rows[rows["loose"]]
+        sets = [_unpacked(s) for s in members["shingles"]]
+        sizes, found = np.array([len(s) for s in sets], dtype=np.int64), []
+        if len(sets) and len(loose):
+            whole, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(whole, kind="stable")
+            whole, owner = whole[order], owner[order]
+            nodes, roots = members["node"].to_numpy(), members["root"].to_numpy()
+            for node, root, packed in zip(loose["node"], loose["root"], loose["shingles"]):
+                own = _unpacked(packed)
+                low, high = np.searchsorted(whole, own, "left"), np.searchsorted(whole, own, "right")
+                hits = np.concatenate([owner[a:b] for a, b in zip(low, high)])
+                common = np.bincount(hits, minlength=len(sets))
+                like = (100 * common >= percent * (sizes + len(own) - common)) & (roots != root)
+                _, first = np.unique(roots[like], return_index=True)
+                found += [(min(node, other), max(node, other)) for other in nodes[like][first]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
+def _exhaustive(crowds: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """All links in crowded regions that join components: nodes outside the component that has
+    most of a region are compared with all nodes of it, in cells of bounded size."""
+    region = ["tree", "prefix"]
+    rows = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = written(rows.select(*region, "node", "root"), "crowded")
+    counts = rows.groupBy(*region, "root").agg(F.count("*").alias("held"))
+    sizes = counts.groupBy(*region).agg(F.sum("held").alias("size"), F.max(F.struct("held", "root")).alias("most"))
+    parts = lambda n: F.ceil(n / F.lit(float(CELL_NODES))).cast("int")
+    sizes = sizes.select(
+        *region, F.col("most.root").alias("main"), parts(F.col("size")).alias("across"),
+        parts(F.col("size") - F.col("most.held")).alias("down"),
+    )
+    rows = rows.join(written(sizes.where("down > 0"), "regions"), region)
+    share = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    cell = [*region, "column", "line"]
+    members = rows.withColumn("column", share(F.col("across"))).withColumn("line", every(F.col("down")))
+    loose = rows.where("root != main").withColumn("line", share(F.col("down"))).withColumn("column", every(F.col("across")))
+    columns = [*cell, "node", "root"]
+    both = members.select(*columns, F.lit(False).alias("loose")).union(loose.select(*columns, F.lit(True).alias("loose")))
+    return both.join(sets, "node").groupBy(*cell).applyInPandas(_cell(percent), "a long, b long").distinct()
+
+
+def _roots(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """``node, root`` of the components of all nodes that have links."""
     forest = nodes.select("node", F.col("n_shingles").alias("n"), F.explode(F.expr(_LABELS)).alias("at"))
     forest = forest.select(F.col("at.tree").alias("tree"), F.col("at.label").alias("label"), "node", "n")
     order = ["tree", "label", "node"]
@@ -254,26 +305,23 @@ def _links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFr
     sets = texts.mapInPandas(_full_sets(size), "node long, shingles binary")
     sets = written(sets.dropDuplicates(["node"]), "sets")
 
-    links = written(_confirmed(pairs.where("next"), sets, percent), "links")
-    rest = _apart(pairs.where("not next"), components(links))
-    links = written(links.union(_confirmed(rest, sets, percent)), "links")
-    used = None
-    while not crowds.isEmpty():
-        roots = components(links)
-        members = _large(nodes, roots)
-        hubs = _hubs(members, used)
-        used = hubs.select(F.col("hub").alias("node")) if used is None else used.union(hubs.select("hub"))
-        places = hubs.join(nodes.select(F.col("node").alias("hub"), F.explode(F.expr(_LABELS)).alias("at")), "hub")
-        places = places.select(F.col("at.tree").alias("tree"), F.substring("at.label", 1, 4 * CROWDED_PREFIX).alias("prefix"), "hub")
-        places = written(places, "places")
-        loose = crowds.join(members.select("node"), "node", "left_anti").select("tree", "prefix", "node")
-        found = loose.union(places).join(places, ["tree", "prefix"]).where("node != hub")
-        found = found.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        fresh = written(_confirmed(_likely(_apart(found, roots), nodes, percent), sets, percent), "links")
-        if fresh.isEmpty():
-            break
-        links = links.union(fresh)
-    return links
+    first = written(_confirmed(pairs.where("next"), sets, percent), "links")
+    roots = components(first)
+    fresh = _confirmed(_apart(pairs.where("not next"), roots), sets, percent)
+    roots = components(written(fresh, "links"), roots)
+    if crowds.isEmpty():
+        return roots
+
+    members = _large(nodes, roots)
+    places = _hubs(members).join(nodes.select(F.col("node").alias("hub"), F.explode(F.expr(_LABELS)).alias("at")), "hub")
+    places = places.select(F.col("at.tree").alias("tree"), F.substring("at.label", 1, 4 * CROWDED_PREFIX).alias("prefix"), "hub")
+    places = written(places, "places")
+    loose = crowds.join(members.select("node"), "node", "left_anti").select("tree", "prefix", "node")
+    found = loose.union(places).join(places, ["tree", "prefix"]).where("node != hub")
+    found = found.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    fresh = _confirmed(_likely(_apart(found, roots), nodes, percent), sets, percent)
+    roots = components(written(fresh, "links"), roots)
+    return components(written(_exhaustive(crowds, sets, roots, percent), "links"), roots)
 
 
 def near_duplicates(
@@ -291,13 +339,13 @@ def near_duplicates(
         F.first("signature").alias("signature"), F.first("sketch").alias("sketch"),
     )
     nodes = written(nodes, "nodes")
-    links = _links(slim, nodes, size, percent)
+    roots = _roots(slim, nodes, size, percent)
     # A row that repeats an id with another text joins the two nodes.
     own = nodes.select(F.col("digest"), F.col("node"))
     at = linked.select("doc_id", "digest").join(own, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     twice = at.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low != high")
     twice = twice.select(F.col("low").alias("a"), F.col("high").alias("b"))
-    roots = components(links.union(twice))
+    roots = components(twice, roots)
     classes = own.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     rows = rows.join(classes, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -3,7 +3,8 @@
 ``BENCH_SF_DIR`` is the folder of the tables, ``BENCH_CPUS`` the number of local cores,
 ``BENCH_RUNS`` how often each query is timed after one untimed run; the median counts.
 ``value`` is the sum over the headline queries. ``contract_lineitem_one_job_per_rule`` runs
-the same contract rule by rule, for comparison, and is not part of the sum.
+the same contract rule by rule, for comparison, and is not part of the sum. ``skewed`` times
+queries once on a wider input in many files, in which one key has a third of all rows.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -65,6 +67,26 @@ def one_job_per_rule(spark: SparkSession, sf_dir: str) -> None:
         tc.run_contract(lineitem, approved(rule)).collect()
 
 
+COPIES, FILES = 5, 16
+
+
+def skewed(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, float]:
+    """Seconds on copies of ``lineitem`` with other keys, one of them in a third of the rows."""
+    copy = F.explode(F.sequence(F.lit(1), F.lit(COPIES))).alias("copy")
+    wide = table(spark, sf_dir, "lineitem").select("*", copy)
+    key = F.when(F.col("l_partkey") % 3 == 0, F.lit(1)).otherwise(F.col("l_orderkey") * COPIES + F.col("copy"))
+    wide = wide.withColumn("l_orderkey", key.cast("long")).drop("copy")
+    wide.repartition(FILES).write.parquet(f"{folder}/lineitem")
+    df = spark.read.parquet(f"{folder}/lineitem")
+    runs = {
+        "contract": lambda: tc.run_contract(df, approved(*LINEITEM_RULES)),
+        "duplicate_rows": lambda: tc.duplicate_rows(df),
+        "profile_columns": lambda: tc.profile_columns(df),
+        "uniform_sample": lambda: tc.uniform_sample(df, 100_000).agg(F.count("*")),
+    }
+    return {name: timed(lambda: build().collect(), 1) for name, build in runs.items()}
+
+
 def timed(run, runs: int) -> float:
     run()
     seconds = []
@@ -87,6 +109,8 @@ def main() -> None:
         for name, build in headline.items()
     }
     compared = timed(lambda: one_job_per_rule(spark, sf_dir), runs)
+    with tempfile.TemporaryDirectory() as folder:
+        hot = skewed(spark, sf_dir, folder)
     print(
         json.dumps(
             {
@@ -95,6 +119,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": times,
                 "compared": {"contract_lineitem_one_job_per_rule": compared},
+                "skewed": hot,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "cpus": int(cpus),
                 "spark": spark.version,

@@ -288,6 +288,39 @@ def score_contract(spark, sf_dir):
     )
 
 
+def listed_sql(status: str) -> str:
+    issue = "rule_id || '(' || coalesce(column_name, '-') || ')'"
+    order = "ORDER BY rule_id, column_name NULLS FIRST"
+    return f"coalesce(string_agg({issue}, ' ' {order}) FILTER (WHERE status = '{status}'), '') AS {status}"
+
+
+@query("score_lists", f"SELECT {', '.join(map(listed_sql, ('caught', 'missed', 'spurious')))} FROM ({STATUS_SQL})")
+def score_lists(spark, sf_dir):
+    """The issues themselves, in the order of the lists."""
+    scored = tc.score(orders_results(spark, sf_dir), tc.expected_issues(spark, EXPECTED))
+    text = lambda i: F.concat(i["rule_id"], F.lit("("), F.coalesce(i["column_name"], F.lit("-")), F.lit(")"))
+    return scored.select(*[F.array_join(F.transform(s, text), " ").alias(s) for s in ("caught", "missed", "spurious")])
+
+
+@query(
+    "contract_drift",
+    """
+    SELECT 'schema drift for dataset ''customer'', contract needs re-scoping: column ''c_phone'' removed; '
+           || 'column ''c_nationkey'' added; column ''c_acctbal'' changed type: Int64 -> double' AS error,
+           count(*)::BIGINT AS rows_not_tested
+    FROM customer
+    """,
+)
+def contract_drift(spark, sf_dir):
+    """What a run raises on a table that no longer has the schema of its contract."""
+    customer = tc.load_parquet(spark, f"{sf_dir}/customer.parquet")
+    rules = approved(("min_row_count", {"min_rows": 1}), dataset="customer", columns=CUSTOMER_SNAPSHOT)
+    try:
+        return tc.run_contract(customer, rules)
+    except tc.SchemaDriftError as drift:
+        return customer.agg(F.lit(str(drift)).alias("error"), F.count("*").alias("rows_not_tested"))
+
+
 @query(
     "report_summary",
     f"""

@@ -226,6 +226,32 @@ def profile_approx(spark, sf_dir):
     )
 
 
+EMPTY_ORDERS = "o_totalprice + o_custkey < 0"
+
+
+@query(
+    "profile_empty",
+    " UNION ALL ".join(
+        f"""
+        SELECT '{c}' AS name, count(*)::BIGINT AS row_count, count(DISTINCT {c})::BIGINT AS distinct_count,
+               NULL::DOUBLE AS null_rate, NULL::DOUBLE AS uniqueness_ratio, NULL::DOUBLE AS mean, min({c})::VARCHAR AS "min",
+               0 AS listed, {hint} AS semantic_hint
+        FROM orders WHERE {EMPTY_ORDERS}"""
+        for c, hint in (
+            ("o_orderkey", "NULL"), ("o_custkey", "NULL"), ("o_orderstatus", "NULL"),
+            ("o_totalprice", "NULL"), ("o_orderdate", "'date'"), ("o_orderpriority", "NULL"),
+        )
+    ),
+)
+def profile_empty(spark, sf_dir):
+    """The profile of a table in which no row is left."""
+    profiled = tc.profile_columns(table(spark, sf_dir, "orders").where(EMPTY_ORDERS))
+    return profiled.select(
+        "name", "row_count", "distinct_count", "null_rate", "uniqueness_ratio", F.col("numeric.mean").alias("mean"),
+        "min", F.size("top_values").alias("listed"), "semantic_hint",
+    )
+
+
 # --- order statistics ---
 
 SKEWED = {

@@ -1,13 +1,11 @@
+"""Fixtures and helpers of these tests. They are imported, as a second conftest would hide the first."""
+
 from __future__ import annotations
 
 import random
-import sys
-from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
-
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -47,3 +45,7 @@ def awkward():
 @pytest.fixture()
 def rng():
     return random.Random(7)
+
+
+def words(rng, n: int, letters: str = "abcdefghij") -> list[str]:
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n)]

@@ -5,6 +5,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from tablecheck.llm import exact_dedup
+from llm_fixtures import awkward, documents, rng  # noqa: F401
 
 
 def expected(rows):

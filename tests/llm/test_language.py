@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tablecheck.llm import language
+from llm_fixtures import awkward, documents, rng  # noqa: F401
 
 VOWELS = {"aa": "aei", "bb": "ouy", "cc": "äöü"}
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablecheck.llm import mixing
+from llm_fixtures import awkward, documents, rng  # noqa: F401
 
 
 def size(text):

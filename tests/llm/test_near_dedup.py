@@ -4,7 +4,7 @@ import pytest
 
 from tablecheck.llm import near_dedup
 from tablecheck.llm.components import components
-from tests_llm import words
+from llm_fixtures import awkward, documents, rng, words  # noqa: F401
 
 SF_DIR = "/root/testdata/sf0.001"
 

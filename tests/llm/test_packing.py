@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tablecheck.llm import packing
+from llm_fixtures import awkward, documents, rng  # noqa: F401
 
 SAMPLES = [
     "", " ", "It's  we'll THEY'VE 123abc 45.6", "ünï ©ode 漢字 ​　x", "a\n\n b\t\r\n c   ", "<|endoftext|> and <|endoftext|>",

@@ -7,6 +7,7 @@ from tablecheck.llm import exact_dedup, near_dedup
 from tablecheck.llm.common import written
 from test_exact_dedup import expected as exact_groups
 from test_near_dedup import expected as near_groups
+from llm_fixtures import awkward, documents  # noqa: F401
 
 SF_DIR = "/root/testdata/sf0.001"
 

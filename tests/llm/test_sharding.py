@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 from tablecheck.llm import sharding
+from llm_fixtures import awkward, documents  # noqa: F401
 
 
 def check(df, rows, shards=16, **options):

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 from tablecheck.llm import substring_dedup
-from tests_llm import words
+from llm_fixtures import awkward, documents, rng, words  # noqa: F401
 
 
 def expected(rows, window=20):

@@ -1,6 +1,7 @@
 import math
 
 from tablecheck.llm import topk_search
+from llm_fixtures import rng  # noqa: F401
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string, rank string, terms string"
 

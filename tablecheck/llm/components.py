@@ -14,8 +14,11 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     shared folder; the number of rounds grows with the logarithm of the longest path. Hubs are
     split as skewed joins, as both sides of that join are read from tables. ``known`` are the
     components of other links, to which these are added: only their roots are linked anew.
+    Links should be a table, as they are read twice.
     """
     if known is not None:
+        if links.isEmpty():
+            return known
         links = _between_roots(links, known)
     edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = written(edges.distinct(), "edges")

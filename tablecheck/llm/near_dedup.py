@@ -345,7 +345,7 @@ def near_duplicates(
     at = linked.select("doc_id", "digest").join(own, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     twice = at.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low != high")
     twice = twice.select(F.col("low").alias("a"), F.col("high").alias("b"))
-    roots = components(twice, roots)
+    roots = components(written(twice, "links"), roots)
     classes = own.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     rows = rows.join(classes, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

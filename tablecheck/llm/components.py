@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from tablecheck.llm.common import written
 
+LEAST_TASKS, TASK_LINKS = 16, 100_000
+
 
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``node, root`` for links ``a, b``: the smallest node reachable, for all but the roots.
@@ -22,21 +26,24 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         links = _between_roots(links, known)
     edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = written(edges.distinct(), "edges")
+    # Tasks for the number of links, which never grows: a round is short stages only.
+    tasks = max(LEAST_TASKS, math.ceil(edges.count() / TASK_LINKS))
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(
             F.least(F.min("v"), F.col("u")).alias("least"),
             F.count_if(F.col("v") < F.col("u")).alias("up"), F.count_if(F.col("v") > F.col("u")).alias("down"),
         )
-        least = written(least, "least")
+        least = written(least.coalesce(tasks), "least")
         # Stars: a node either hangs below one other or has others below it.
         if least.where("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
         least = least.select("u", "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("least"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct().coalesce(tasks)
+        lowest = large.groupBy("u").agg(F.min("v").alias("least")).coalesce(tasks)
         hung = large.join(lowest, "u").where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        edges = written(hung.union(lowest.select("u", F.col("least").alias("v"))).distinct(), "edges")
+        edges = hung.union(lowest.select("u", F.col("least").alias("v"))).distinct()
+        edges = written(edges.coalesce(tasks), "edges")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     if known is None:
         return roots

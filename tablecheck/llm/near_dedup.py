@@ -43,7 +43,7 @@ from tablecheck.llm.hashing import chunks, shingle_sets
 
 SHINGLE, PERCENT = 5, 80
 TREES, DEPTH = 16, 8
-NEIGHBOURS = 6
+NEIGHBOURS = 3
 LEAST_PREFIX, CROWDED_PREFIX = 2, 3
 CHAIN_TREES = 4
 HUB_NODES, HUB_SAMPLE, HUBS = 16, 256, 8

@@ -14,7 +14,8 @@ their remaining features.
 Defined results: a null or empty html gives an empty text; so does a page without main blocks.
 Character references are decoded, white space (blank, tab, line feed, vertical tab, form feed,
 carriage return) in a block becomes one blank, and nothing is dropped or capped inside a block.
-Tags that are not closed end with their parent. Repeated rows are extracted each; other columns
+Tags that are not closed end with their parent; scripts, styles, titles, text areas and frames
+last until their own end tag, or the end of the page. Repeated rows are extracted each; other columns
 are kept by :func:`extracted`.
 """
 
@@ -44,8 +45,14 @@ _INLINE = frozenset(
     " span strike strong sub sup time tt u var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Elements whose text is not text of the page.
-_SKIPPED = frozenset("script style title noscript template textarea select option button iframe object svg math".split())
+# Elements whose text is not text of the page: raw ones hold no tags and last until their own end
+# tag, whatever looks like a tag before it; hidden ones are nested and end like other elements.
+_RAW_END = {
+    name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in "script style title textarea iframe".split()
+}
+_HIDDEN = frozenset("noscript template select option button object svg math".split())
+# Elements that end where another one of their name starts.
+_ENDED_BY_NEXT = frozenset("li dt dd td th tr option optgroup button select".split())
 _SEMANTIC = ("t:article", "t:main")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'|[\"'])*?)>|<[!?][^>]*>",
@@ -83,9 +90,13 @@ def leaf_blocks(page: str) -> list[LeafBlock]:
     above: Counter[str] = Counter()
     pieces: list[str] = []
     linked, links, at = 0, 0, 0
+    # The place of the outermost hidden element in the stack.
+    hidden: int | None = None
 
     def close(depth: int) -> None:
-        nonlocal links
+        nonlocal links, hidden
+        if hidden is not None and depth <= hidden:
+            hidden = None
         while len(stack) > depth:
             name, names = stack.pop()
             links -= name == "a"
@@ -106,63 +117,66 @@ def leaf_blocks(page: str) -> list[LeafBlock]:
 
     def text_until(end: int) -> None:
         nonlocal linked
-        if end > at:
+        if end > at and hidden is None:
             text = html.unescape(page[at:end])
             pieces.append(text)
             if links:
                 linked += len(text)
 
-    skip_to = None
-    for match in _TOKEN.finditer(page):
+    while match := _TOKEN.search(page, at):
         name = (match[2] or "").lower()
-        if skip_to is not None:
-            if match[1] != "/" or name != skip_to:
-                continue
-            skip_to, at = None, match.end()
-            continue
         text_until(match.start())
         at = match.end()
         if not name:
             continue
         if match[1]:
-            if name not in _INLINE:
-                end_block()
+            found = None
             for depth in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
                 if stack[depth][0] == name:
-                    close(depth)
+                    found = depth
                     break
                 if name in _INLINE and stack[depth][0] not in _INLINE:
                     break
+            if name not in _INLINE and (hidden is None or found is not None and found < hidden):
+                end_block()
+            if found is not None:
+                close(found)
             continue
-        if name in _SKIPPED:
+        if name in _RAW_END:
             if not match[3].endswith("/"):
-                skip_to = name
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
             continue
-        if name == "br":
-            pieces.append(" ")
         if name in _VOID:
-            if name == "hr":
+            if hidden is None and name == "br":
+                pieces.append(" ")
+            if hidden is None and name == "hr":
                 end_block()
             continue
         if name not in _INLINE:
-            end_block()
-            # A paragraph, item or cell ends where the next one starts.
+            if hidden is None and name not in _HIDDEN:
+                end_block()
+            # A paragraph, item, cell or option ends where the next one starts.
             for depth in range(len(stack) - 1, max(-1, len(stack) - 50), -1):
                 open_name = stack[depth][0]
-                if open_name == "p" or (open_name == name and name in ("li", "dt", "dd", "td", "th", "tr", "option")):
+                ended = open_name == name and name in _ENDED_BY_NEXT or open_name == "option" and name == "optgroup"
+                if ended or open_name == "p" and name not in _HIDDEN:
                     close(depth)
                     break
                 if open_name not in _INLINE:
                     break
-        names = [f"t:{name}", *_attributes(match[3])]
-        if "data-keep" in match[3]:
-            names.append("keep")
+        names = []
+        if hidden is None:
+            names = [f"t:{name}", *_attributes(match[3])]
+            if "data-keep" in match[3]:
+                names.append("keep")
         if not match[3].endswith("/"):
+            if hidden is None and name in _HIDDEN:
+                hidden = len(stack)
             stack.append((name, names))
             above.update(names)
             links += name == "a"
-    if skip_to is None:
-        text_until(len(page))
+    text_until(len(page))
     end_block()
     return blocks
 

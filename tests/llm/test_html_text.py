@@ -87,3 +87,31 @@ def test_null_empty_and_clashing_columns(spark):
     assert got.columns == df.columns
     assert sorted(r["text"] for r in got.collect()) == ["", "", "Just text here."]
     assert html_text.extracted(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        "<script>for(i=0;i<n;i++){f(i)}</script>",
+        "<script>if(a<b && c) f('<!--')</script>",
+        "<SCRIPT>a<b</Script >",
+        "<style>p::before{content:'<x'}</style>",
+        "<textarea>1 <2 <!-- </textarea>",
+        "<datalist><option value=a><option value=b></datalist>",
+        "<select><option>a<optgroup label=x><option>b<optgroup label=y><option>c</select>",
+        "<div><button>Go</div>",
+        "<button>a<button>b</button>",
+        "<svg><svg><path d=x></svg><text>c</text></svg>",
+        "<template><p>a</p><template>b</template>c</template>",
+    ],
+)
+def test_text_after_hidden_elements_stays(hidden):
+    # Twice, as a later end tag must not hide what is between.
+    page = f"<body><p>one</p>{hidden}<article><p>two</p></article>{hidden}<p>three</p></body>"
+    assert [b.text for b in html_text.leaf_blocks(page)] == ["one", "two", "three"]
+
+
+def test_hidden_elements_do_not_end_a_block():
+    blocks = html_text.leaf_blocks("<p>a<button><div>x<br></div></button>b<svg><g><a>y</a></g></svg>c<div><select><option>z</div>d")
+    assert [b.text for b in blocks] == ["abc", "d"]
+    assert "t:article" not in html_text.leaf_blocks("<article><option>x</article><p>y</p>")[0].names

@@ -101,7 +101,9 @@ def curriculum(
     """One row per document: its order, size, source_size, target, start, and what the mix takes.
 
     ``taken_k`` words are read at ``position_k`` in the k-th pass over the source, and
-    ``taken`` is their sum. ``order`` names the row for :func:`mixed`.
+    ``taken`` is their sum. ``whole_k`` is 1 if the pass reads the document when texts are kept
+    whole, else 0: the document in which the target falls is read where that ends the source
+    nearer to its target than leaving it. ``order`` names the row for :func:`mixed`.
     """
     slim = written(
         docs.select(
@@ -131,6 +133,8 @@ def curriculum(
     for k in range(most):
         begins = F.col("start") + F.col("source_size") * k
         made[f"taken_{k}"] = F.greatest(zero, F.least(size, quota - begins))
+        nearer = (F.col("target") - begins) * 2 >= size
+        made[f"whole_{k}"] = F.when((begins < quota) & (size > 0) & nearer, 1).otherwise(0)
         made[f"position_{k}"] = F.when(
             (begins < quota) & (F.col("target") > 0), _time(begins, F.col("target"), F.col("slot"), schedules)
         )
@@ -144,22 +148,24 @@ def curriculum(
 def mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights=WEIGHTS, share: float = SHARE, most: int = MOST, schedules=SCHEDULES,
-    seed: int = SEED, bucket_rows: int = BUCKET_ROWS, position_col: str | None = None,
+    seed: int = SEED, bucket_rows: int = BUCKET_ROWS, position_col: str | None = None, whole: bool = False,
 ) -> DataFrame:
     """The mix itself: rows of ``docs``, repeated as often as they are read, sorted by position.
 
     Where a source ends at its target within a document, the words up to there are read, joined
-    by one blank; all other texts are whole and unchanged.
+    by one blank; all other texts are whole and unchanged. With ``whole`` all texts are: that
+    document is read whole or not at all, whichever ends the source nearer to its target.
     """
     plan = curriculum(docs, id_col, text_col, source_col, weights, share, most, schedules, seed, bucket_rows)
-    reads = F.array(*[F.struct(F.col(f"taken_{k}").alias("taken"), F.col(f"position_{k}").alias("position")) for k in range(most)])
+    taken = [F.when(F.col(f"whole_{k}") == 1, F.col("size")).otherwise(0) if whole else F.col(f"taken_{k}") for k in range(most)]
+    reads = F.array(*[F.struct(t.cast("long").alias("taken"), F.col(f"position_{k}").alias("position")) for k, t in enumerate(taken)])
     # Rows that repeat id and text are interchangeable: one of them takes the reads of all.
     plan = plan.select("order", "size", F.explode(reads).alias("read")).where("read.taken > 0")
     rows = docs.select(_order(id_col, text_col, seed).alias("order"), F.struct("*").alias("row"))
     rows = rows.dropDuplicates(["order"]).join(plan, "order").orderBy("read.position", "order")
-    whole = F.col(f"row.{text_col}")
-    first = F.slice(F.split(F.trim(F.regexp_replace(whole, SPACES, " ")), " "), F.lit(1), F.col("read.taken").cast("int"))
-    text = F.when(F.col("read.taken") < F.col("size"), F.array_join(first, " ")).otherwise(whole)
+    full = F.col(f"row.{text_col}")
+    first = F.slice(F.split(F.trim(F.regexp_replace(full, SPACES, " ")), " "), F.lit(1), F.col("read.taken").cast("int"))
+    text = F.when(F.col("read.taken") < F.col("size"), F.array_join(first, " ")).otherwise(full)
     columns = [(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     return rows.select(*columns, *([F.col("read.position").alias(position_col)] if position_col else []))
 

@@ -93,3 +93,23 @@ def test_empty_tables(documents):
     assert mixing.mixed(documents([])).count() == 0
     without_words = mixing.curriculum(documents([(1, None, "en", "a"), (2, " ", "en", None)])).collect()
     assert [(r["taken"], r["target"], r["position_0"]) for r in without_words] == [(0, 0.0, None)] * 2
+
+
+def test_whole_mix(documents, corpus):
+    """Every text of the mix is unchanged, and no source is further from its target than half a document."""
+    df = documents(corpus)
+    plan = {r["doc_id"]: r for r in mixing.curriculum(df).collect()}
+    assert any(0 < r["taken_0"] < r["size"] or 0 < r["taken_1"] < r["size"] for r in plan.values())
+    texts, got, count = {i: t for i, t, *_ in corpus}, defaultdict(int), defaultdict(int)
+    for r in mixing.mixed(df, whole=True).collect():
+        assert r["text"] == texts[r["doc_id"]]
+        got[r["source"]] += size(r["text"])
+        count[r["doc_id"]] += 1
+    assert count == {i: r["whole_0"] + r["whole_1"] for i, r in plan.items() if r["whole_0"] + r["whole_1"]}
+    for i, r in plan.items():
+        for k in (0, 1):
+            # Only the document in which the target falls may differ from what is taken.
+            assert r[f"taken_{k}"] not in (0, r["size"]) or r[f"whole_{k}"] == (r[f"taken_{k}"] > 0)
+    for source in {r["source"] for r in plan.values()}:
+        of = [r for r in plan.values() if r["source"] == source]
+        assert abs(got[source] - of[0]["target"]) <= max(r["size"] for r in of) / 2

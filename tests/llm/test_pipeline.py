@@ -62,3 +62,11 @@ def test_awkward_rows_and_empty_table(spark, documents, awkward, monkeypatch):
             docs = written(out, "stage")
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() >= 0
     assert exact_dedup.deduplicated(documents([])).count() == near_dedup.deduplicated(documents([])).count() == 0
+
+
+def test_mix_keeps_texts_whole(spark, documents):
+    # One document per source: most targets fall inside it.
+    docs = documents([(i, f"w{i}  x\t" * 50, "en", f"s{i}") for i in range(9)])
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    mixed = corpus_pipeline.mix(spark, docs, SF_DIR).collect()
+    assert mixed and all(r["text"] == texts[r["doc_id"]] for r in mixed)

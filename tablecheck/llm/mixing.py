@@ -49,6 +49,11 @@ def _order(id_col: str, text_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.md5(text_of(text_col))))
 
 
+def _key(order: Column, source: Column) -> Column:
+    """Names rows of one order and one source; a null source is not an empty one."""
+    return F.concat(order, F.coalesce(F.concat(F.lit(":"), source.cast("string")), F.lit("")))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """``source, source_size`` with ``target`` and ``slot``, its place in the turn of weights."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -159,10 +164,16 @@ def mixed(
     plan = curriculum(docs, id_col, text_col, source_col, weights, share, most, schedules, seed, bucket_rows)
     taken = [F.when(F.col(f"whole_{k}") == 1, F.col("size")).otherwise(0) if whole else F.col(f"taken_{k}") for k in range(most)]
     reads = F.array(*[F.struct(t.cast("long").alias("taken"), F.col(f"position_{k}").alias("position")) for k, t in enumerate(taken)])
-    # Rows that repeat id and text are interchangeable: one of them takes the reads of all.
-    plan = plan.select("order", "size", F.explode(reads).alias("read")).where("read.taken > 0")
-    rows = docs.select(_order(id_col, text_col, seed).alias("order"), F.struct("*").alias("row"))
-    rows = rows.dropDuplicates(["order"]).join(plan, "order").orderBy("read.position", "order")
+    # Rows of one id, text and source take the reads in turn, in the order of their other columns.
+    plan = plan.select(_key(F.col("order"), F.col("source")).alias("key"), "size", F.struct("start", reads.alias("reads")).alias("read"))
+    plan = plan.where("size > 0").groupBy("key", "size").agg(F.sort_array(F.collect_list("read")).alias("turns"))
+    others = [c for c in docs.columns if c not in (id_col, text_col, source_col)]
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in others])) if others else F.lit("")
+    key = _key(_order(id_col, text_col, seed), F.col(source_col))
+    rows = docs.select(key.alias("key"), rest.alias("rest"), F.struct("*").alias("row"))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("rest"))).join(plan, "key")
+    rows = rows.select("key", "size", "row", F.explode(F.get("turns", F.col("turn") - 1)["reads"]).alias("read"))
+    rows = rows.where("read.taken > 0").orderBy("read.position", "key")
     full = F.col(f"row.{text_col}")
     first = F.slice(F.split(F.trim(F.regexp_replace(full, SPACES, " ")), " "), F.lit(1), F.col("read.taken").cast("int"))
     text = F.when(F.col("read.taken") < F.col("size"), F.array_join(first, " ")).otherwise(full)

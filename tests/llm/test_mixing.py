@@ -113,3 +113,19 @@ def test_whole_mix(documents, corpus):
     for source in {r["source"] for r in plan.values()}:
         of = [r for r in plan.values() if r["source"] == source]
         assert abs(got[source] - of[0]["target"]) <= max(r["size"] for r in of) / 2
+
+
+def test_rows_that_repeat_id_and_text(documents):
+    """They keep their source and other columns, and each takes its own reads."""
+    same = [(1, "one two", "en", "a"), (1, "one two", "de", "a"), (1, "one two", "en", "b"), (1, "one two", "en", None), (1, "one two", "en", "")]
+    df = documents([*same, *[(i, "x y", "en", "c") for i in range(2, 30)]])
+    for whole in (False, True):
+        plan, mix = mixing.curriculum(df).collect(), mixing.mixed(df, whole=whole).collect()
+        wanted, got, langs = defaultdict(int), defaultdict(int), defaultdict(int)
+        for r in plan:
+            wanted[r["source"]] += 2 * (r["whole_0"] + r["whole_1"]) if whole else r["taken"]
+        for r in mix:
+            got[r["source"]] += size(r["text"])
+            langs[r["doc_id"], r["source"], r["lang"]] += 1
+        assert got == {s: n for s, n in wanted.items() if n}
+        assert langs[1, "a", "en"] and langs[1, "a", "de"]

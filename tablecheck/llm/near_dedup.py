@@ -90,7 +90,7 @@ def _signed(size: int):
 
 
 def _full_sets(size: int):
-    """Rows doc_id, text, digest to doc_id, shingles, for the rows whose set has that digest."""
+    """Rows doc_id, text, digest to doc_id, digest, shingles, for the rows whose set has that digest."""
 
     def build(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = ((i, d, (t or "").encode().lower()) for b in batches for i, d, t in zip(b["doc_id"], b["digest"], b["text"]))
@@ -98,8 +98,8 @@ def _full_sets(size: int):
             found = []
             for (doc_id, digest, _), shingles in zip(chunk, shingle_sets([r[2] for r in chunk], size)):
                 if hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() == bytes(digest):
-                    found.append((doc_id, _packed(shingles)))
-            yield pd.DataFrame(found, columns=["node", "shingles"])
+                    found.append((doc_id, bytes(digest), _packed(shingles)))
+            yield pd.DataFrame(found, columns=["node", "digest", "shingles"])
 
     return build
 
@@ -302,8 +302,9 @@ def _roots(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFr
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(crowds.select("node"))
     wanted = nodes.join(wanted.distinct(), "node").select(F.col("node").alias("doc_id"), "digest")
     texts = docs.join(wanted, "doc_id").select("doc_id", "digest", "text")
-    sets = texts.mapInPandas(_full_sets(size), "node long, shingles binary")
-    sets = written(sets.dropDuplicates(["node"]), "sets")
+    sets = texts.mapInPandas(_full_sets(size), "node long, digest binary, shingles binary")
+    # Texts that share their smallest id are one node with several sets, all of which are compared.
+    sets = written(sets.dropDuplicates(["node", "digest"]).drop("digest"), "sets")
 
     first = written(_confirmed(pairs.where("next"), sets, percent), "links")
     roots = components(first)

@@ -113,3 +113,14 @@ def test_components(spark, rng):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: root(n) for n in parent if root(n) != n}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_that_share_an_id(documents, rng):
+    """Both texts of an id keep their links, whichever set comes first."""
+    rows = []
+    for i in range(20):
+        for k in (1, 2):
+            text = words(rng, 60)
+            rows += [(10 * i, " ".join(text), "en", "s"), (10 * i + k, " ".join(text[:-1]), "en", "s")]
+    assert found(documents(rows), 3, 85) == expected(rows, 3, 85)
+    assert {r[2] for r in expected(rows, 3, 85)} == {10 * i for i in range(20)}

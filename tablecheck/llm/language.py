@@ -33,6 +33,8 @@ ROWS_PER_LANGUAGE = 2000
 SEED = 5
 UNKNOWN = "und"
 MIN_SCORE = 0.05
+# The least cosine expected of n trigrams in a learned language is about this times the root of n.
+LEAST_SCORE = 0.0148
 CHUNK_ROWS, CHUNK_CHARS = 512, 2_000_000
 
 _LETTERS: dict[str, np.ndarray] = {}
@@ -207,10 +209,19 @@ def accepted(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     min_score: float = MIN_SCORE,
 ) -> DataFrame:
-    """Rows whose text is in one of the languages learned, with all their columns."""
+    """Rows whose text is in one of the languages learned, with all their columns.
+
+    A text is left out below ``min_score``, unless it is so short that its score may be as low in
+    a learned language: fewer trigrams have a smaller cosine, and the noise of a cosine is
+    1 / root of the dimensions. Up to 40 letters every text with a language stays.
+    """
     found = _language_of(text_col, *prototypes(docs, id_col, text_col, lang_col))
     rows = docs.select(F.struct("*").alias("row"), found.alias("language"))
-    taken = (F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= min_score)
+    # A trigram for each letter in its middle; counted only where the score is low.
+    trigrams = F.regexp_count(F.col(f"row.`{text_col}`"), F.lit(r"\p{L}"))
+    short = F.lit(LEAST_SCORE) * F.sqrt(trigrams) - F.lit(3 / DIMENSIONS**0.5)
+    score = F.col("language.score")
+    taken = (F.col("language.lang_pred") != UNKNOWN) & ((score >= min_score) | (score >= short))
     return rows.where(taken).select("row.*")
 
 

@@ -80,3 +80,18 @@ def test_without_labels_or_rows(documents):
     assert {(r["lang_pred"], r["score"]) for r in rows} == {("und", 0.0)}
     assert language.identified(documents([])).count() == 0
     assert language.accepted(documents([])).count() == 0
+
+
+def test_short_texts_stay(documents, rng):
+    """Few trigrams have a low score in their own language too; long texts in none are left out."""
+    rows = [(i, text(rng, lang, 200), lang, "s") for i, lang in enumerate(list(VOWELS) * 40)]
+    short = [(1000 + i, text(rng, lang, 1), None, "s") for i, lang in enumerate(list(VOWELS) * 20)]
+    odd = [(2000, "xo jivo. Qz", None, "s"), (2001, "A. Wx!", None, "s")]
+    far = [(3000 + i, "".join(rng.choice("αβγδεζηθικλ ") for _ in range(3000)), None, "s") for i in range(10)]
+    df = documents(rows + short + odd + far)
+    scores = {r["doc_id"]: r["score"] for r in language.identified(df).collect()}
+    assert any(scores[i] < language.MIN_SCORE for i, *_ in short + odd)
+    ids = {r["doc_id"] for r in language.accepted(df).collect()}
+    assert ids >= {i for i, *_ in rows + short + odd}
+    assert not ids & {i for i, *_ in far if scores[i] < language.MIN_SCORE}
+    assert any(scores[i] < language.MIN_SCORE for i, *_ in far)

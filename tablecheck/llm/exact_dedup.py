@@ -1,11 +1,11 @@
-"""Exact duplicates by an extendible-hash index on shared files.
+"""Exact duplicates by grouping, with an extendible-hash directory of the groups.
 
 Texts are equal when they are identical after each run of white space becomes one blank; a
 null text counts as empty. Every distinct text is one entry of the index, found by its 64-bit
 key. The directory maps key prefixes to buckets: where a bucket would hold more than
 ``capacity`` entries the directory doubles and that bucket splits by the next bit of the key.
-Buckets are ranges of keys, so a task that owns a range of keys owns whole buckets; it chains
-the entries whose keys collide. Bytes, not keys, decide equality: entries are grouped by key
+The directory is computed from the entries and decides nothing: tasks own ranges of keys that do
+not follow it, and chain the entries whose keys collide. Bytes, not keys, decide equality: entries are grouped by key
 and whole text, first in the tasks that read the texts, so a group of copies is one row per
 task whatever its size.
 

@@ -34,3 +34,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def plain_id(name: str) -> tuple[Column, Column]:
+    """An id as columns ``doc_id`` and ``no_id`` without nulls.
+
+    pandas makes doubles of a long column that holds nulls, and doubles change ids beyond 2 ** 53.
+    """
+    whole = F.col(name).cast("long")
+    return F.coalesce(whole, F.lit(0)).alias("doc_id"), whole.isNull().alias("no_id")
+
+
+def with_id(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """The id again, from the columns of :func:`plain_id`."""
+    return df.withColumn(name, F.when(~F.col("no_id"), F.col(name))).drop("no_id")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tablecheck.llm import exact_dedup, html_text, language, mixing, near_dedup, packing, sharding, substring_dedup, topk_search, warc
+from tablecheck.llm import (
+    divergence, exact_dedup, fill_middle, html_text, language, mixing, near_dedup, packing, sharding, substring_dedup,
+    suffix_dedup, topk_search, warc,
+)
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
@@ -16,6 +19,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +30,7 @@ ORACLES = {
     "op4_substring_dedup": substring_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_divergence": divergence.SQL,
+    "op12_fill_middle": fill_middle.SQL,
+    "op13_suffix_dedup": suffix_dedup.SQL,
 }

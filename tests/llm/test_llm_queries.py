@@ -17,8 +17,11 @@ CONTRACTS = {
     "op8_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op9_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
     "op10_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op11_divergence": ["lang", "source", "part", "item", "value", "rank"],
+    "op12_fill_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    "op13_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
 }
-LONGS = "query_id vec_id score n_shingles n_words n_removed n_chars payload_bytes refers_to size text_crc32 slot start length ids_crc32 doc_tokens sequence_id offset group_size taken source_size".split()
+LONGS = "query_id vec_id score n_shingles n_words n_removed n_chars payload_bytes refers_to size text_crc32 slot start length ids_crc32 doc_tokens sequence_id offset group_size taken source_size value n prefix_chars middle_chars n_bytes n_spans".split()
 
 
 @pytest.mark.parametrize("name", list(CONTRACTS))
@@ -30,6 +33,8 @@ def test_columns_and_rows(spark, name):
         assert types[column] == ("double" if (name, column) == ("op2_language", "score") else "bigint")
     table = {"op1": "embeddings", "op5": "pages", "op6": "pages"}.get(name.split("_")[0], "documents")
     key = CONTRACTS[name][0]
+    if key == "lang":
+        return
     there = {r[0] for r in spark.read.parquet(f"{SF_DIR}/{table}.parquet").select("vec_id" if key == "query_id" else key).collect()}
     found = {r[0] for r in result.select(key).collect()}
     assert found == ({i for i in there if i % 100 == 0} if key == "query_id" else there)

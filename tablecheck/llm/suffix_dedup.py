@@ -4,7 +4,7 @@ A byte goes if a string of ``window`` bytes that covers it also starts in a docu
 id. Documents are read once into blocks of whole documents, which are cut into shards of bounded
 size (a long document into several, overlapping by ``window - 1`` bytes). Each shard gets
 
-* its suffix array, by Larsson and Sadakane's refinement: suffixes sorted by five bytes, then only
+* its suffix array, by Larsson and Sadakane's refinement: suffixes sorted by a few bytes, then only
   the groups that are still tied by the rank of what follows, which doubles the depth each time,
   until none is tied (the next rule holds in the full order only);
 * common prefixes of neighbours, by Kasai's rule that the next suffix of the text loses at most
@@ -16,11 +16,11 @@ a third of all documents is one entry per shard.
 
 Leads travel in fragments. The anchor of a window is the place in it whose 16 bytes have the
 smallest hash, so equal windows have equal anchors at equal places, and neighbouring windows
-mostly share one; a fragment is the text around an anchor with a mask of the leads in it, about
-four bytes for each lead. Anchors are in suffix order: each shard cuts its own at splitters by binary
-search, a task gets the runs of all shards between two splitters and merges them by binary
-search, and where an anchor is in several fragments the windows are compared by all their bytes.
-Splitters are quantiles of the anchors of at most ``SAMPLE_BLOCKS`` blocks; an anchor that fills
+mostly share one. Anchors are in suffix order: each shard cuts its own at splitters by binary
+search, and a task gets the runs of all shards between two splitters and merges them by binary
+search. Anchors that several blocks have are sent again with fragments, the text around them with a
+mask of the leads in it, about four bytes for each lead, and their windows are compared by all their
+bytes. Splitters are quantiles of the anchors of at most ``SAMPLE_BLOCKS`` blocks; an anchor that fills
 several ranges by itself is hot, and its windows are dealt to these ranges by their hash.
 
 Defined results: a null text has no bytes; ids that are null are one id larger than all others;
@@ -48,18 +48,20 @@ WINDOW, LEAST_WINDOW, MOST_WINDOW = 50, 24, 64
 GRAM = 16
 # Ranks and places of a shard are packed with 21 bits each.
 SHARD_BYTES, BITS = 1_500_000, 21
-FIRST_DEPTH = 5
+MOST_FIRST = 16
 LANE = 256
 PART_BYTES = 8 << 20
 SAMPLE_BLOCKS, SAMPLE_ANCHORS, MOST_RANGES = 256, 1024, 4096
 
 BLOCKS = "block long, ids binary, none binary, counts binary, text binary, leads binary, gone binary, twins binary, n_leads long"
 ENTRIES = "part long, block long, entries binary"
+SHARED = "part long, block long, shared binary"
 ANSWERS = "block long, found binary"
 RESULT = "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 _MASK = np.uint64((1 << BITS) - 1)
 _SHIFT = np.uint64(BITS)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -84,39 +86,60 @@ def _words(text: np.ndarray, past: int = 80) -> np.ndarray:
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Starts of suffixes in order; where one ends it is the smaller one."""
     n = len(text)
-    if n + FIRST_DEPTH >= 1 << BITS:
-        raise ValueError(f"a shard has less than {(1 << BITS) - FIRST_DEPTH} bytes")
-    padded = np.concatenate([text, np.zeros(FIRST_DEPTH, dtype=np.uint8)])
+    if n + MOST_FIRST >= 1 << BITS:
+        raise ValueError(f"a shard has less than {(1 << BITS) - MOST_FIRST} bytes")
+    # As many bytes as fit beside the place, in as many bits as the letters of this text need.
+    used = np.flatnonzero(np.bincount(text, minlength=256))
+    code = np.zeros(256, dtype=np.uint64)
+    code[used] = np.arange(len(used), dtype=np.uint64)
+    bits = max(1, (len(used) - 1).bit_length()) if n else 1
+    reached = min((64 - BITS) // bits, MOST_FIRST)
+    padded = np.concatenate([code[text], np.zeros(reached, dtype=np.uint64)])
     key = np.zeros(n, dtype=np.uint64)
-    for i in range(FIRST_DEPTH):
-        key = (key << np.uint64(8)) | padded[i : i + n]
+    for i in range(reached):
+        key <<= np.uint64(bits)
+        key |= padded[i : i + n]
     key = np.sort((key << _SHIFT) | np.arange(n, dtype=np.uint64))
     order = (key & _MASK).astype(np.int64)
     # Ranks are places of the first of a group, above those of the ends: the sooner a suffix ends
     # the smaller it is.
-    rank = np.zeros(n + FIRST_DEPTH, dtype=np.int64)
-    rank[n:] = np.arange(FIRST_DEPTH, 0, -1)
-    at, reached = np.arange(n), FIRST_DEPTH
+    rank = np.zeros(n + reached, dtype=np.uint32)
+    rank[n:] = np.arange(reached, 0, -1)
+    at = np.arange(n)
     while True:
-        head = np.concatenate([[True], (key[1:] >> _SHIFT) != (key[:-1] >> _SHIFT)]) if n else np.zeros(0, dtype=bool)
-        suffixes = order[at]
-        rank[suffixes] = at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))] + FIRST_DEPTH + 1
-        tied = ~(head & np.concatenate([head[1:], [True]])) if n else head
+        upper = key >> _SHIFT
+        head = np.ones(len(at), dtype=bool)
+        head[1:] = upper[1:] != upper[:-1]
+        first = np.flatnonzero(head)
+        rank[order[at]] = np.repeat(at[first], np.diff(np.append(first, len(at)))) + (MOST_FIRST + 1)
+        tied = ~head
+        tied[:-1] |= ~head[1:]
         at = at[tied]
         if not len(at):
             return order
-        suffixes = suffixes[tied]
+        suffixes = order[at]
         follows = rank[np.minimum(suffixes + reached, len(rank) - 1)].astype(np.uint64)
         key = np.sort((rank[suffixes].astype(np.uint64) << np.uint64(2 * BITS)) | (follows << _SHIFT) | suffixes.astype(np.uint64))
         order[at] = (key & _MASK).astype(np.int64)
         reached *= 2
 
 
-def common_prefixes(words: np.ndarray, order: np.ndarray, most: int = WINDOW) -> np.ndarray:
-    """For each place in the order the bytes shared with the suffix ahead, counted up to ``most``."""
+def common_prefixes(words: np.ndarray, order: np.ndarray, most: int = WINDOW, some: bool = False) -> np.ndarray:
+    """For each place in the order the bytes shared with the suffix ahead, counted up to ``most``.
+
+    With ``some`` they are counted only where ``most`` is still possible by the first and the last
+    eight bytes of it, and are 0 elsewhere.
+    """
     n = len(order)
     ahead = np.full(n, -1, dtype=np.int64)
     ahead[order[1:]] = order[:-1]
+    if some:
+        last = words[most - 8 : n + most - 8] == words[np.maximum(ahead, 0) + (most - 8)]
+        at = np.flatnonzero(last & (ahead >= 0))
+        at = at[words[at] == words[ahead[at]]]
+        possible = np.full(n, -1, dtype=np.int64)
+        possible[at] = ahead[at]
+        ahead = possible
     shared = np.zeros(n, dtype=np.int64)
     starts = np.arange(0, n, LANE)
     known = np.zeros(len(starts), dtype=np.int64)
@@ -126,7 +149,8 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, most: int = WINDOW) ->
         known = np.maximum(known[: len(i)] - 1, 0)
         other = ahead[i]
         known[other < 0] = 0
-        active = np.flatnonzero((other >= 0) & (known < most))
+        active = np.flatnonzero(other >= 0)
+        active = active[known[active] < most]
         while len(active):
             h = known[active]
             differ = words[i[active] + h] ^ words[other[active] + h]
@@ -154,7 +178,7 @@ def own_repeats(text: np.ndarray, doc_rank: np.ndarray, left: np.ndarray, window
     ``doc_rank`` and ``left`` hold the rank of the document and the bytes left in it at each place.
     """
     order = suffix_array(text)
-    string = np.cumsum(common_prefixes(_words(text), order, window) < window)
+    string = np.cumsum(common_prefixes(_words(text), order, window, some=True) < window)
     inside = left[order] >= window
     order, string = order[inside], string[inside]
     if not len(order):
@@ -215,8 +239,10 @@ def _bits(data: bytes, n: int) -> np.ndarray:
 def _window_hashes(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     total = np.zeros(len(at), dtype=np.uint64)
     for step in _steps(window):
-        total = mixed(total ^ words[at + step])
-    return total
+        total ^= words[at + step]
+        total *= _ODD
+        total ^= total >> np.uint64(29)
+    return mixed(total)
 
 
 def _steps(window: int) -> list[int]:
@@ -273,10 +299,8 @@ def _parts(text: np.ndarray, at: np.ndarray, masks: np.ndarray, key: np.ndarray,
     """Part, fragment and mask of what is sent: the windows of hot anchors are dealt to several parts."""
     low, high = np.searchsorted(splitters, key, side="left"), np.searchsorted(splitters, key, side="right")
     hot = high - low > 1
-    gram = mixed(key.view("<u8").reshape(-1, 2)[:, 0] ^ mixed(key.view("<u8").reshape(-1, 2)[:, 1]))
-    part = high * subs + (gram % np.uint64(subs)).astype(np.int64)
     which = np.flatnonzero(~hot)
-    parts, fragment, mask = [part[which]], [which], [masks[which]]
+    parts, fragment, mask = [_anchor_parts(key[which], splitters, subs)], [which], [masks[which]]
     which = np.flatnonzero(hot)
     if len(which):
         own, ahead = _windows(masks[which], window)
@@ -302,31 +326,79 @@ def _reach(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_count(spread).astype(np.int64) - 1, last
 
 
-def _cut_texts(text: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    size = high - low
-    ends = np.cumsum(size)
-    return text[np.repeat(low - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+def _cut_texts(text: bytes, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(text[a:b] for a, b in zip(low.tolist(), high.tolist())), dtype=np.uint8)
+
+
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part with the places that have it, in order."""
+    order = np.argsort(part, kind="stable")
+    for i in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(i):
+            yield int(part[i[0]]), i
 
 
-def _entries(window: int, splitters: np.ndarray, subs: int):
+def _anchor_parts(key: np.ndarray, splitters: np.ndarray, subs: int) -> np.ndarray:
+    """An anchor lies between two splitters; where there are more parts than ranges a hash deals."""
+    part = np.searchsorted(splitters, key, side="right")
+    return part if subs == 1 else part * subs + (_gram_hashes(key) % np.uint64(subs)).astype(np.int64)
+
+
+def _gram_hashes(key: np.ndarray) -> np.ndarray:
+    first, second = key.view("<u8").reshape(-1, 2).T
+    return mixed(first ^ mixed(second))
+
+
+def _anchor_runs(window: int, splitters: np.ndarray, subs: int):
+    """Rows part, block, and the anchors of the block in that part, in suffix order."""
+
     def send(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for number, ids, none, counts, raw, leads in zip(*(batch[c] for c in ("block", "ids", "none", "counts", "text", "leads"))):
+            for number, raw, leads in zip(batch["block"], batch["text"], batch["leads"]):
                 text = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
+                _, _, key = fragments(text, _bits(leads, len(text)), window)
+                runs = [(part, number, _packed(key[i])) for part, i in _by_part(_anchor_parts(key, splitters, subs))]
+                yield pd.DataFrame(runs, columns=["part", "block", "entries"])
+
+    return send
+
+
+def _merge_anchors(rows: pd.DataFrame) -> pd.DataFrame:
+    """The runs of a part to bits, by block, of the anchors that other blocks have too."""
+    runs = [_unpacked(e, f"S{GRAM}")[0] for e in rows["entries"]]
+    key, of = merged(runs)
+    same = key[1:] == key[:-1]
+    shared = np.zeros(len(key), dtype=bool)
+    shared[of[1:][same]] = True
+    shared[of[:-1][same]] = True
+    ends = np.cumsum([len(r) for r in runs])
+    found = [(part, block, np.packbits(bits).tobytes()) for part, block, bits in zip(rows["part"], rows["block"], np.split(shared, ends[:-1])) if bits.any()]
+    return pd.DataFrame(found, columns=["part", "block", "shared"])
+
+
+def _fragment_runs(window: int, splitters: np.ndarray, subs: int):
+    """Rows part, block, and the fragments of the block in that part."""
+
+    def send(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("block", "ids", "none", "counts", "text", "leads", "anchors")
+        for batch in batches:
+            for number, ids, none, counts, raw, leads, answers in zip(*(batch[c] for c in names)):
+                whole = zstandard.decompress(raw)
+                text = np.frombuffer(whole, dtype=np.uint8)
                 at, masks, key = fragments(text, _bits(leads, len(text)), window)
+                bits, shared = {a["part"]: a["shared"] for a in answers}, np.zeros(len(at), dtype=bool)
+                for part, i in _by_part(_anchor_parts(key, splitters, subs)):
+                    if part in bits:
+                        shared[i] = np.unpackbits(np.frombuffer(bits[part], dtype=np.uint8), count=len(i))
+                at, masks, key = at[shared], masks[shared], key[shared]
                 part, which, mask = _parts(text, at, masks, key, splitters, subs, window)
-                # Within a part in suffix order.
-                order = np.lexsort((which, part))
-                part, which, mask = part[order], which[order], mask[order]
                 doc = np.searchsorted(np.cumsum(np.frombuffer(counts, dtype=np.int64)), at[which], side="right")
                 ids, none = np.frombuffer(ids, dtype=np.int64)[doc], np.frombuffer(none, dtype=bool)[doc]
                 ahead, last = _reach(mask)
                 low, high = at[which] - ahead, at[which] - last + window
                 rows = []
-                for i in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
-                    if len(i):
-                        packed = _packed(ids[i], none[i], at[which[i]], mask[i], _cut_texts(text, low[i], high[i]))
-                        rows.append((int(part[i[0]]), number, packed))
+                for to, i in _by_part(part):
+                    rows.append((to, number, _packed(ids[i], none[i], at[which[i]], mask[i], _cut_texts(whole, low[i], high[i]))))
                 yield pd.DataFrame(rows, columns=["part", "block", "entries"])
 
     return send
@@ -376,9 +448,26 @@ def merged(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return waiting[0]
 
 
+def _by_hash(hashes: np.ndarray) -> np.ndarray:
+    """Places in order of their hashes: sorted by the upper bits with the place packed below, which is
+    several times as fast as sorting places, then by all bits where the upper ones are not enough."""
+    low = np.uint64(max(1, len(hashes).bit_length()))
+    places = np.arange(len(hashes), dtype=np.uint64)
+    mask = (np.uint64(1) << low) - np.uint64(1)
+    packed = np.sort((hashes & ~mask) | places)
+    order = (packed & mask).astype(np.int64)
+    found, upper = hashes[order], packed >> low
+    mixed_up = np.flatnonzero((upper[1:] == upper[:-1]) & (found[1:] != found[:-1]))
+    if len(mixed_up):
+        again = np.flatnonzero(np.isin(upper, upper[mixed_up]))
+        order[again] = order[again][np.lexsort((found[again], upper[again]))]
+    return order
+
+
 def _same_strings(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows in an order that has equal ones next to each other, and which of them start a string."""
-    order = np.argsort(hashes := _window_hashes(words, at, window))
+    hashes = _window_hashes(words, at, window)
+    order = _by_hash(hashes)
     alike = hashes[order][1:] == hashes[order][:-1]
     same = alike.copy()
     for step in _steps(window):
@@ -391,8 +480,8 @@ def _same_strings(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.nd
     return order, np.concatenate([[True], ~same])
 
 
-def _merge_part(window: int):
-    """The runs of a part to the windows, by block, that start in a document with a smaller id elsewhere."""
+def _merge_windows(window: int):
+    """The fragments of a part to the windows, by block, that start in a document with a smaller id elsewhere."""
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         none_found = pd.DataFrame({"block": np.zeros(0, dtype=np.int64), "found": np.zeros(0, dtype=object)})
@@ -404,16 +493,9 @@ def _merge_part(window: int):
         ahead, last = _reach(mask)
         ends = np.cumsum(ahead - last + window)
         place = ends - (window - last)  # of the anchor in the text
-        key = _grams(text, place)
-        _, order = merged(np.split(key, np.cumsum([len(r[0]) for r in runs])[:-1]))
-        same = key[order][1:] == key[order][:-1]
-        shared = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
-        if not len(shared):
-            return none_found
-        own, back = _windows(mask[shared], window)
-        own = shared[own]
+        own, back = _windows(mask, window)
         order, head = _same_strings(_words(text), place[own] - back, window)
-        rank = _id_ranks(ids[shared], none[shared])[np.searchsorted(shared, own)][order]
+        rank = _id_ranks(ids, none)[own][order]
         first = np.flatnonzero(head)
         least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(order))))
         later = order[rank > least]
@@ -470,9 +552,14 @@ def without_repeats(
     ranges = min(parts, MOST_RANGES)
     splitters = splitters_of(blocks, window, ranges)
 
-    sent = blocks.where("n_leads > 0").select("block", "ids", "none", "counts", "text", "leads")
-    entries = sent.mapInPandas(_entries(window, splitters, math.ceil(parts / ranges)), ENTRIES)
-    answers = entries.groupBy("part").applyInPandas(_merge_part(window), ANSWERS)
+    subs = math.ceil(parts / ranges)
+    leading = blocks.where("n_leads > 0")
+    runs = leading.select("block", "text", "leads").mapInPandas(_anchor_runs(window, splitters, subs), ENTRIES)
+    anchors_of = runs.groupBy("part").applyInPandas(_merge_anchors, SHARED)
+    anchors_of = written(anchors_of.groupBy("block").agg(F.collect_list(F.struct("part", "shared")).alias("anchors")), "anchors")
+    sent = leading.select("block", "ids", "none", "counts", "text", "leads").join(anchors_of, "block")
+    entries = sent.mapInPandas(_fragment_runs(window, splitters, subs), ENTRIES)
+    answers = entries.groupBy("part").applyInPandas(_merge_windows(window), ANSWERS)
     answers = written(answers.groupBy("block").agg(F.collect_list("found").alias("found")), "answers")
     rows = blocks.select("block", "ids", "none", "counts", "text", "gone", "twins").join(answers, "block", "left")
     return with_id(rows.mapInPandas(_kept(window), RESULT))

@@ -56,6 +56,15 @@ def test_suffix_array(rng, letters):
         assert n == next((k for k in range(50) if max(a, b) + k >= len(data) or data[a + k] != data[b + k]), 50)
 
 
+def test_places_by_hash(rng):
+    for bits in (3, 20, 64):
+        hashes = np.array([rng.getrandbits(bits) << (64 - bits) for _ in range(3000)], dtype=np.uint64)
+        order = suffix_dedup._by_hash(hashes)
+        assert sorted(order.tolist()) == list(range(3000)) and (np.diff(hashes[order].astype(object)) >= 0).all()
+    near = np.array([rng.randint(0, 50) for _ in range(3000)], dtype=np.uint64)
+    assert near[suffix_dedup._by_hash(near)].tolist() == sorted(near.tolist())
+
+
 def test_merged_runs(rng):
     runs = [np.array(sorted("".join(rng.choice("ab\x00") for _ in range(4)) for _ in range(rng.randint(0, 9))), dtype="S4") for _ in range(7)]
     whole, of = suffix_dedup.merged(runs)

@@ -15,7 +15,9 @@ Defined results: a null or empty html gives an empty text; so does a page withou
 Character references are decoded, white space (blank, tab, line feed, vertical tab, form feed,
 carriage return) in a block becomes one blank, and nothing is dropped or capped inside a block.
 Tags that are not closed end with their parent; scripts, styles, titles, text areas and frames
-last until their own end tag, or the end of the page. Repeated rows are extracted each; other columns
+last until their own end tag, or the end of the page, and a tag that is cut off ends with the page.
+A page takes time in proportion to its length, however deep or broken it is: tags are read one
+attribute after the other, and open elements are counted by name. Repeated rows are extracted each; other columns
 are kept by :func:`extracted`.
 """
 
@@ -41,24 +43,26 @@ DECAY = 1e-4
 SEED = 13
 
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small"
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math object q s samp small"
     " span strike strong sub sup time tt u var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose text is not text of the page: raw ones hold no tags and last until their own end
 # tag, whatever looks like a tag before it; hidden ones are nested and end like other elements.
 _RAW_END = {
-    name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in "script style title textarea iframe".split()
+    name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in "script style title textarea iframe".split()
 }
-_HIDDEN = frozenset("noscript template select option button object svg math".split())
+_HIDDEN = frozenset("noscript template select option button svg".split())
 # Elements that end where another one of their name starts.
 _ENDED_BY_NEXT = frozenset("li dt dd td th tr option optgroup button select".split())
 _SEMANTIC = ("t:article", "t:main")
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'|[\"'])*?)>|<[!?][^>]*>",
-    re.DOTALL,
-)
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_NAME = re.compile(r"[a-zA-Z][^ \t\n\r\f\v/>]*")
+_GAP = re.compile(r"[ \t\n\r\f\v/]*")
+_WHITE = re.compile(r"[ \t\n\r\f\v]*")
+_ATTRIBUTE = re.compile(r"=?[^ \t\n\r\f\v/>=]*")
+_BARE = re.compile(r"[^ \t\n\r\f\v>]*")
+_NAMING = frozenset("class id role".split())
+_NOT_NAME = re.compile(r"[^a-z0-9]+")
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 _TELLING = frozenset(
     "accept advertisement archive categories comment comments contact cookie cookies copyright faq follow home"
@@ -69,116 +73,183 @@ _ROUGH_WORD = re.compile(r"[a-z]+")
 
 
 class LeafBlock:
-    __slots__ = ("text", "names", "linked", "keep")
-
-    def __init__(self, text: str, names: tuple[str, ...], linked: int, keep: bool):
-        self.text, self.names, self.linked, self.keep = text, names, linked, keep
-
-
-def _attributes(source: str) -> list[str]:
-    found = []
-    for match in _NAMES.finditer(source):
-        value = next(g for g in match.groups() if g is not None)
-        found += [f"c:{x}" for x in re.split(r"[^a-z0-9]+", value.lower())[:8] if x]
-    return found
-
-
-def leaf_blocks(page: str) -> list[LeafBlock]:
-    """The leaf blocks of a page in order. ``data-keep`` marks main blocks of examples."""
-    blocks: list[LeafBlock] = []
-    stack: list[tuple[str, list[str]]] = []
-    above: Counter[str] = Counter()
-    pieces: list[str] = []
-    linked, links, at = 0, 0, 0
-    # The place of the outermost hidden element in the stack.
-    hidden: int | None = None
-
-    def close(depth: int) -> None:
-        nonlocal links, hidden
-        if hidden is not None and depth <= hidden:
-            hidden = None
-        while len(stack) > depth:
-            name, names = stack.pop()
-            links -= name == "a"
-            above.subtract(names)
+    """Text of a block, names of its ancestors, letters in links, and the mark of examples.
+
+    ``above`` is the sum of the weights of the ancestors, where weights were given; then ``names``
+    holds the name of the leaf only.
+    """
+
+    __slots__ = ("text", "names", "linked", "keep", "above")
+
+    def __init__(self, text: str, names: tuple[str, ...], linked: int, keep: bool, above: float = 0.0):
+        self.text, self.names, self.linked, self.keep, self.above = text, names, linked, keep, above
+
+
+def tag_end(page: str, at: int) -> tuple[int, list[str], bool]:
+    """Where the tag ends whose name ends at ``at``, its naming words, and whether it closes itself.
+
+    Quotes count where a value starts. A tag that is cut off ends with the page.
+    """
+    names: list[str] = []
+    n = len(page)
+    while True:
+        i = _GAP.match(page, at).end()
+        if i >= n:
+            return n, names, False
+        if page[i] == ">":
+            return i + 1, names, i > at and page[i - 1] == "/"
+        found = _ATTRIBUTE.match(page, i)
+        name, at, value = found[0].lower(), found.end(), ""
+        i = _WHITE.match(page, at).end()
+        if i < n and page[i] == "=":
+            i = _WHITE.match(page, i + 1).end()
+            if i >= n:
+                return n, names, False
+            if page[i] in "\"'":
+                at = page.find(page[i], i + 1) + 1
+                if not at:
+                    return n, names, False
+                value = page[i + 1 : at - 1]
+            else:
+                found = _BARE.match(page, i)
+                value, at = found[0], found.end()
+        if name in _NAMING:
+            names += [f"c:{x}" for x in _NOT_NAME.split(value.lower()) if x]
+        elif name == "data-keep":
+            names.append("keep")
+
+
+class _Blocks:
+    """Open elements of a page and the block that is being read."""
+
+    def __init__(self, weights: dict[str, float] | None):
+        self.blocks: list[LeafBlock] = []
+        self.stack: list[tuple[str, list[str]]] = []
+        self.outer: list[int] = []  # places of open elements that are not inline
+        self.open: Counter[str] = Counter()  # such elements by name
+        self.inline: list[Counter[str]] = [Counter()]  # inline elements by name, in each of them
+        self.above: Counter[str] = Counter()
+        self.weights, self.score = weights, 0.0
+        self.pieces: list[str] = []
+        self.linked = self.links = 0
+        self.hidden: int | None = None  # the place of the outermost hidden element
+
+    def push(self, name: str, names: list[str]) -> None:
+        if name in _INLINE:
+            self.inline[-1][name] += 1
+        else:
+            self.outer.append(len(self.stack))
+            self.open[name] += 1
+            self.inline.append(Counter())
+        self.stack.append((name, names))
+        self.links += name == "a"
+        for n in names:
+            self.above[n] += 1
+            if self.weights is not None and self.above[n] == 1:
+                self.score += self.weights.get(n, 0.0)
+
+    def close(self, depth: int) -> None:
+        """Close all elements from ``depth`` on."""
+        if self.hidden is not None and depth <= self.hidden:
+            self.hidden = None
+        while len(self.stack) > depth:
+            name, names = self.stack.pop()
+            self.links -= name == "a"
+            if name in _INLINE:
+                self.inline[-1][name] -= 1
+            else:
+                self.outer.pop()
+                self.inline.pop()
+                self.open[name] -= 1
             for n in names:
-                if not above[n]:
-                    del above[n]
-
-    def end_block() -> None:
-        nonlocal linked
-        text = _SPACES.sub(" ", "".join(pieces)).strip(" ") if pieces else ""
+                self.above[n] -= 1
+                if not self.above[n]:
+                    del self.above[n]
+                    if self.weights is not None:
+                        self.score -= self.weights.get(n, 0.0)
+
+    def end_of(self, name: str) -> int | None:
+        """The place of the element that an end tag closes: inline ones do not reach over others."""
+        if not (self.inline[-1] if name in _INLINE else self.open)[name]:
+            return None
+        return next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == name)
+
+    def end_block(self) -> None:
+        text = _SPACES.sub(" ", "".join(self.pieces)).strip(" ") if self.pieces else ""
         if text:
-            names = tuple(n for n in above if n != "keep")
-            leaf = next((f"l:{n}" for n, _ in reversed(stack) if n not in _INLINE), "l:")
-            blocks.append(LeafBlock(text, (*names, leaf), min(linked, len(text)), "keep" in above))
-        pieces.clear()
-        linked = 0
-
-    def text_until(end: int) -> None:
-        nonlocal linked
-        if end > at and hidden is None:
-            text = html.unescape(page[at:end])
-            pieces.append(text)
-            if links:
-                linked += len(text)
-
-    while match := _TOKEN.search(page, at):
-        name = (match[2] or "").lower()
-        text_until(match.start())
-        at = match.end()
-        if not name:
+            leaf = f"l:{self.stack[self.outer[-1]][0]}" if self.outer else "l:"
+            names = (leaf,) if self.weights is not None else (*(n for n in self.above if n != "keep"), leaf)
+            self.blocks.append(LeafBlock(text, names, min(self.linked, len(text)), "keep" in self.above, self.score))
+        self.pieces.clear()
+        self.linked = 0
+
+    def add(self, source: str) -> None:
+        if source and self.hidden is None:
+            text = html.unescape(source)
+            self.pieces.append(text)
+            if self.links:
+                self.linked += len(text)
+
+    def start(self, name: str) -> None:
+        """What the start of an element ends: the block, and a paragraph, item, cell or option."""
+        if self.hidden is None and name not in _HIDDEN:
+            self.end_block()
+        if self.outer:
+            depth = self.outer[-1]
+            open_name = self.stack[depth][0]
+            ended = open_name == name and name in _ENDED_BY_NEXT or open_name == "option" and name == "optgroup"
+            if ended or open_name == "p" and name not in _HIDDEN:
+                self.close(depth)
+
+
+def leaf_blocks(page: str, weights: dict[str, float] | None = None) -> list[LeafBlock]:
+    """The leaf blocks of a page in order. ``data-keep`` marks main blocks of examples."""
+    now, at, search, last = _Blocks(weights), 0, 0, page.rfind(">")
+    while (low := page.find("<", search)) >= 0:
+        ahead = page[low + 1 : low + 2]
+        if ahead in ("!", "?", "/") and not _NAME.match(page, low + 2) or ahead == "!":
+            comment = page.startswith("<!--", low)
+            if not comment and (ahead == "/" or low > last):  # "</" without a name, or "<!" without an end, is text
+                search = low + 1
+                continue
+            now.add(page[at:low])
+            end = page.find("-->" if comment else ">", low + 4 if comment else low)
+            at = search = len(page) if end < 0 else end + (3 if comment else 1)
             continue
-        if match[1]:
-            found = None
-            for depth in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[depth][0] == name:
-                    found = depth
-                    break
-                if name in _INLINE and stack[depth][0] not in _INLINE:
-                    break
-            if name not in _INLINE and (hidden is None or found is not None and found < hidden):
-                end_block()
-            if found is not None:
-                close(found)
+        found = _NAME.match(page, low + (2 if ahead == "/" else 1))
+        if not found:
+            search = low + 1
             continue
-        if name in _RAW_END:
-            if not match[3].endswith("/"):
+        now.add(page[at:low])
+        name = found[0].lower()
+        at, names, alone = tag_end(page, found.end())
+        search = at
+        if ahead == "/":
+            depth = now.end_of(name)
+            if name not in _INLINE and (now.hidden is None or depth is not None and depth < now.hidden):
+                now.end_block()
+            if depth is not None:
+                now.close(depth)
+        elif name in _RAW_END:
+            if not alone:
                 end = _RAW_END[name].search(page, at)
-                at = end.end() if end else len(page)
-            continue
-        if name in _VOID:
-            if hidden is None and name == "br":
-                pieces.append(" ")
-            if hidden is None and name == "hr":
-                end_block()
-            continue
-        if name not in _INLINE:
-            if hidden is None and name not in _HIDDEN:
-                end_block()
-            # A paragraph, item, cell or option ends where the next one starts.
-            for depth in range(len(stack) - 1, max(-1, len(stack) - 50), -1):
-                open_name = stack[depth][0]
-                ended = open_name == name and name in _ENDED_BY_NEXT or open_name == "option" and name == "optgroup"
-                if ended or open_name == "p" and name not in _HIDDEN:
-                    close(depth)
-                    break
-                if open_name not in _INLINE:
-                    break
-        names = []
-        if hidden is None:
-            names = [f"t:{name}", *_attributes(match[3])]
-            if "data-keep" in match[3]:
-                names.append("keep")
-        if not match[3].endswith("/"):
-            if hidden is None and name in _HIDDEN:
-                hidden = len(stack)
-            stack.append((name, names))
-            above.update(names)
-            links += name == "a"
-    text_until(len(page))
-    end_block()
-    return blocks
+                at = search = tag_end(page, end.end())[0] if end else len(page)
+        elif name in _VOID:
+            if now.hidden is None and name == "br":
+                now.pieces.append(" ")
+            if now.hidden is None and name == "hr":
+                now.end_block()
+        else:
+            if name not in _INLINE:
+                now.start(name)
+            if not alone:
+                names = [f"t:{name}", *names] if now.hidden is None else []
+                if now.hidden is None and name in _HIDDEN:
+                    now.hidden = len(now.stack)
+                now.push(name, names)
+    now.add(page[at:])
+    now.end_block()
+    return now.blocks
 
 
 def features(blocks: list[LeafBlock], without: tuple[str, ...] = ()) -> list[list[str]]:
@@ -216,6 +287,12 @@ class ChainField:
         weight = self.weights.get
         return np.array([sum(weight(f, 0.0) for f in block) for block in page])
 
+    def states(self, page: str) -> tuple[list[LeafBlock], list[int]]:
+        """The blocks of a page and their most likely states; ancestors are weighed as they open."""
+        blocks = leaf_blocks(page, self.weights)
+        emit = self.scores(features(blocks)) + np.array([b.above for b in blocks])
+        return blocks, self.path(emit.tolist()) if blocks else []
+
     def marginals(self, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability of each state at each block, and expected number of each step."""
         n = len(emit)
@@ -249,7 +326,9 @@ class ChainField:
 
     def best(self, page: list[list[str]]) -> list[int]:
         """The most likely states, by Viterbi."""
-        emit = self.scores(page).tolist()
+        return self.path(self.scores(page).tolist())
+
+    def path(self, emit: list[float]) -> list[int]:
         (stay0, up), (down, stay1) = self.steps.tolist()
         low, high = self.start[0], self.start[1] + emit[0]
         back = []
@@ -299,10 +378,7 @@ def trained(pages: Iterable[str], epochs: int = EPOCHS, rate: float = RATE) -> C
 
 
 def main_text(page: str | None, field: ChainField) -> str:
-    blocks = leaf_blocks(page or "")
-    if not blocks:
-        return ""
-    return " ".join(b.text for b, state in zip(blocks, field.best(features(blocks))) if state)
+    return " ".join(b.text for b, state in zip(*field.states(page or "")) if state)
 
 
 def fitted(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> ChainField:

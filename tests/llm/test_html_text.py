@@ -1,6 +1,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -115,3 +116,69 @@ def test_hidden_elements_do_not_end_a_block():
     blocks = html_text.leaf_blocks("<p>a<button><div>x<br></div></button>b<svg><g><a>y</a></g></svg>c<div><select><option>z</div>d")
     assert [b.text for b in blocks] == ["abc", "d"]
     assert "t:article" not in html_text.leaf_blocks("<article><option>x</article><p>y</p>")[0].names
+
+
+N = 20_000
+HOSTILE = {
+    "unfinished tag": "<div " + " ".join(f'a{i}="v"' for i in range(N)),
+    "open quotes": '<p a="' * N,
+    "stray quotes": "<p " + "'\"" * N + ">",
+    "unfinished starts": "<div a=" * N,
+    "declarations": "<!x " * N,
+    "end tags of scripts": "<script>" + "</script x" * N,
+    "scripts in scripts": "<script>" * N,
+    "open elements": "<div>" * N + "deep" + "</div>" * N,
+    "inline elements": "<b>" * N + "<p>x</p>" * N + "</i>" * N,
+    "end tags of nothing": "<div>" * N + "</nav>" * N + "</b>" * N,
+    "names": "".join(f'<div class="n{i}">x' for i in range(N)),
+    "blanks": "<p " + " " * 50 * N + "class" + " " * 50 * N + "=x>y",
+    "less thans": "<" * 50 * N,
+    "slashes": "</" * 50 * N,
+    "cells": "<table>" + "<tr><td><b>x" * N,
+    "hidden": "<button><svg>" * N,
+}
+
+
+@pytest.mark.parametrize("name", list(HOSTILE))
+def test_time_is_linear(name, field):
+    began = time.time()
+    assert isinstance(html_text.main_text(HOSTILE[name], field), str)
+    assert time.time() - began < 20
+
+
+def test_deep_pages_keep_their_structure():
+    """Beyond hundreds of open elements an end tag still closes what it names."""
+    page = "<nav>" + "<div>" * 10_000 + "menu</nav><article><p>text</p></article>"
+    menu, text = html_text.leaf_blocks(page)
+    assert "t:nav" in menu.names and "t:nav" not in text.names and "t:article" in text.names
+    inline = html_text.leaf_blocks("<p>" + "<i>" * 5000 + "a<p>b")
+    assert [b.text for b in inline] == ["a", "b"] and "t:i" not in inline[1].names
+
+
+def test_all_names_and_long_values():
+    page = '<div class="flex flex-col mt-4 p-4 bg-white a b c d sidebar" id=top role=\'x\'>t</div>'
+    names = html_text.leaf_blocks(page)[0].names
+    assert {"c:flex", "c:sidebar", "c:top", "c:x"} <= set(names)
+    long = f'<p title="{"x > y " * 5000}" class="late">t</p>'
+    block = html_text.leaf_blocks(long)[0]
+    assert block.text == "t" and "c:late" in block.names
+
+
+def test_quotes_count_at_values_only():
+    assert [b.text for b in html_text.leaf_blocks("<p title=it's>a</p><p x'y>b</p><p a = 'c>d'>e</p><br/>f")] == ["a", "b", "e", "f"]
+    assert [b.text for b in html_text.leaf_blocks('<p>a</p><p class="cut>b</p>')] == ["a"]
+    assert [b.text for b in html_text.leaf_blocks("1 < 2 <3 </> x <p")] == ["1 < 2 <3 </> x"]
+
+
+def test_text_of_formulas_and_objects_stays():
+    page = "<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b <object data=v><a href=v>see v</a></object></p>"
+    assert " ".join(b.text for b in html_text.leaf_blocks(page)).replace(" ", "") == "ax=2bseev"
+
+
+def test_weights_of_ancestors_are_summed_as_they_open(field):
+    for page in [*html_text.EXAMPLES, "<div class=a><p class=a>x<b class=b>y</p>z</div>w" * 20]:
+        blocks = html_text.leaf_blocks(page)
+        scored = html_text.leaf_blocks(page, field.weights)
+        whole = field.scores(html_text.features(blocks))
+        parts = field.scores(html_text.features(scored)) + np.array([b.above for b in scored])
+        assert np.allclose(whole, parts) and field.states(page)[1] == field.best(html_text.features(blocks))

@@ -18,6 +18,7 @@ as often as they occur, null ids included; an empty table gives no rows. Extra c
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -27,14 +28,16 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tablecheck.llm.common import table, written
+from tablecheck.llm.common import plain_id, table, with_id, written
 
 LENGTH = 1024
 SEPARATOR = 0
 TOKENIZER = "byte_bpe_50k.json"
+# Runs of white space, as Unicode defines it.
+LONG_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 
 PIECES = (
-    "doc_id long, doc_tokens long, start long, length long, ids binary, ids_crc32 long, task int, rank long"
+    "doc_id long, no_id boolean, doc_tokens long, start long, length long, ids binary, ids_crc32 long, task int, rank long"
 )
 _ENCODERS: dict[str, object] = {}
 
@@ -49,7 +52,6 @@ def encoder(path: str):
     """The tokenizer of a byte-level BPE file; one for each Python worker."""
     if path not in _ENCODERS:
         import json
-        import re
 
         import tiktoken
 
@@ -76,11 +78,35 @@ def encoder(path: str):
 def token_ids(text: str, path: str) -> np.ndarray:
     """The ids of a text, with special tokens found in it, as unsigned 32-bit numbers."""
     encoding, special = encoder(path)
+    if LONG_BLANKS.search(text):
+        return np.concatenate([_ids(encoding, special, part) for part in _parts(text)]).astype("<u4")
+    return _ids(encoding, special, text)
+
+
+def _ids(encoding, special, text: str | bytes) -> np.ndarray:
+    if isinstance(text, bytes):
+        return np.array(encoding._encode_single_piece(text), dtype="<u4")
     if special is not None and special.search(text):
         return np.array(encoding.encode(text, allowed_special="all"), dtype="<u4")
     return np.asarray(encoding.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
 
 
+def _parts(text: str) -> Iterator[str | bytes]:
+    """A text around its long runs of white space, and these as bytes.
+
+    The split into words looks behind each run for what follows, and gives up on very long ones.
+    What it finds is known: a run is a word of its own, but for its last character where a word
+    follows, which is read together with that.
+    """
+    done = 0
+    for run in LONG_BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        yield text[done : run.start()]
+        yield text[run.start() : end].encode()
+        done = end
+    yield text[done:]
+
+
 def _cut(path: str, length: int, separator: int):
     """Rows of documents to rows of pieces, ranked within this task by length."""
 
@@ -88,13 +114,12 @@ def _cut(path: str, length: int, separator: int):
         task, seen = TaskContext.get().partitionId(), np.zeros(length + 1, dtype=np.int64)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, no_id, text in zip(batch["doc_id"], batch["no_id"], batch["text"]):
                 ids = np.append(token_ids(text or "", path), np.uint32(separator))
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
                 for start in range(0, len(ids), length):
                     piece = ids[start : start + length].astype("<u4").tobytes()
                     n = len(piece) // 4
-                    rows.append((doc_id, len(ids), start, n, piece, zlib.crc32(piece), task, seen[n]))
+                    rows.append((doc_id, no_id, len(ids), start, n, piece, zlib.crc32(piece), task, seen[n]))
                     seen[n] += 1
                 if len(rows) >= 2000:
                     yield _frame(rows)
@@ -107,13 +132,13 @@ def _cut(path: str, length: int, separator: int):
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = [c.split()[0] for c in PIECES.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+    return pd.DataFrame(rows, columns=names)
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, separator: int = SEPARATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all documents, as a table in the shared folder."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return written(slim.mapInPandas(_cut(path, length, separator), PIECES), "pieces")
+    slim = docs.select(*plain_id(id_col), F.col(text_col).alias("text"))
+    return with_id(written(slim.mapInPandas(_cut(path, length, separator), PIECES), "pieces"))
 
 
 def packs(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:

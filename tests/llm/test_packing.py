@@ -79,3 +79,20 @@ def test_shortest_pack_first():
 
 def test_empty_table(documents):
     assert packing.packed(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t ", "　", "\r\n"])
+def test_long_runs_of_white_space(blank, reference):
+    for n in (999, 1000, 1001, 3000):
+        for text in (blank * n, "a" + blank * n, blank * n + "b", f"a{blank * n}b{blank * n}!", f"a{blank * n}1<|endoftext|>{blank * n}'s"):
+            assert packing.token_ids(text, packing.tokenizer_path()).tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_blanks():
+    ids = packing.token_ids("a" + " " * 10_000_000 + "b", packing.tokenizer_path())
+    assert len(ids) == len(packing.token_ids("a" + " " * 999_999 + "b", packing.tokenizer_path())) + 9_000_001
+
+
+def test_ids_above_double_precision(documents):
+    rows = [(i, "some text", "en", "s") for i in (2**53 + 1, 2**53 + 3, 2**63 - 1, None)]
+    assert {r["doc_id"] for r in packing.packed(documents(rows, 1)).collect()} == {2**53 + 1, 2**53 + 3, 2**63 - 1, None}

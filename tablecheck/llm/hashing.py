@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 SLICE = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_BYTES = np.random.Generator(np.random.Philox(key=17)).integers(1, 1 << 63, 256, dtype=np.uint64)
+_KEY = np.uint64(0x243F6A8885A308D3)
+# Words beyond this are hashed one by one, so a very long one takes no step for each of its parts.
+LONG_WORD = 128
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, modulo 2 ** 64."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        for name, base in (("up", _MULTIPLIER), ("down", _INVERSE)):
-            factors = np.full(max(n, SLICE + 1), base, dtype=np.uint64)
-            factors[0] = 1
-            _POWERS[name] = np.cumprod(factors)
-    return _POWERS["up"], _POWERS["down"]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -34,27 +25,32 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of all texts in order, and the words before each text.
 
-    The hash of a word is a polynomial in its bytes, taken from running sums over a slice of the
-    texts; slices end between words, so memory is bounded by the slice or the longest word.
+    A word is taken eight bytes at a time, and each part goes through a full mix with what came
+    before; so words of equal length up to eight bytes never share a hash, and others by chance only.
     """
-    whole = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    whole = np.frombuffer(b" ".join(texts) + b" " * 9, dtype=np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
     space = _SPACE[whole]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edges = np.concatenate([[0], edges])
     starts, ends = edges[0::2], edges[1::2]
-    hashes, done = np.empty(len(starts), dtype=np.uint64), 0
-    while done < len(starts):
-        low = starts[done]
-        past = max(done + 1, int(np.searchsorted(ends, low + SLICE, side="right")))
-        up, down = _powers(int(ends[past - 1] - low) + 1)
-        part = whole[low : ends[past - 1]]
-        sums = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[part] * up[: len(part)], out=sums[1:])
-        a, b = starts[done:past] - low, ends[done:past] - low
-        hashes[done:past] = mixed((sums[b] - sums[a]) * down[a])
-        done = past
+    starts = starts[: len(ends)]
+    hashes = mixed(_KEY ^ (ends - starts).astype(np.uint64))
+    at = np.ndarray(len(whole) - 8, dtype="<u8", buffer=whole, strides=(1,))
+    short = np.flatnonzero(ends - starts <= LONG_WORD)
+    for done in range(0, LONG_WORD, 8):
+        short = short[ends[short] - starts[short] > done]
+        if not len(short):
+            break
+        low = starts[short] + done
+        # Bytes of the part that belong to the word; the rest is cleared.
+        over = np.maximum(8 - (ends[short] - low), 0).astype(np.uint64) * np.uint64(8)
+        part = (at[low] << over) >> over
+        hashes[short] = mixed(hashes[short] ^ part) * np.uint64(_MULTIPLIER)
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        word = whole[starts[i] : ends[i]].tobytes()
+        hashes[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
     return hashes, np.searchsorted(starts, bounds)
 
 

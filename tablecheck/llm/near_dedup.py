@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecheck.llm.common import table, written
+from tablecheck.llm.common import plain_id, table, with_id, written
 from tablecheck.llm.components import components
 from tablecheck.llm.hashing import chunks, shingle_sets
 
@@ -53,7 +53,7 @@ _FACTORS = np.random.Generator(np.random.Philox(key=29)).integers(1, 1 << 63, TR
 _LABELS = (
     f"transform(sequence(0, {TREES - 1}), t -> struct(t AS tree, substring(signature, t * {4 * DEPTH} + 1, {4 * DEPTH}) AS label))"
 )
-SIGNATURES = "doc_id long, n_shingles long, digest binary, signature binary, sketch binary"
+SIGNATURES = "doc_id long, no_id boolean, n_shingles long, digest binary, signature binary, sketch binary"
 NEAR = "a long, b long, next boolean, tree int, label binary, node long, n long, crowded boolean"
 
 
@@ -65,8 +65,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _texts(batches: Iterable[pd.DataFrame]) -> Iterator[list[tuple]]:
-    """Rows (id, lower-cased bytes of the text), in bounded lists; only A-Z are lower-cased."""
-    rows = ((i, (t or "").encode().lower()) for b in batches for i, t in zip(b["doc_id"], b["text"]))
+    """Rows (id, whether it is none, lower-cased bytes of the text), in bounded lists; only A-Z are lower-cased."""
+    rows = ((i, x, (t or "").encode().lower()) for b in batches for i, x, t in zip(b["doc_id"], b["no_id"], b["text"]))
     return chunks(rows)
 
 
@@ -74,17 +74,16 @@ def _signed(size: int):
     def sign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk in _texts(batches):
             rows = []
-            for (doc_id, _), shingles in zip(chunk, shingle_sets([t for _, t in chunk], size)):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
+            for (doc_id, no_id, _), shingles in zip(chunk, shingle_sets([r[2] for r in chunk], size)):
                 if not len(shingles):
-                    rows.append((doc_id, 0, None, None, None))
+                    rows.append((doc_id, no_id, 0, None, None, None))
                     continue
                 values = signature(shingles)
                 digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
                 sketch = (values & np.uint32(255)).astype(np.uint8).tobytes()
-                rows.append((doc_id, len(shingles), digest, values.astype(">u4").tobytes(), sketch))
+                rows.append((doc_id, no_id, len(shingles), digest, values.astype(">u4").tobytes(), sketch))
             names = [c.split()[0] for c in SIGNATURES.split(", ")]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=names)
 
     return sign
 
@@ -105,15 +104,11 @@ def _full_sets(size: int):
 
 
 def _packed(shingles: np.ndarray) -> bytes:
-    """Five bytes of each hash: two sets of 20,000 then share a wrong one once in 2,700 pairs."""
-    high = np.unique(shingles >> np.uint64(24))
-    return high.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return shingles.astype("<u8").tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    wide[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
+    return np.frombuffer(data, dtype="<u8")
 
 
 def _neighbours(percent: int, take_ends: bool):
@@ -137,7 +132,7 @@ def _neighbours(percent: int, take_ends: bool):
                 at = np.flatnonzero(both & (prefix >= CROWDED_PREFIX))
                 for rows_at in (at, at + step):
                     out.append(pd.DataFrame({"tree": tree[rows_at], "label": rows["label"].to_numpy()[rows_at], "node": node[rows_at], "crowded": True}))
-        return pd.concat(out) if out else pd.DataFrame()
+        return pd.concat([_near(o) for o in out]) if out else pd.DataFrame()
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, first = None, None
@@ -333,7 +328,8 @@ def near_duplicates(
     Documents are linked when 100 x common shingles >= ``percent`` x shingles of either.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(slim.mapInPandas(_signed(size), SIGNATURES), "signatures")
+    plain = slim.select(*plain_id("doc_id"), "text")
+    signed = with_id(written(plain.mapInPandas(_signed(size), SIGNATURES), "signatures"))
     linked = signed.where("doc_id is not null and digest is not null")
     nodes = linked.groupBy("digest").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"),

@@ -32,18 +32,18 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablecheck.llm.common import table, written
+from tablecheck.llm.common import plain_id, table, with_id, written
 from tablecheck.llm.hashing import chunks, window_hashes, word_hashes
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 BLOCK_BYTES = 2 << 20
 PART_ENTRIES = 250_000
-NO_ID = np.iinfo(np.int64).max
 
-BLOCKS = "block long, ids binary, counts binary, words binary, n_words long"
+BLOCKS = "block long, ids binary, none binary, counts binary, words binary, n_words long"
 ENTRIES = "part int, block long, entries binary"
 ANSWERS = "block long, found binary"
+RESULT = "doc_id long, no_id boolean, n_words long, n_removed long, kept string, kept_sha256 string"
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -64,21 +64,23 @@ def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
 def _blocked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows doc_id, text to blocks: ids, words of each document, and the words themselves."""
     number = TaskContext.get().partitionId() << 33
-    rows = ((i, (t or "").encode().split()) for b in batches for i, t in zip(b["doc_id"], b["text"]))
-    rows = ((i, len(w), b" ".join(w)) for i, w in rows)
+    rows = ((i, x, (t or "").encode().split()) for b in batches for i, x, t in zip(b["doc_id"], b["no_id"], b["text"]))
+    rows = ((i, x, len(w), b" ".join(w)) for i, x, w in rows)
     for chunk in chunks(rows, BLOCK_BYTES):
-        ids = np.array([NO_ID if pd.isna(i) else int(i) for i, _, _ in chunk], dtype=np.int64)
-        counts = np.array([n for _, n, _ in chunk], dtype=np.int64)
-        words = zstandard.compress(b"\n".join(w for _, _, w in chunk), 3)
-        yield pd.DataFrame([(number, ids.tobytes(), counts.tobytes(), words, counts.sum())], columns=["block", "ids", "counts", "words", "n_words"])
+        ids, none = np.array([r[0] for r in chunk], dtype=np.int64), np.array([r[1] for r in chunk], dtype=bool)
+        counts = np.array([r[2] for r in chunk], dtype=np.int64)
+        words = zstandard.compress(b"\n".join(r[3] for r in chunk), 3)
+        row = (number, ids.tobytes(), none.tobytes(), counts.tobytes(), words, counts.sum())
+        yield pd.DataFrame([row], columns=["block", "ids", "none", "counts", "words", "n_words"])
         number += 1
 
 
 class Block:
     """The words of a block as hashes, with the document and the position of each word."""
 
-    def __init__(self, ids: bytes, counts: bytes, words: bytes):
+    def __init__(self, ids: bytes, none: bytes, counts: bytes, words: bytes):
         self.ids, self.counts = np.frombuffer(ids, dtype=np.int64), np.frombuffer(counts, dtype=np.int64)
+        self.none = np.frombuffer(none, dtype=bool)
         self.texts = zstandard.decompress(words).split(b"\n")
         self.hashes, self.first = word_hashes(self.texts)
         self.doc = np.repeat(np.arange(len(self.ids)), self.counts)
@@ -123,15 +125,21 @@ def _earliest(block: Block, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     """For each distinct window its earliest entry in the block; and the words of all later ones."""
     if not len(at):
         return np.zeros(0, dtype=np.int64), at
-    ids, place = block.ids[block.doc[at]], block.place[at]
-    order = np.lexsort((place, ids, hashes))
-    same = hashes[order][1:] == hashes[order][:-1]
-    first = np.concatenate([[True], ~same])
-    lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-    later = (ids[order] != ids[lead]) | (place[order] != place[lead])
+    order, lead, first, later = _in_order(hashes, block.ids[block.doc[at]], block.none[block.doc[at]], block.place[at])
     return order[first], at[order][later]
 
 
+def _in_order(hashes: np.ndarray, ids: np.ndarray, none: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows by hash and start, the earliest of each, which are such, and which start later than theirs.
+
+    No id is larger than all ids."""
+    order = np.lexsort((place, ids, none, hashes))
+    first = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+    lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    later = (ids[order] != ids[lead]) | (none[order] != none[lead]) | (place[order] != place[lead])
+    return order, lead, first, later
+
+
 def _by_part(hashes: np.ndarray, parts: int, block: int, pack) -> list[tuple]:
     """Rows part, block, entries: ``pack(i)`` packs the entries i, sorted by hash."""
     part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -143,8 +151,8 @@ def _by_part(hashes: np.ndarray, parts: int, block: int, pack) -> list[tuple]:
 def _anchor_entries(window: int, parts: int):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for number, ids, counts, words in zip(batch["block"], batch["ids"], batch["counts"], batch["words"]):
-                hashes, at = Block(ids, counts, words).anchors(window)
+            for number, ids, none, counts, words in zip(*(batch[c] for c in ("block", "ids", "none", "counts", "words"))):
+                hashes, at = Block(ids, none, counts, words).anchors(window)
                 first, others = _own_repeats(hashes, at)
                 hashes, at = hashes[first], at[first]
                 rows = _by_part(hashes, parts, number, lambda i: _packed(hashes[i], at[i].astype("<u4"), others[i]))  # noqa: B023
@@ -162,12 +170,10 @@ def _anchor_answers(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _window_answers(rows: pd.DataFrame) -> pd.DataFrame:
     """All entries of a part to the words, by block, whose windows start earlier elsewhere."""
-    hashes, at, ids, place, source = _joined(rows, "<u8", "<u4", "<i8", "<u4")
-    order = np.lexsort((place, ids, hashes))
-    first = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
-    lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    hashes, at, ids, none, place, source = _joined(rows, "<u8", "<u4", "<i8", "?", "<u4")
+    order, _, _, after = _in_order(hashes, ids, none, place)
     later = np.zeros(len(order), dtype=bool)
-    later[order] = (ids[order] != ids[lead]) | (place[order] != place[lead])
+    later[order] = after
     return _answers(rows, source, at, later)
 
 
@@ -189,13 +195,16 @@ def _answers(rows: pd.DataFrame, source: np.ndarray, at: np.ndarray, chosen: np.
 def _window_entries(window: int, parts: int):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for number, ids, counts, words, found in zip(batch["block"], batch["ids"], batch["counts"], batch["words"], batch["anchors"]):
-                block = Block(ids, counts, words)
+            for number, ids, none, counts, words, found in zip(*(batch[c] for c in ("block", "ids", "none", "counts", "words", "anchors"))):
+                block = Block(ids, none, counts, words)
                 hashes, at = block.windows(window, _repeated(block, window, found))
                 lead, _ = _earliest(block, hashes, at)
                 hashes, at = hashes[lead], at[lead]
-                doc, place = block.ids[block.doc[at]], block.place[at].astype("<u4")
-                rows = _by_part(hashes, parts, number, lambda i: _packed(hashes[i], at[i].astype("<u4"), doc[i], place[i]))  # noqa: B023
+                doc, place = block.doc[at], block.place[at].astype("<u4")
+                rows = _by_part(  # noqa: B023
+                    hashes, parts, number,
+                    lambda i: _packed(hashes[i], at[i].astype("<u4"), block.ids[doc[i]], block.none[doc[i]], place[i]),
+                )
                 yield pd.DataFrame(rows, columns=["part", "block", "entries"])
 
     return run
@@ -206,8 +215,8 @@ def _kept(window: int):
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for ids, counts, words, anchors, found in zip(batch["ids"], batch["counts"], batch["words"], batch["anchors"], batch["windows"]):
-                block = Block(ids, counts, words)
+            for ids, none, counts, words, anchors, found in zip(*(batch[c] for c in ("ids", "none", "counts", "words", "anchors", "windows"))):
+                block = Block(ids, none, counts, words)
                 hashes, at = block.windows(window, _repeated(block, window, anchors))
                 gone = np.concatenate([_earliest(block, hashes, at)[1], _words(found)])
                 marks = np.zeros(len(block.hashes) + window + 1, dtype=np.int64)
@@ -215,14 +224,13 @@ def _kept(window: int):
                 np.add.at(marks, gone + window, -1)
                 covered = np.cumsum(marks)[: len(block.hashes)] > 0
                 rows = []
-                for i, (doc_id, n, low, text) in enumerate(zip(block.ids, block.counts, block.first, block.texts)):
+                for doc_id, no_id, n, low, text in zip(block.ids.tolist(), block.none.tolist(), block.counts, block.first, block.texts):
                     mask = covered[low : low + n]
                     removed = int(mask.sum())
                     if removed:
                         text = b" ".join(w for w, c in zip(text.split(b" "), mask) if not c)
-                    rows.append((None if doc_id == NO_ID else int(doc_id), int(n), removed, text.decode(), hashlib.sha256(text).hexdigest()))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
-                yield out.astype({"doc_id": "Int64"})
+                    rows.append((doc_id, no_id, int(n), removed, text.decode(), hashlib.sha256(text).hexdigest()))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 
     return run
 
@@ -240,7 +248,7 @@ def without_repeats(
     """One row per document: doc_id, n_words, n_removed, the kept words and their SHA-256."""
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD}")
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(*plain_id(id_col), F.col(text_col).alias("text"))
     blocks = written(slim.mapInPandas(_blocked, BLOCKS), "blocks")
     words = blocks.agg(F.sum("n_words")).first()[0] or 0
     parts = max(1, math.ceil(words * len(COVER) / PERIOD / part_entries))
@@ -251,7 +259,7 @@ def without_repeats(
     entries = marked.mapInPandas(_window_entries(window, parts), ENTRIES)
     windows = _asked(entries, _window_answers).withColumnRenamed("found", "windows")
     rows = marked.join(windows, "block", "left")
-    return rows.mapInPandas(_kept(window), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return with_id(rows.mapInPandas(_kept(window), RESULT))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

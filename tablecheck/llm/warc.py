@@ -62,8 +62,8 @@ def _written_records(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     task, number = TaskContext.get().partitionId(), 0
     for batch in batches:
         out, size = [], 0
-        for page_id, url, html, response in zip(batch["page_id"], batch["url"], batch["html"], batch["response_id"]):
-            page = "" if pd.isna(page_id) else str(int(page_id))
+        for page, url, html, response in zip(batch["page_id"], batch["url"], batch["html"], batch["response_id"]):
+            page = page or ""
             name, number = f"urn:capture:{page}:{task}.{number}", number + 1
             target, payload = _one_line(url), (html or "").encode()
             uri = [("WARC-Target-URI", target)]
@@ -73,12 +73,12 @@ def _written_records(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             digest = _digest(payload)
             answer = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}{END}".encode()
             fields = [*joined, ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")]
-            if pd.isna(response):
+            if response is None:
                 out.append(_record("response", f"{name}:response", fields, answer + payload))
             else:
                 fields += [
                     ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                    ("WARC-Refers-To", f"<urn:capture:{int(response)}>"),
+                    ("WARC-Refers-To", f"<urn:capture:{response}>"),
                 ]
                 out.append(_record("revisit", f"{name}:revisit", fields, answer))
             about = f"payloadBytes: {len(payload)}\r\npayloadDigest: sha1:{digest}\r\n".encode()
@@ -103,6 +103,8 @@ def write_archives(
     marked = keyed.join(shared, ["sha", "size"], "left")
     own = F.col("response_id").isNull() | F.col("page_id").eqNullSafe(F.col("response_id"))
     marked = marked.withColumn("response_id", F.when(~own, F.col("response_id")))
+    # As text: pandas makes doubles of a long column that holds nulls.
+    marked = marked.withColumns({name: F.col(name).cast("string") for name in ("page_id", "response_id")})
     texts = marked.select("page_id", "url", "html", "response_id").mapInPandas(_written_records, "value string")
     writer = texts.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS)
     writer.text(path)
@@ -161,7 +163,9 @@ def _read_records(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _records(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64"})
+    whole = ("page_id", "payload_bytes")
+    columns = {n: [r[i] for r in rows] for i, n in enumerate(names)}
+    return pd.DataFrame({n: pd.array(c, dtype="Int64") if n in whole else pd.Series(c, dtype=object) for n, c in columns.items()})
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -124,3 +124,12 @@ def test_texts_that_share_an_id(documents, rng):
             rows += [(10 * i, " ".join(text), "en", "s"), (10 * i + k, " ".join(text[:-1]), "en", "s")]
     assert found(documents(rows), 3, 85) == expected(rows, 3, 85)
     assert {r[2] for r in expected(rows, 3, 85)} == {10 * i for i in range(20)}
+
+
+def test_ids_above_double_precision(documents, rng):
+    base = words(rng, 60)
+    rows = [(2**53 + 2 * i + 1, " ".join(base[:-1] + [f"w{i}"]), "en", "s") for i in range(12)]
+    rows += [(2**63 - 1, " ".join(base), "en", "s"), (None, " ".join(base), "en", "s")]
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(documents(rows, 1)).collect()}
+    assert set(got) == {r[0] for r in rows}
+    assert {c for i, (c, _) in got.items() if i is not None} == {2**53 + 1} and got[None] == (None, True)

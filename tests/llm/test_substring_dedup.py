@@ -73,3 +73,27 @@ def test_awkward_rows(documents, awkward):
 
 def test_empty_table(documents):
     assert found(documents([])) == []
+
+
+def test_words_that_polynomials_take_as_equal(documents):
+    """The first 1024 letters of the Thue-Morse order and their complement, and other such pairs."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{a} {rest} x y {b} {rest}", "en", "s"), (2, f"{b[:64]} {rest}", "en", "s"), (3, f"{a[:64]} {rest}", "en", "s")]
+    got = found(documents(rows))
+    assert got == expected(rows) and [r[2] for r in got] == [0, 0, 0]
+
+
+def test_word_hashes_differ():
+    words_of = [bytes([x]) * n for x in (1, 65, 255) for n in (1, 2, 7, 8, 9, 15, 16, 17, 127, 128, 129, 300)] + [b"ab\x00", b"ab"]
+    hashes, first = substring_dedup.word_hashes([b" ".join(words_of), b"", b" ", words_of[0]])
+    assert len(set(hashes.tolist())) == len(words_of) and hashes[0] == hashes[-1]
+    assert first.tolist() == [0, len(words_of), len(words_of), len(words_of), len(words_of) + 1]
+
+
+def test_ids_above_double_precision(documents, rng):
+    text = " ".join(words(rng, 30))
+    rows = [(i, text, "en", "s") for i in (2**53 + 3, 2**53 + 1, 2**63 - 1, None)]
+    got = found(documents(rows, 1))
+    assert got == expected(rows) and [r[0] for r in got if not r[2]] == [2**53 + 1]

@@ -86,3 +86,12 @@ def test_query(spark):
     rows = warc.op6_warc(spark, "/root/testdata/sf0.001")
     pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
     assert sorted(map(tuple, rows.collect()), key=repr) == expected(pages)
+
+
+def test_ids_above_double_precision(spark, tmp_path):
+    schema = "page_id long, url string, html string"
+    rows = [(i, "u", "<p>same</p>") for i in (2**53 + 1, 2**53 + 3, 2**63 - 1)] + [(None, "u", "<p>other</p>")]
+    warc.write_archives(spark.createDataFrame(rows, schema).coalesce(1), str(tmp_path / "a"))
+    got = warc.captures(warc.read_archives(spark, str(tmp_path / "a"))).collect()
+    assert {r["page_id"] for r in got} == {r[0] for r in rows}
+    assert {r["response"]["refers_to"] for r in got} == {None, f"urn:capture:{2**63 - 1}"}

@@ -13,8 +13,8 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -109,8 +109,9 @@ def main() -> None:
         for name, build in headline.items()
     }
     compared = timed(lambda: one_job_per_rule(spark, sf_dir), runs)
-    with tempfile.TemporaryDirectory() as folder:
-        hot = skewed(spark, sf_dir, folder)
+    # Where all executors see it: the folder of checkpoints, else one in the warehouse.
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    hot = skewed(spark, sf_dir, f"{shared.rstrip('/')}/bench-{uuid.uuid4().hex}")
     print(
         json.dumps(
             {

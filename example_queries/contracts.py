@@ -371,3 +371,37 @@ def rules_by_tag(spark, sf_dir):
     chosen = tc.catalogue(spark, tags=["completeness", "uniqueness"]).select("rule_id")
     results = orders_results(spark, sf_dir).select("rule_id", "ordinal", "column_name", "passed")
     return results.join(F.broadcast(chosen), "rule_id", "left_semi")
+
+
+# --- offending rows ---
+
+VIOLATED = [
+    ("range_check", {"column": "o_totalprice", "min_val": 1000.0, "max_val": 400000.0}),
+    ("unique_check", {"column": "o_custkey"}),
+    ("allowed_values", {"column": "o_orderstatus", "values": ["F", "O"]}),
+    ("min_row_count", {"min_rows": 1}),
+    ("regex_match", {"column": "o_orderpriority", "pattern": "[1-4]-.*"}),
+    ("null_check", {"column": "o_orderdate"}),
+]
+
+
+@query(
+    "violating_rows",
+    """
+    WITH c AS (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1),
+    b AS (
+      SELECT o.*, concat_ws(',',
+        CASE WHEN o_totalprice < 1000 OR o_totalprice > 400000 THEN '0:range_check:o_totalprice' END,
+        CASE WHEN o_custkey IN (SELECT o_custkey FROM c) THEN '1:unique_check:o_custkey' END,
+        CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN '2:allowed_values:o_orderstatus' END,
+        CASE WHEN NOT regexp_full_match(o_orderpriority, '[1-4]-.*') THEN '4:regex_match:o_orderpriority' END,
+        CASE WHEN o_orderdate IS NULL THEN '5:null_check:o_orderdate' END) AS broken
+      FROM orders o
+    )
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, broken FROM b WHERE broken <> ''
+    """,
+)
+def violating_rows(spark, sf_dir):
+    found = tc.violating_rows(table(spark, sf_dir, "orders"), approved(*VIOLATED))
+    broken = F.transform("broken_rules", lambda b: F.concat_ws(":", b["ordinal"], b["rule_id"], b["column_name"]))
+    return found.rows.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.array_join(broken, ",").alias("broken"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 import tablecheck as tc
@@ -41,6 +44,20 @@ def profile_table(spark, sf_dir):
     return tc.profile_table(part, "part").drop("profiled_at", "schema_fingerprint")
 
 
+# The columns of part as names and Spark's JSON names of their types.
+PART_SCHEMA = [["p_partkey", "long"], ["p_name", "string"], ["p_brand", "string"], ["p_type", "string"], ["p_size", "integer"], ["p_retailprice", "double"]]
+PART_FINGERPRINT = hashlib.blake2b(json.dumps(PART_SCHEMA).encode(), digest_size=8).hexdigest()
+
+
+@query(
+    "profile_table_whole",
+    f"""SELECT 'part' AS dataset, false AS redacted, false AS sampled, *,
+               '{PART_FINGERPRINT}' AS schema_fingerprint FROM ({duplicates_sql("SELECT * FROM part")})""",
+)
+def profile_table_whole(spark, sf_dir):
+    return tc.profile_table(table(spark, sf_dir, "part"), "part").drop("profiled_at")
+
+
 @query("duplicate_rows_lineitem", duplicates_sql("SELECT * FROM lineitem"))
 def duplicate_rows_lineitem(spark, sf_dir):
     return tc.duplicate_rows(table(spark, sf_dir, "lineitem"))
@@ -515,6 +532,45 @@ def profile_redacted(spark, sf_dir):
     )
 
 
+ORDERS_NUMBERS = ("o_orderkey", "o_custkey", "o_totalprice")
+ORDERS_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+def _redacted_sql(column: str) -> str:
+    number = column in ORDERS_NUMBERS
+    least, most = (f"round({f}({column})::DOUBLE, 6)" if number else "NULL::DOUBLE" for f in ("min", "max"))
+    return f"""SELECT '{column}' AS name, true AS hidden, {least} AS min_num, {most} AS max_num,
+                      round((count(*) - count({column}))::DOUBLE / count(*), {RATE_DIGITS}) AS null_rate FROM orders"""
+
+
+@query("profile_redacted_whole", " UNION ALL ".join(_redacted_sql(c) for c in ORDERS_COLUMNS))
+def profile_redacted_whole(spark, sf_dir):
+    report = tc.redact(tc.profile(table(spark, sf_dir, "orders"), "orders"))
+    return report.columns.select(
+        "name", F.col("top_values").isNull().alias("hidden"), F.round("min_num", 6).alias("min_num"),
+        F.round("max_num", 6).alias("max_num"), F.round("null_rate", RATE_DIGITS).alias("null_rate"),
+    )
+
+
+DISTINCT_WHOLE = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+)
+
+
+@query(
+    "distinct_counts_lineitem",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS row_count, count({c}) AS non_null_count,"
+        f" count(DISTINCT {c}) AS distinct_count FROM lineitem"
+        for c in DISTINCT_WHOLE
+    ),
+)
+def distinct_counts_lineitem(spark, sf_dir):
+    """Keys and dates in bitmaps, other columns by value."""
+    return tc.distinct_counts(table(spark, sf_dir, "lineitem"), list(DISTINCT_WHOLE))
+
+
 @query(
     "profile_sampled",
     """

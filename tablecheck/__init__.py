@@ -1,6 +1,8 @@
 """Data-quality contracts and profiles for tables, as lazy Spark DataFrames."""
 
-from tablecheck.operators.frequency import distinct_counts, duplicate_rows, top_values
+from tablecheck.operators.bitmaps import distinct_counts
+from tablecheck.operators.duplicates import duplicate_rows
+from tablecheck.operators.frequency import top_values
 from tablecheck.operators.quantiles import order_statistics, quartiles
 from tablecheck.operators.rules import (
     CountCheck,
@@ -40,6 +42,7 @@ from tablecheck.plans.profile import (
 from tablecheck.plans.report import report_rows, summary
 from tablecheck.plans.score import expected_issues, issue_status, score
 from tablecheck.plans.suggest import draft_contract, suggest_rules
+from tablecheck.plans.violations import violating_rows
 from tablecheck.sources.files import load_csv, load_parquet, load_table
 from tablecheck.sources.jdbc import estimate_row_count, load_jdbc, load_profiling
 from tablecheck.sources.tables import estimate_table_rows, load_table_profiling

@@ -10,14 +10,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablecheck.functions.columns import (
     bounded_key,
     chunks,
     is_digested,
     quoted,
-    row_key,
     string_order,
 )
 from tablecheck.functions.types import is_string
@@ -54,6 +53,10 @@ class Frequencies:
         # keep the same aggregation and share its shuffle.
         self.valued = F.when(F.col("v").isNotNull(), F.col("cnt"))
 
+    def key(self, name: str) -> Column:
+        """What stands in ``v`` for the value of a row of the table."""
+        return next(_key(f) for _, f in self.columns if f.name == name)
+
     def distinct(self) -> DataFrame:
         """``slot, row_count, non_null_count, distinct_count``; no row where the table is
         empty."""
@@ -147,49 +150,32 @@ def _kind(data_type: T.DataType) -> str:
     return "string" if is_string(data_type) else data_type.simpleString()
 
 
-def frequencies(df: DataFrame, columns: list[str] | None = None) -> list[Frequencies]:
-    """Value counts of the given columns (default all), slots numbering them as given."""
+def frequencies(
+    df: DataFrame, columns: list[str] | None = None, slots: list[int] | None = None
+) -> list[Frequencies]:
+    """Value counts of the given columns (default all), numbered as given or by ``slots``."""
     df = countable(df)
     by_name = {f.name: f for f in df.schema.fields}
+    names = columns or df.columns
     kinds: dict[str, list] = {}
-    for slot, name in enumerate(columns or df.columns):
+    for slot, name in zip(slots or range(len(names)), names):
         kinds.setdefault(_kind(by_name[name].dataType), []).append((slot, by_name[name]))
     return [
         Frequencies(df, group) for same in kinds.values() for group in chunks(same, COLUMNS_PER_SCAN)
     ]
 
 
-def _named(parts: list[DataFrame], names: list[str]) -> DataFrame:
+def named(parts: list[DataFrame], names: list[str]) -> DataFrame:
     """Stack the parts, with ``column_name`` in the place of ``slot``."""
     name = F.array(*[F.lit(c) for c in names])[F.col("slot")]
     stacked = reduce(DataFrame.union, parts)
     return stacked.withColumn("slot", name).withColumnRenamed("slot", "column_name")
 
 
-def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``column_name, row_count, non_null_count, distinct_count`` per column, exact."""
-    parts = [counted.distinct() for counted in frequencies(df, columns)]
-    return _named(parts, columns or df.columns)
-
-
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
     """``column_name, rank, value, count``: the k most frequent non-null values per column,
     most frequent first. Values equally frequent come in ascending order; texts by their first
     48 characters, then by the SHA-256 of the whole text.
     """
     parts = [counted.top(k) for counted in frequencies(df, columns)]
-    return _named(parts, columns or df.columns)
-
-
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row ``row_count, duplicate_row_count``: rows beyond the first of each kind.
-
-    Nulls equal each other. Grouping is by :func:`row_key`, so whole texts and wide rows
-    are not shuffled.
-    """
-    keys = df.select(*[key.alias(f"k{i}") for i, key in enumerate(row_key(df.schema))])
-    copies = keys.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("cnt"))
-    return copies.agg(
-        F.coalesce(F.sum("cnt"), F.lit(0)).alias("row_count"),
-        F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).alias("duplicate_row_count"),
-    )
+    return named(parts, columns or df.columns)

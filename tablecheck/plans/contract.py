@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablecheck.functions.columns import chunks
-from tablecheck.operators.frequency import frequencies
+from tablecheck.operators.bitmaps import distinct_values
 from tablecheck.operators.rules import (
     CountCheck,
     Measurement,
@@ -65,6 +65,7 @@ class _Entry:
         self.severity: str | None = spec.get("severity")
         self.measurement: Measurement | None = None
         self.error: str | None = None
+        self.measured: Column | None = None
         # an invalid entry is wrong on any table; other errors give way to "empty table"
         self.invalid = False
         try:
@@ -91,7 +92,7 @@ class _Entry:
         """Turn an expression that Spark rejects into an error; runs no job."""
         try:
             if isinstance(self.measurement, SurplusCheck):
-                frequencies(df, [self.measurement.column])[0].surplus().schema
+                distinct_values(df, [self.measurement.column])[0].surplus().schema
             else:
                 df.agg(self.measurement.count).schema
         except Exception as exc:
@@ -151,7 +152,7 @@ def run_contract(df: DataFrame, contract: dict[str, Any]) -> DataFrame:
 
     parts = [_counted_rows(df, group) for group in chunks(counted, RULES_PER_SCAN)]
     parts += _surplus_rows(df, surplus)
-    literal = [e.row() for e in rejected] + [_isolated_row(df, e) for e in isolated]
+    literal = [e.row() for e in rejected] + _isolated_rows(df, isolated)
     if literal:
         parts.append(df.sparkSession.range(1).select(F.inline(F.array(*literal))))
     return _results(reduce(DataFrame.union, parts))
@@ -184,7 +185,7 @@ def _analyse(df: DataFrame, entries: list[_Entry]) -> None:
     try:
         df.agg(F.count(F.lit(1)), *[e.measurement.count for e in counted]).schema
         columns = list(dict.fromkeys(e.measurement.column for e in surplus))
-        for part in frequencies(df, columns) if columns else []:
+        for part in distinct_values(df, columns) if columns else []:
             part.surplus().schema
     except Exception:
         for e in counted + surplus:
@@ -207,7 +208,7 @@ def _surplus_rows(df: DataFrame, entries: list[_Entry]) -> list[DataFrame]:
     """All uniqueness rules, one aggregation per type of column."""
     columns = list(dict.fromkeys(e.measurement.column for e in entries))
     parts = []
-    for counted in frequencies(df, columns) if columns else []:
+    for counted in distinct_values(df, columns) if columns else []:
         slots = {f.name: slot for slot, f in counted.columns}
         rows = [
             e.row(F.col("n"), F.col(f"s{slots[e.measurement.column]}"))
@@ -218,19 +219,40 @@ def _surplus_rows(df: DataFrame, entries: list[_Entry]) -> list[DataFrame]:
     return parts
 
 
-def _isolated_row(df: DataFrame, entry: _Entry) -> Column:
-    """Measure one rule in a job of its own, now, so that its failure stays its own."""
+def _isolated_rows(df: DataFrame, entries: list[_Entry]) -> list[Column]:
+    """Measure rules that may fail, now, so that a failure stays with its rule.
+
+    All are measured in one job; if it fails its rules are measured in two halves, until each
+    failing rule stands alone. So k rules without failures cost one job, and each failing one
+    adds about twice the logarithm of k. Uniqueness rules shuffle anyway and have a job each.
+    """
+    alone = [e for e in entries if isinstance(e.measurement, SurplusCheck)]
+    together = [e for e in entries if e not in alone]
+    for e in alone:
+        _measure(df, [e])
+    for group in chunks(together, RULES_PER_SCAN):
+        _measure(df, group)
+    return [e.row() if e.measured is None else e.measured for e in entries]
+
+
+def _measure(df: DataFrame, entries: list[_Entry]) -> None:
     try:
-        if isinstance(entry.measurement, SurplusCheck):
-            n, count = frequencies(df, [entry.measurement.column])[0].surplus().first()
-        elif isinstance(entry.measurement, TableCheck):
-            n, count = df.count(), None
+        if isinstance(entries[0].measurement, SurplusCheck):
+            n, *counts = distinct_values(df, [entries[0].measurement.column])[0].surplus().first()
         else:
-            n, count = df.agg(F.count(F.lit(1)), entry.measurement.count).first()
-        return entry.row(F.lit(n), F.lit(count))
-    except Exception as exc:  # the rule's own failure, reported as its error
-        entry.measurement, entry.error = None, str(exc)
-        return entry.row()
+            counted = [e.measurement.count.alias(f"v{e.ordinal}") for e in entries if e.is_counted]
+            n, *counts = df.agg(F.count(F.lit(1)).alias("n"), *counted).first()
+        found = iter(counts)
+        for e in entries:
+            of_rows = e.is_counted or isinstance(e.measurement, SurplusCheck)
+            e.measured = e.row(F.lit(n), F.lit(next(found)) if of_rows else None)
+    except Exception as exc:
+        if len(entries) == 1:  # the rule's own failure, reported as its error
+            entries[0].measurement, entries[0].error = None, str(exc)
+            return
+        half = len(entries) // 2
+        _measure(df, entries[:half])
+        _measure(df, entries[half:])
 
 
 def blocking_failures(results: DataFrame) -> DataFrame:

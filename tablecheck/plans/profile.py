@@ -20,11 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tablecheck.functions import text
 from tablecheck.functions.columns import STRING_KEY_BYTES, chunks, quoted
 from tablecheck.functions.types import is_fractional, is_numeric, is_string, is_temporal
-from tablecheck.operators.frequency import (
-    TOP_VALUES,
-    duplicate_rows,
-    frequencies,
-)
+from tablecheck.operators.duplicates import duplicate_rows
+from tablecheck.operators.frequency import TOP_VALUES, frequencies
 from tablecheck.operators.quantiles import QUARTILES, counted_quartiles
 from tablecheck.operators.sampling import uniform_sample
 from tablecheck.operators.schema import fingerprint

@@ -1,0 +1,88 @@
+"""CSV with line breaks in fields: the same cells as one task reads, by many tasks."""
+
+import csv
+import random
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import tablecheck as tc
+from tablecheck.sources.csv_ranges import csv_records
+
+SCHEMA = "id int, text string, price double, day date"
+
+
+@pytest.fixture()
+def small_ranges(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+    spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def write(path, rows, end="\n", header=("id", "text", "price", "day")):
+    with open(path, "w", newline="") as f:
+        out = csv.writer(f, lineterminator=end)
+        out.writerow(header)
+        out.writerows(rows)
+
+
+def made(n, seed=1):
+    rng = random.Random(seed)
+    pieces = ["plain", 'said ""', 'a "word"', "x,y", "\n", "\n\n", "ünï 漢字", " ", "1,2\n3,4"]
+    text = lambda: "t" + "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9)))
+    return [(i, text(), i / 4, f"2024-01-{i % 28 + 1:02d}") for i in range(n)]
+
+
+def cells(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_as_one_task_reads(spark, tmp_path, small_ranges, end):
+    path = str(tmp_path / "a.csv")
+    write(path, made(1500), end)
+    found = tc.load_csv_ranges(spark, path, SCHEMA)
+    assert spark.read.text(path).rdd.getNumPartitions() > 10
+    assert cells(found) == cells(tc.load_csv(spark, path, schema=SCHEMA))
+    assert found.count() == 1500
+    if end == "\n":
+        there = duckdb.sql(f"SELECT * FROM read_csv('{path}', header = true, quote = '\"', escape = '\"')").fetchall()
+        assert cells(found) == sorted(there, key=repr)
+
+
+def test_records_over_many_ranges(spark, tmp_path, small_ranges):
+    path = str(tmp_path / "a.csv")
+    long = "\n".join(f'line {i}, "quoted"' for i in range(1000))
+    rows = [(1, "before", 1.0, "2024-01-01"), (2, long, 2.0, "2024-01-02"), (3, long + "\n", 3.0, "2024-01-03"), (4, "after", 4.0, "2024-01-04")]
+    write(path, rows)
+    assert {r["id"]: r["text"] for r in tc.load_csv_ranges(spark, path, SCHEMA).collect()} == {r[0]: r[1] for r in rows}
+
+
+def test_several_files_with_headers_of_two_lines(spark, tmp_path, small_ranges):
+    for k in range(4):
+        write(str(tmp_path / f"{k}.csv"), [(k * 1000 + i, *r[1:]) for i, r in enumerate(made(300, k))], header=("id", "a\ntext", "price", "day"))
+    found = tc.load_csv_ranges(spark, str(tmp_path), SCHEMA)
+    assert cells(found) == cells(tc.load_csv(spark, str(tmp_path), schema=SCHEMA))
+    places = csv_records(spark, str(tmp_path)).groupBy("file", "place").count()
+    assert places.agg(F.max("count")).first()[0] == 1
+
+
+def test_empty_files_lines_and_fields(spark, tmp_path):
+    path = str(tmp_path / "a.csv")
+    write(path, [])
+    assert tc.load_csv_ranges(spark, path, SCHEMA).count() == 0
+    with open(path, "w") as f:
+        f.write('id,text,price,day\n\n1,,,\n2,"",,2024-01-01\n\n3,"\n",1.5,')
+    assert cells(tc.load_csv_ranges(spark, path, SCHEMA)) == cells(tc.load_csv(spark, path, schema=SCHEMA))
+
+
+def test_broken_records_fail(spark, tmp_path):
+    path = str(tmp_path / "a.csv")
+    with open(path, "w") as f:
+        f.write("id,text,price,day\n1,a\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tc.load_csv_ranges(spark, path, SCHEMA).collect()

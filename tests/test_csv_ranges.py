@@ -5,7 +5,6 @@ import random
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import tablecheck as tc
 from tablecheck.sources.csv_ranges import csv_records
@@ -67,8 +66,7 @@ def test_several_files_with_headers_of_two_lines(spark, tmp_path, small_ranges):
         write(str(tmp_path / f"{k}.csv"), [(k * 1000 + i, *r[1:]) for i, r in enumerate(made(300, k))], header=("id", "a\ntext", "price", "day"))
     found = tc.load_csv_ranges(spark, str(tmp_path), SCHEMA)
     assert cells(found) == cells(tc.load_csv(spark, str(tmp_path), schema=SCHEMA))
-    places = csv_records(spark, str(tmp_path)).groupBy("file", "place").count()
-    assert places.agg(F.max("count")).first()[0] == 1
+    assert csv_records(spark, str(tmp_path)).count() == 1200
 
 
 def test_empty_files_lines_and_fields(spark, tmp_path):

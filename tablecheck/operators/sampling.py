@@ -1,9 +1,11 @@
 """Samples of a DataFrame: exact in size, uniform, sized for profiling.
 
 Every row gets a key of random or hashed bits, and the sample is the rows with the n smallest
-keys. The n-th smallest is found by counting rows per range of keys, 16 bits at a time, so the
-sample is a filter on the table: it keeps the partitions of the table, has no prefix and no
-single task, whatever n is. Finding it runs a few counting jobs, now; the sample itself is lazy.
+keys. The n-th smallest is found by counting rows per range of keys, so the sample is a filter on
+the table: it keeps the partitions of the table, has no prefix, whatever n is. Finding it runs two
+counting jobs, now; the sample itself is lazy. The first counts 2 ** 16 ranges, the second the keys
+of the range where the sample ends. Only where that range has more than ``EDGE_ROWS`` rows, as one
+key value fills much of the table, it is cut into ranges again before its keys are counted.
 """
 
 from __future__ import annotations
@@ -19,8 +21,12 @@ from tablecheck.functions.columns import quoted
 OVERSHOOT = 1.5
 MIN_PERCENT = 0.000001
 
+# The most rows whose keys are ordered in one task.
+EDGE_ROWS = 1_000_000
+
 _DIGIT_BITS = 16
 _KEY_BITS = 64
+_SIGN = -(1 << 63)
 
 
 class ProfilingLoad(NamedTuple):
@@ -66,9 +72,27 @@ def _cut(keyed: DataFrame, keys: list[str], n: int) -> _Cut | None:
             below, at = below | (at & (digit < first["digit"])), at & (digit == first["digit"])
             if done + first["held"] == n:
                 return _Cut(below | at, None, 0)
+            if first["held"] <= EDGE_ROWS:
+                return _edge(keyed, keys, below, at, n - done)
     return _Cut(below, at, n - done)
 
 
+def _edge(keyed: DataFrame, keys: list[str], below: Column, at: Column, n: int) -> _Cut:
+    """The cut after the n smallest keys of the rows ``at``, besides all rows ``below``."""
+    # Keys are compared without sign, as their ranges are.
+    order = [F.col(k).bitwiseXOR(F.lit(_SIGN)) for k in keys]
+    held = keyed.where(at).groupBy(*keys).agg(F.count("*").alias("held"))
+    upto = held.withColumn("upto", F.sum("held").over(Window.orderBy(*order)))
+    last = upto.where(F.col("upto") >= n).orderBy(*order).first()
+    smaller, same = F.lit(False), F.lit(True)
+    for key, place in zip(keys, order):
+        smaller = smaller | (same & (place < F.lit(last[key] ^ _SIGN)))
+        same = same & (F.col(key) == F.lit(last[key]))
+    if last["upto"] == n:
+        return _Cut(below | (at & (smaller | same)), None, 0)
+    return _Cut(below | (at & smaller), at & same, n - (last["upto"] - last["held"]))
+
+
 def uniform_sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows, or all if there are fewer; every row equally likely.
 

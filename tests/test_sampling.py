@@ -2,8 +2,10 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 import tablecheck as tc
+from tablecheck.operators import sampling
 from tablecheck.operators.sampling import sample_percent
 
 
@@ -95,3 +97,17 @@ def test_sample_percent():
     assert sample_percent(50_000, 10_000_000) == pytest.approx(0.75)
     assert sample_percent(1, 10**12) == 0.000001
     assert sample_percent(900, 1000) == 100.0
+
+
+@pytest.mark.parametrize("edge_rows, jobs", [(1_000_000, 2), (2, None)])
+@pytest.mark.parametrize("n", [1, 77, 1500, 2999])
+def test_hash_samples_are_the_smallest_keys_in_two_jobs(spark, monkeypatch, edge_rows, jobs, n):
+    monkeypatch.setattr(sampling, "EDGE_ROWS", edge_rows)
+    run, first = [], DataFrame.first
+    monkeypatch.setattr(DataFrame, "first", lambda df: run.append(1) or first(df))
+    df = spark.range(0, 3000, 1, 4).selectExpr("if(id % 3 = 0, -1, id) AS id", "id % 5 AS part")
+    sample = tc.hash_sample(df, n, seed=4, key=["id"])
+    assert jobs is None or len(run) <= jobs
+    hashed = df.select(F.xxhash64(F.lit(4), "id"), F.xxhash64(F.lit(5), "id", "part"), "id", "part").collect()
+    want = sorted(tuple(k)[2:] for k in sorted(hashed, key=lambda k: [x % (1 << 64) for x in k[:2]])[:n])
+    assert sorted(map(tuple, sample.collect())) == want

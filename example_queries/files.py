@@ -1,4 +1,4 @@
-"""Files: tables written in other formats and read back."""
+"""Files: tables written in other formats and read back, and what Parquet footers say of tables."""
 
 from __future__ import annotations
 
@@ -29,3 +29,24 @@ def csv_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
     found = tc.load_csv_ranges(spark, as_csv(documents, "csv"), "doc_id bigint, text string, lang string")
     return found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
+
+
+ORDERS_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+
+
+def statistics_sql(columns: list[str], extremes: list[str]) -> str:
+    def ends(name: str) -> str:
+        ends = (f"{f}({name})::VARCHAR" if name in extremes else "CAST(NULL AS VARCHAR)" for f in ("min", "max"))
+        return "{} AS min_value, {} AS max_value".format(*ends)
+
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS column_name, count(*)::BIGINT AS row_count,"
+        f" (count(*) - count({name}))::BIGINT AS null_count, {ends(name)} FROM orders"
+        for name in columns
+    )
+
+
+@query("footer_statistics", statistics_sql(ORDERS_COLUMNS, ["o_orderkey", "o_custkey"]))
+def footer_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, nulls and extremes of the orders, without reading a column."""
+    return tc.footer_statistics(spark, f"{sf_dir}/orders.parquet", ORDERS_COLUMNS)

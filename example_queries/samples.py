@@ -54,6 +54,12 @@ def profiling_load_unknown_size(spark, sf_dir):
     return described(load.df, lineitem, load.sampled)
 
 
+@query("profiling_load_files", drawn_sql(1000, "count(*) > 1000"))
+def profiling_load_files(spark, sf_dir):
+    load = tc.load_file_profiling(spark, f"{sf_dir}/lineitem.parquet", max_rows=1000)
+    return described(load.df, table(spark, sf_dir, "lineitem"), load.sampled)
+
+
 @query("profiling_load_whole", drawn_sql(10_000_000, "false"))
 def profiling_load_whole(spark, sf_dir):
     lineitem = table(spark, sf_dir, "lineitem")

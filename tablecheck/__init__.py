@@ -45,6 +45,7 @@ from tablecheck.plans.suggest import draft_contract, suggest_rules
 from tablecheck.plans.violations import violating_rows
 from tablecheck.sources.csv_ranges import load_csv_ranges
 from tablecheck.sources.files import load_csv, load_parquet, load_table
+from tablecheck.sources.footers import estimate_file_rows, footer_statistics, load_file_profiling
 from tablecheck.sources.jdbc import estimate_row_count, load_jdbc, load_profiling
 from tablecheck.sources.tables import estimate_table_rows, load_table_profiling
 

@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tablecheck.llm import sharding
 from llm_fixtures import awkward, documents  # noqa: F401
 
@@ -46,6 +48,31 @@ def test_empty_table(documents):
     assert sharding.shuffled_shards(documents([])).count() == 0
 
 
+def test_rows_that_repeat_id_and_text_are_split(spark, documents, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_BUCKETS", 1)
+    rows = [(1, "once more " * 5, "en", "s")] * 6000 + [(1, "once more " * 5, "de", "s")] * 3000
+    rows += [(i, f"text {i} " * 5, "en", "s") for i in range(3000)] + [(None, None, "en", "s")] * 3000
+    df = documents(rows)
+    check(df, rows, bucket_bytes=20_000)
+    files = sharding.shuffled_shards(df, bucket_bytes=20_000).groupBy(F.input_file_name()).agg(F.count("*").alias("n"))
+    held = [r["n"] for r in files.collect()]
+    assert len(held) >= 4 and max(held) < 15000 / 3
+    assert spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold") == "128"
+
+
+def test_only_one_repeated_row(documents):
+    rows = [(7, "the same", "en", "s")] * 1000
+    check(documents(rows), rows, bucket_bytes=500)
+    check(documents(rows), rows)
+
+
+def test_fewer_partitions_than_buckets(documents, monkeypatch):
+    rows = [(i, f"text {i}", "en", "s") for i in range(3000)]
+    monkeypatch.setattr(sharding, "PART_BUCKETS", 5)
+    one, two = (sorted((r["shard"], r["slot"], r["record"]["doc_id"]) for r in check(documents(rows), rows, bucket_bytes=300)) for _ in "ab")
+    assert one == two
+
+
 def test_query(spark):
     rows = sharding.op7_sharding(spark, "/root/testdata/sf0.001")
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}

@@ -68,7 +68,7 @@ def test_empty_tables(spark, rng):
 def test_blocks_below_the_bound_are_not_scored(rng):
     import numpy as np
 
-    ids, rows = np.arange(100), np.zeros((100, 2))
+    ids, rows = np.arange(100), np.zeros((100, 2), dtype=np.int64)
     rows[:10] = 1000
     blocks = topk_search.Blocks(ids, rows, 10)
     seen = []
@@ -80,5 +80,50 @@ def test_blocks_below_the_bound_are_not_scored(rng):
             return super().__getitem__(key)
 
     blocks.ids = ids.view(Watched)
-    found, best = blocks.search(np.array([-1]), np.array([[1.0, 1.0]]), 10)
+    found, best = blocks.search(np.array([-1]), np.array([[1, 1]]), 10)
     assert seen == [0] and sorted(found[0]) == list(range(10)) and set(best[0]) == {2000}
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    rows = [(1, [200000000.0, 1.0]), (2, [200000000.0, 3.0]), (3, [-200000000.0, 1.0]), (4, [200000000.0, 2.0])]
+    assert search(spark, rows, rows, scale=1) == [
+        (i, rank, j, -s)
+        for i, (x, y) in rows
+        for rank, (s, j) in enumerate(sorted((-(int(x) * int(a) + int(y) * int(b)), j) for j, (a, b) in rows if j != i), 1)
+    ]
+
+
+def test_scores_beyond_64_bits_raise():
+    import numpy as np
+    import pytest
+
+    big = np.array([[3_000_000_000, 1], [3_000_000_000, 2]])
+    with pytest.raises(OverflowError, match="smaller scale"):
+        topk_search.Blocks(np.arange(2), big, 2).search(np.array([0]), big[:1], 1)
+
+
+def test_alike_rows_are_mostly_pruned_and_random_ones_are_not(rng):
+    import numpy as np
+
+    random = np.random.default_rng(5)
+    centres = random.normal(size=(40, 16)) * 1024
+    near = (centres[random.integers(0, 40, 4000)] + random.normal(size=(4000, 16)) * 30).astype(np.int64)
+    far = (random.normal(size=(4000, 16)) * 1024).astype(np.int64)
+    for rows, low, high in ((near, 0.01, 0.2), (far, 0.2, 1.0)):
+        blocks = topk_search.Blocks(np.arange(4000), rows, 64)
+        found, best = blocks.search(np.arange(0, 4000, 40), rows[::40], 10)
+        scores = rows[::40] @ rows.T
+        scores[np.arange(100), np.arange(0, 4000, 40)] = topk_search.NONE
+        order = np.lexsort((np.broadcast_to(np.arange(4000), scores.shape), ~scores), axis=1)[:, :10]
+        assert (found == order).all() and (best == np.take_along_axis(scores, order, axis=1)).all()
+        assert low <= blocks.scored / (100 * len(blocks.radius)) <= high
+
+
+def test_floors_keep_ties(rng):
+    import numpy as np
+
+    rows = np.array([[5], [4], [4], [3], [4]])
+    found, best = topk_search.Blocks(np.arange(5), rows, 2).search(np.array([-1]), np.array([[1]]), 4, np.array([4]))
+    assert found.tolist() == [[0, 1, 2, 4]] and best.tolist() == [[5, 4, 4, 4]]
+    found, best = topk_search.Blocks(np.arange(5), rows, 2).search(np.array([-1]), np.array([[1]]), 2, np.array([5]))
+    assert found.tolist() == [[0, -1]] and best.tolist() == [[5, topk_search.NONE]]

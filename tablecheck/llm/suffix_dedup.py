@@ -4,24 +4,24 @@ A byte goes if a string of ``window`` bytes that covers it also starts in a docu
 id. Documents are read once into blocks of whole documents, which are cut into shards of bounded
 size (a long document into several, overlapping by ``window - 1`` bytes). Each shard gets
 
-* its suffix array, by Larsson and Sadakane's refinement: suffixes sorted by a few bytes, then only
-  the groups that are still tied by the rank of what follows, which doubles the depth each time,
-  until none is tied (the next rule holds in the full order only);
-* common prefixes of neighbours, by Kasai's rule that the next suffix of the text loses at most
-  one byte, for many stretches of the text at once.
+* its suffixes in order of their first ``window`` bytes, by Larsson and Sadakane's refinement: sorted
+  by a few bytes, then only the groups that are still tied by the rank of what follows, which
+  doubles the depth each time until it is ``window``. What is tied then is one string.
 
-Neighbours with ``window`` bytes in common are one string. Within the shard all but those of the
-smallest id go, and one of these leads: only leads are compared with other shards. So a passage in
-a third of all documents is one entry per shard.
+Within the shard all windows of a string but those of the smallest id go, and one of these leads:
+only leads are compared with other shards. So a passage in a third of all documents is one entry per
+shard.
 
 Leads travel in fragments. The anchor of a window is the place in it whose 16 bytes have the
 smallest hash, so equal windows have equal anchors at equal places, and neighbouring windows
-mostly share one. Anchors are in suffix order: each shard cuts its own at splitters by binary
-search, and a task gets the runs of all shards between two splitters and merges them by binary
-search. Anchors that several blocks have are sent again with fragments, the text around them with a
-mask of the leads in it, about four bytes for each lead, and their windows are compared by all their
-bytes. Splitters are quantiles of the anchors of at most ``SAMPLE_BLOCKS`` blocks; an anchor that fills
-several ranges by itself is hot, and its windows are dealt to these ranges by their hash.
+mostly share one. Equal windows also share what stands beside the anchor, either ``half`` bytes ahead
+of it or as many behind, so each block first sends two keys of an anchor, one of each side: sorted
+runs of a few bits each, which a task merges to find the keys that several blocks have. A key that
+meets another by chance costs time only. Of the windows on a side with such a key, fragments are
+sent, the text around the anchor with a mask of the leads in it, and compared by all their bytes.
+Fragments are dealt to parts by splitters, which are quantiles of the anchors of at most
+``SAMPLE_BLOCKS`` blocks; an anchor that fills several ranges by itself is hot, and its windows are
+dealt to these ranges by their hash.
 
 Defined results: a null text has no bytes; ids that are null are one id larger than all others;
 rows that repeat an id are one document and never remove each other's bytes. Matches never cross
@@ -51,11 +51,14 @@ SHARD_BYTES, BITS = 1_500_000, 21
 MOST_FIRST = 16
 LANE = 256
 PART_BYTES = 8 << 20
+# Bits of a key beside its part, and bytes of a key and of a fragment, about.
+KEY_BITS, KEY_BYTES, FRAGMENT_BYTES = 28, 4, 80
 SAMPLE_BLOCKS, SAMPLE_ANCHORS, MOST_RANGES = 256, 1024, 4096
 
-BLOCKS = "block long, ids binary, none binary, counts binary, text binary, leads binary, gone binary, twins binary, n_leads long"
+BLOCKS = "block long, ids binary, none binary, counts binary, text binary, leads binary, anchors binary, gone binary, twins binary, n_anchors long"
+KEYS = "part long, block long, upper binary, lower binary"
 ENTRIES = "part long, block long, entries binary"
-SHARED = "part long, block long, shared binary"
+SHARED = "part long, block long, shared binary, n_shared long"
 ANSWERS = "block long, found binary"
 RESULT = "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
@@ -83,45 +86,73 @@ def _words(text: np.ndarray, past: int = 80) -> np.ndarray:
     return np.ascontiguousarray(np.ndarray(len(text) + past, dtype="<u8", buffer=padded, strides=(1,)))
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Starts of suffixes in order; where one ends it is the smaller one."""
+def _letters(text: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Numbers, in order, of the few bytes from each place on; how many bytes and bits these take."""
+    used = np.flatnonzero(np.bincount(text, minlength=256))
+    code = np.zeros(256, dtype=np.uint32)
+    code[used] = np.arange(len(used), dtype=np.uint32)
+    bits = max(1, (len(used) - 1).bit_length()) if len(used) else 1
+    width = min(3, BITS // bits)
+    single = np.concatenate([code[text], np.zeros(MOST_FIRST + width, dtype=np.uint32)])
+    n = len(text) + MOST_FIRST
+    several = np.zeros(n, dtype=np.uint32)
+    for i in range(width):
+        several <<= np.uint32(bits)
+        several |= single[i : i + n]
+    # Most strings of letters do not occur, so those that do take fewer bits.
+    occurs = np.zeros(1 << (bits * width), dtype=bool)
+    occurs[several] = True
+    numbers = np.cumsum(occurs, dtype=np.uint32) - np.uint32(1)
+    return numbers[several].astype(np.uint64), width, max(1, int(numbers[-1]).bit_length())
+
+
+def sorted_suffixes(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of suffixes in order of their first ``depth`` bytes, or of all; and which differ in these from the one ahead.
+
+    Where a suffix ends it is the smaller one; within ``depth`` bytes of the end of the text some may be tied with longer ones.
+    """
     n = len(text)
     if n + MOST_FIRST >= 1 << BITS:
         raise ValueError(f"a shard has less than {(1 << BITS) - MOST_FIRST} bytes")
-    # As many bytes as fit beside the place, in as many bits as the letters of this text need.
-    used = np.flatnonzero(np.bincount(text, minlength=256))
-    code = np.zeros(256, dtype=np.uint64)
-    code[used] = np.arange(len(used), dtype=np.uint64)
-    bits = max(1, (len(used) - 1).bit_length()) if n else 1
-    reached = min((64 - BITS) // bits, MOST_FIRST)
-    padded = np.concatenate([code[text], np.zeros(reached, dtype=np.uint64)])
+    # As many bytes as fit beside the place.
+    numbers, width, bits = _letters(text)
+    steps = min((64 - BITS) // bits, MOST_FIRST // width)
+    reached = steps * width
     key = np.zeros(n, dtype=np.uint64)
-    for i in range(reached):
+    for i in range(0, reached, width):
         key <<= np.uint64(bits)
-        key |= padded[i : i + n]
+        key |= numbers[i : i + n]
     key = np.sort((key << _SHIFT) | np.arange(n, dtype=np.uint64))
     order = (key & _MASK).astype(np.int64)
     # Ranks are places of the first of a group, above those of the ends: the sooner a suffix ends
     # the smaller it is.
     rank = np.zeros(n + reached, dtype=np.uint32)
     rank[n:] = np.arange(reached, 0, -1)
-    at = np.arange(n)
+    at, heads = np.arange(n), np.ones(n, dtype=bool)
     while True:
         upper = key >> _SHIFT
         head = np.ones(len(at), dtype=bool)
         head[1:] = upper[1:] != upper[:-1]
-        first = np.flatnonzero(head)
-        rank[order[at]] = np.repeat(at[first], np.diff(np.append(first, len(at)))) + (MOST_FIRST + 1)
+        heads[at] = head
         tied = ~head
         tied[:-1] |= ~head[1:]
+        if not tied.any() or reached == depth:
+            return order, heads
+        first = np.flatnonzero(head)
+        rank[order[at]] = np.repeat(at[first], np.diff(np.append(first, len(at)))) + (MOST_FIRST + 1)
         at = at[tied]
-        if not len(at):
-            return order
         suffixes = order[at]
-        follows = rank[np.minimum(suffixes + reached, len(rank) - 1)].astype(np.uint64)
+        # At the last step what follows overlaps what has been compared.
+        further = reached if depth is None else min(reached, depth - reached)
+        follows = rank[np.minimum(suffixes + further, len(rank) - 1)].astype(np.uint64)
         key = np.sort((rank[suffixes].astype(np.uint64) << np.uint64(2 * BITS)) | (follows << _SHIFT) | suffixes.astype(np.uint64))
         order[at] = (key & _MASK).astype(np.int64)
-        reached *= 2
+        reached += further
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Starts of suffixes in order; where one ends it is the smaller one."""
+    return sorted_suffixes(text)[0]
 
 
 def common_prefixes(words: np.ndarray, order: np.ndarray, most: int = WINDOW, some: bool = False) -> np.ndarray:
@@ -177,13 +208,15 @@ def own_repeats(text: np.ndarray, doc_rank: np.ndarray, left: np.ndarray, window
 
     ``doc_rank`` and ``left`` hold the rank of the document and the bytes left in it at each place.
     """
-    order = suffix_array(text)
-    string = np.cumsum(common_prefixes(_words(text), order, window, some=True) < window)
-    inside = left[order] >= window
-    order, string = order[inside], string[inside]
+    order, head = sorted_suffixes(text, window)
+    inside = left >= window
+    tied = ~head
+    tied[:-1] |= ~head[1:]
+    order, string = order[tied], np.cumsum(head[tied])
+    order, string = order[inside[order]], string[inside[order]]
     if not len(order):
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none
+        return np.flatnonzero(inside), none, none, none
     first = np.flatnonzero(np.concatenate([[True], string[1:] != string[:-1]]))
     size = np.diff(np.append(first, len(order)))
     least = np.repeat(np.minimum.reduceat(doc_rank[order], first), size)
@@ -192,7 +225,9 @@ def own_repeats(text: np.ndarray, doc_rank: np.ndarray, left: np.ndarray, window
     staying, its_string = order[stays], np.repeat(np.arange(len(first)), size)[stays]
     lead = np.concatenate([[True], its_string[1:] != its_string[:-1]])
     leader = staying[np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))]
-    return np.sort(staying[lead]), order[~stays], staying[~lead], leader[~lead]
+    inside[order] = False
+    inside[staying[lead]] = True
+    return np.flatnonzero(inside), order[~stays], staying[~lead], leader[~lead]
 
 
 def _shards(n: int, window: int) -> Iterator[tuple[int, int]]:
@@ -216,15 +251,19 @@ def _blocked(window: int):
             ends = np.cumsum(counts)
             lead, gone, twins = np.zeros(len(text), dtype=bool), np.zeros(len(text), dtype=bool), []
             for low, high in _shards(len(text), window):
-                doc = np.searchsorted(ends, np.arange(low, high), side="right")
-                found = own_repeats(text[low:high], ranks[doc], np.minimum(ends[doc], high) - np.arange(low, high), window)
+                held = np.maximum(np.minimum(ends, high) - np.maximum(ends - counts, low), 0)
+                left = np.repeat(np.minimum(ends, high), held) - np.arange(low, high)
+                found = own_repeats(text[low:high], np.repeat(ranks, held), left, window)
                 lead[low + found[0]] = True
                 gone[low + found[1]] = True
                 twins.append([low + found[2], low + found[3]])
             twins = [np.concatenate(t).astype("<i8") for t in zip(*twins)]
+            at, first = anchors_of(text, lead, window)
+            anchor = np.zeros(len(text), dtype=bool)
+            anchor[at] = True
             row = (
                 number, ids.tobytes(), none.tobytes(), counts.tobytes(), zstandard.compress(whole, 3), _packed(np.packbits(lead)),
-                _packed(np.packbits(gone)), _packed(*twins), int(lead.sum()),
+                _packed(np.packbits(anchor), (at - first).astype("u1")), _packed(np.packbits(gone)), _packed(*twins), len(at),
             )
             yield pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
             number += 1
@@ -264,27 +303,83 @@ def anchors(text: np.ndarray, window: int) -> np.ndarray:
     return (least & _MASK).astype(np.int64)
 
 
-def fragments(block: np.ndarray, lead: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of all leads of a block, masks of the leads of each, and the 16 bytes, in suffix order.
-
-    Bit i of a mask stands for the window that starts i bytes ahead of the anchor.
-    """
-    at, masks = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+def anchors_of(block: np.ndarray, lead: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchors of all leads of a block, and the first lead of each; both ascend."""
+    at, first = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for low, high in _shards(len(block), window):
         starts = np.flatnonzero(lead[low : min(high, low + SHARD_BYTES)])
         if len(starts):
-            own = anchors(block[low:high], window)[starts]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            bits = np.uint64(1) << (own - starts).astype(np.uint64)
-            at.append(low + own[first])
-            masks.append(np.bitwise_or.reduceat(bits, first))
-    at, masks = np.concatenate(at), np.concatenate(masks)
+            at.append(low + anchors(block[low:high], window)[starts])
+            first.append(low + starts)
+    at, first = np.concatenate(at), np.concatenate(first)
+    changes = np.ones(len(at), dtype=bool)
+    changes[1:] = at[1:] != at[:-1]
+    return at[changes], first[changes]
+
+
+def masks_of(lead: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Masks of the leads of each anchor: bit i stands for the window that starts i bytes ahead of it."""
+    if not len(at):
+        return np.zeros(0, dtype=np.uint64)
+    starts = np.flatnonzero(lead)
+    since = np.searchsorted(starts, first)
+    own = np.repeat(at, np.diff(np.append(since, len(starts))))
+    return np.bitwise_or.reduceat(np.uint64(1) << (own - starts).astype(np.uint64), since)
+
+
+def _unpacked_fragments(n: int, leads: bytes, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of a block in order of their places, and masks of their leads."""
+    bits, ahead = _unpacked(packed, "u1", "u1")
+    at = np.flatnonzero(np.unpackbits(bits, count=n))
+    return at, masks_of(_bits(leads, n), at, at - ahead)
+
+
+def fragments(block: np.ndarray, lead: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of all leads of a block, masks of the leads of each, and the 16 bytes, in suffix order."""
+    at, first = anchors_of(block, lead, window)
+    return _in_suffix_order(block, at, masks_of(lead, at, first))
+
+
+def _in_suffix_order(block: np.ndarray, at: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = _grams(block, at)
     high, low = key.view(">u8").reshape(-1, 2).T
     order = np.lexsort((low, high))
     return at[order], masks[order], key[order]
 
 
+def _sides(masks: np.ndarray, window: int) -> tuple[np.uint64, np.ndarray, np.ndarray]:
+    """Bits of the windows with half of the rest ahead of the anchor; anchors with such windows, and with others."""
+    half = np.uint64((window - GRAM) // 2)
+    behind = (np.uint64(1) << half) - np.uint64(1)
+    return behind, np.flatnonzero(masks & ~behind), np.flatnonzero(masks & behind)
+
+
+def side_keys(text: np.ndarray, at: np.ndarray, masks: np.ndarray, window: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a block, in order, the part above ``KEY_BITS`` bits; and the key of each anchor's sides.
+
+    The window of a set bit holds all bytes of the key of its side.
+    """
+    half = (window - GRAM) // 2
+    _, ahead, behind = _sides(masks, window)
+    words = _words(text)
+    hashes = np.concatenate([
+        _window_hashes(words, at[ahead] - half, GRAM + half), mixed(_window_hashes(words, at[behind], GRAM + half) + _ODD)
+    ])
+    part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return np.unique((part << np.uint64(KEY_BITS)) | (hashes & np.uint64((1 << KEY_BITS) - 1)), return_inverse=True)
+
+
+def shared_masks(masks: np.ndarray, shared: np.ndarray, window: int) -> np.ndarray:
+    """What is left of masks where only some of the sides, in the order of their keys, are shared."""
+    low, ahead, behind = _sides(masks, window)
+    left = np.zeros(len(masks), dtype=np.uint64)
+    which = ahead[shared[: len(ahead)]]
+    left[which] |= masks[which] & ~low
+    which = behind[shared[len(ahead) :]]
+    left[which] |= masks[which] & low
+    return left
+
+
 def _grams(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(text[at[:, None] + np.arange(GRAM)]).view(f"S{GRAM}").ravel()
 
@@ -349,48 +444,68 @@ def _gram_hashes(key: np.ndarray) -> np.ndarray:
     return mixed(first ^ mixed(second))
 
 
-def _anchor_runs(window: int, splitters: np.ndarray, subs: int):
-    """Rows part, block, and the anchors of the block in that part, in suffix order."""
+def _slices(key: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each part of sorted keys with their slice."""
+    part = key >> np.uint64(KEY_BITS)
+    bounds = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    for low, high in zip(bounds, bounds[1:]):
+        if high > low:
+            yield int(part[low]), slice(low, high)
+
+
+def _key_runs(window: int, parts: int):
+    """Rows part, block, and the keys of the block in that part, in order."""
 
     def send(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for number, raw, leads in zip(batch["block"], batch["text"], batch["leads"]):
+            for number, raw, leads, packed in zip(batch["block"], batch["text"], batch["leads"], batch["anchors"]):
                 text = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
-                _, _, key = fragments(text, _bits(leads, len(text)), window)
-                runs = [(part, number, _packed(key[i])) for part, i in _by_part(_anchor_parts(key, splitters, subs))]
-                yield pd.DataFrame(runs, columns=["part", "block", "entries"])
+                key, _ = side_keys(text, *_unpacked_fragments(len(text), leads, packed), window, parts)
+                rest = key & np.uint64((1 << KEY_BITS) - 1)
+                runs = []
+                for part, i in _slices(key):
+                    # The upper bits of a sorted run differ little, and the lower ones cannot be made smaller.
+                    upper = np.diff(rest[i] >> np.uint64(16), prepend=np.uint64(0)).astype("<u2")
+                    runs.append((part, number, _packed(upper), rest[i].astype("<u2").tobytes()))
+                yield pd.DataFrame(runs, columns=["part", "block", "upper", "lower"])
 
     return send
 
 
-def _merge_anchors(rows: pd.DataFrame) -> pd.DataFrame:
-    """The runs of a part to bits, by block, of the anchors that other blocks have too."""
-    runs = [_unpacked(e, f"S{GRAM}")[0] for e in rows["entries"]]
+def _merge_keys(rows: pd.DataFrame) -> pd.DataFrame:
+    """The runs of a part to bits, by block, of the keys that other blocks have too."""
+    runs = []
+    for upper, lower in zip(rows["upper"], rows["lower"]):
+        upper = np.cumsum(_unpacked(upper, "<u2")[0], dtype=np.uint32)
+        runs.append((upper << np.uint32(16)) | np.frombuffer(lower, dtype="<u2"))
     key, of = merged(runs)
     same = key[1:] == key[:-1]
     shared = np.zeros(len(key), dtype=bool)
     shared[of[1:][same]] = True
     shared[of[:-1][same]] = True
-    ends = np.cumsum([len(r) for r in runs])
-    found = [(part, block, np.packbits(bits).tobytes()) for part, block, bits in zip(rows["part"], rows["block"], np.split(shared, ends[:-1])) if bits.any()]
-    return pd.DataFrame(found, columns=["part", "block", "shared"])
+    each = zip(rows["part"], rows["block"], np.split(shared, np.cumsum([len(r) for r in runs])[:-1]))
+    found = [(part, block, np.packbits(bits).tobytes(), int(bits.sum())) for part, block, bits in each if bits.any()]
+    return pd.DataFrame(found, columns=["part", "block", "shared", "n_shared"])
 
 
-def _fragment_runs(window: int, splitters: np.ndarray, subs: int):
-    """Rows part, block, and the fragments of the block in that part."""
+def _fragment_runs(window: int, splitters: np.ndarray, subs: int, parts: int):
+    """Rows part, block, and the fragments of the block in that part; ``parts`` is the number of those of keys."""
 
     def send(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ("block", "ids", "none", "counts", "text", "leads", "anchors")
+        names = ("block", "ids", "none", "counts", "text", "leads", "anchors", "shared")
         for batch in batches:
-            for number, ids, none, counts, raw, leads, answers in zip(*(batch[c] for c in names)):
+            for number, ids, none, counts, raw, leads, packed, answers in zip(*(batch[c] for c in names)):
                 whole = zstandard.decompress(raw)
                 text = np.frombuffer(whole, dtype=np.uint8)
-                at, masks, key = fragments(text, _bits(leads, len(text)), window)
-                bits, shared = {a["part"]: a["shared"] for a in answers}, np.zeros(len(at), dtype=bool)
-                for part, i in _by_part(_anchor_parts(key, splitters, subs)):
+                at, masks = _unpacked_fragments(len(text), leads, packed)
+                key, of = side_keys(text, at, masks, window, parts)
+                bits, shared = {a["part"]: a["shared"] for a in answers}, np.zeros(len(key), dtype=bool)
+                for part, i in _slices(key):
                     if part in bits:
-                        shared[i] = np.unpackbits(np.frombuffer(bits[part], dtype=np.uint8), count=len(i))
-                at, masks, key = at[shared], masks[shared], key[shared]
+                        shared[i] = np.unpackbits(np.frombuffer(bits[part], dtype=np.uint8), count=i.stop - i.start)
+                masks = shared_masks(masks, shared[of], window)
+                at, masks = at[masks > 0], masks[masks > 0]
+                key = _grams(text, at)
                 part, which, mask = _parts(text, at, masks, key, splitters, subs, window)
                 doc = np.searchsorted(np.cumsum(np.frombuffer(counts, dtype=np.int64)), at[which], side="right")
                 ids, none = np.frombuffer(ids, dtype=np.int64)[doc], np.frombuffer(none, dtype=bool)[doc]
@@ -407,9 +522,9 @@ def _fragment_runs(window: int, splitters: np.ndarray, subs: int):
 def _anchor_sample(window: int):
     def sample(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for raw, leads in zip(batch["text"], batch["leads"]):
+            for raw, leads, packed in zip(batch["text"], batch["leads"], batch["anchors"]):
                 text = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
-                _, masks, key = fragments(text, _bits(leads, len(text)), window)
+                _, masks, key = _in_suffix_order(text, *_unpacked_fragments(len(text), leads, packed))
                 # Evenly by the windows of the anchors: these are what fills a part.
                 held = np.cumsum(np.bitwise_count(masks).astype(np.int64))
                 if len(held):
@@ -425,27 +540,17 @@ def splitters_of(blocks: DataFrame, window: int, ranges: int) -> np.ndarray:
     if ranges < 2:
         return np.zeros(0, dtype=f"S{GRAM}")
     chosen = [r[0] for r in blocks.select("block").orderBy(F.xxhash64("block"), "block").limit(SAMPLE_BLOCKS).collect()]
-    few = blocks.where(F.col("block").isin(chosen)).select("text", "leads")
+    few = blocks.where(F.col("block").isin(chosen)).select("text", "leads", "anchors")
     found = np.concatenate([np.frombuffer(bytes(r[0]), dtype=f"S{GRAM}") for r in few.mapInPandas(_anchor_sample(window), "anchors binary").collect()])
     found.sort()
     return found[(np.arange(1, ranges) * len(found)) // ranges]
 
 
 def merged(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted runs as one, by binary search of one run in another; and where each element came from."""
-    ends = np.cumsum([len(r) for r in runs])
-    waiting = [(r, np.arange(e - len(r), e)) for r, e in zip(runs, ends)]
-    while len(waiting) > 1:
-        pairs = []
-        for (a, of_a), (b, of_b) in zip(waiting[::2], waiting[1::2]):
-            to = np.searchsorted(a, b, side="right") + np.arange(len(b))
-            both, of = np.empty(len(a) + len(b), dtype=a.dtype), np.empty(len(a) + len(b), dtype=np.int64)
-            rest = np.ones(len(both), dtype=bool)
-            rest[to] = False
-            both[to], both[rest], of[to], of[rest] = b, a, of_b, of_a
-            pairs.append((both, of))
-        waiting = pairs + ([waiting[-1]] if len(waiting) % 2 else [])
-    return waiting[0]
+    """Sorted runs as one, by a sort that merges runs it finds; and where each element came from."""
+    whole = np.concatenate(runs)
+    of = np.argsort(whole, kind="stable")
+    return whole[of], of
 
 
 def _by_hash(hashes: np.ndarray) -> np.ndarray:
@@ -547,18 +652,17 @@ def without_repeats(
         raise ValueError(f"window must be from {LEAST_WINDOW} to {MOST_WINDOW}")
     slim = docs.select(*plain_id(id_col), F.col(text_col).cast("string").alias("text"))
     blocks = written(slim.mapInPandas(_blocked(window), BLOCKS), "blocks")
-    # A fragment has about four bytes for each of its leads.
-    parts = max(1, math.ceil(4 * (blocks.agg(F.sum("n_leads")).first()[0] or 0) / part_bytes))
+    leading = blocks.where("n_anchors > 0")
+    key_parts = max(1, math.ceil(2 * KEY_BYTES * (blocks.agg(F.sum("n_anchors")).first()[0] or 0) / part_bytes))
+    runs = leading.select("block", "text", "leads", "anchors").mapInPandas(_key_runs(window, key_parts), KEYS)
+    shared = runs.groupBy("part").applyInPandas(_merge_keys, SHARED).groupBy("block")
+    shared = written(shared.agg(F.collect_list(F.struct("part", "shared")).alias("shared"), F.sum("n_shared").alias("n_shared")), "shared")
+
+    parts = max(1, math.ceil(FRAGMENT_BYTES * (shared.agg(F.sum("n_shared")).first()[0] or 0) / part_bytes))
     ranges = min(parts, MOST_RANGES)
-    splitters = splitters_of(blocks, window, ranges)
-
-    subs = math.ceil(parts / ranges)
-    leading = blocks.where("n_leads > 0")
-    runs = leading.select("block", "text", "leads").mapInPandas(_anchor_runs(window, splitters, subs), ENTRIES)
-    anchors_of = runs.groupBy("part").applyInPandas(_merge_anchors, SHARED)
-    anchors_of = written(anchors_of.groupBy("block").agg(F.collect_list(F.struct("part", "shared")).alias("anchors")), "anchors")
-    sent = leading.select("block", "ids", "none", "counts", "text", "leads").join(anchors_of, "block")
-    entries = sent.mapInPandas(_fragment_runs(window, splitters, subs), ENTRIES)
+    splitters, subs = splitters_of(blocks, window, ranges), math.ceil(parts / ranges)
+    sent = leading.select("block", "ids", "none", "counts", "text", "leads", "anchors").join(shared.drop("n_shared"), "block")
+    entries = sent.mapInPandas(_fragment_runs(window, splitters, subs, key_parts), ENTRIES)
     answers = entries.groupBy("part").applyInPandas(_merge_windows(window), ANSWERS)
     answers = written(answers.groupBy("block").agg(F.collect_list("found").alias("found")), "answers")
     rows = blocks.select("block", "ids", "none", "counts", "text", "gone", "twins").join(answers, "block", "left")

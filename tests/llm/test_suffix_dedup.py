@@ -124,6 +124,52 @@ def test_hot_windows_are_dealt_to_parts(rng):
     assert (whole == masks).all()
 
 
+@pytest.mark.parametrize("letters", ["abcdefghij", "ab", "é漢🙂x", "\x00a", "".join(map(chr, range(1, 200)))])
+def test_suffixes_by_their_first_bytes(rng, letters):
+    """Sorted as deep as a window and no deeper: what is tied then is one string."""
+    some = "".join(rng.choice(letters) for _ in range(70))
+    data = "".join(rng.choice((some, some[3:], rng.choice(letters))) for _ in range(200)).encode()
+    text = np.frombuffer(data, dtype=np.uint8)
+    for depth in (24, 50, 64):
+        order, head = suffix_dedup.sorted_suffixes(text, depth)
+        whole = order <= len(data) - depth
+        strings, string = [data[i : i + depth] for i in order[whole]], np.cumsum(head)[whole]
+        assert sorted(order.tolist()) == list(range(len(data))) and strings == sorted(strings)
+        assert [a == b for a, b in zip(strings, strings[1:])] == (string[1:] == string[:-1]).tolist()
+
+
+def _shared_windows(a: bytes, b: bytes, window=50, parts=3):
+    """Starts of the windows of a that are sent after its keys have met those of b."""
+    both = []
+    for data in (a, b):
+        text = np.frombuffer(data, dtype=np.uint8)
+        lead = np.arange(len(text)) + window <= len(text)
+        at, first = suffix_dedup.anchors_of(text, lead, window)
+        masks = suffix_dedup.masks_of(lead, at, first)
+        both.append((at, masks, *suffix_dedup.side_keys(text, at, masks, window, parts)))
+    (at, masks, key, of), (_, _, other, _) = both
+    masks = suffix_dedup.shared_masks(masks, np.isin(key, other)[of], window)
+    own, ahead = suffix_dedup._windows(masks, window)
+    return set((at[own] - ahead).tolist())
+
+
+def test_only_what_may_be_shared_is_sent(rng, monkeypatch):
+    """Anchors that both texts have send nothing where no side of them is in both; no shared window is left out."""
+
+    def noise(n, letters=b"abcdefgh"):
+        return bytes(rng.choices(letters, k=n))
+
+    line = noise(32)
+    assert not _shared_windows(*(b"".join(noise(60, letters) + line for _ in range(20)) for letters in (b"ijkl", b"mnop")))
+    for key_bits in (28, 17, 3):  # few bits: keys also meet by chance
+        monkeypatch.setattr(suffix_dedup, "KEY_BITS", key_bits)
+        for window in (24, 50, 51, 64):
+            passage = noise(window + 20)
+            a, b = (b"".join(noise(30) + passage[rng.randint(0, 12) : rng.randint(len(passage) - 12, len(passage))] for _ in range(9)) for _ in "ab")
+            shared = {i for i in range(len(a) - window + 1) if a[i : i + window] in b}
+            assert shared and shared <= _shared_windows(a, b, window)
+
+
 def test_equal_hashes(documents, rng, monkeypatch):
     """All windows with one hash: all their bytes decide."""
     rows = passages(rng, 40)

@@ -1,16 +1,11 @@
-"""Audit of how far the sources of a language differ in their terms, with late strings.
+"""Audit of how far the sources of a language differ in their terms.
 
-Terms travel as fixed-width digests: every text becomes a sorted array of 64-bit term digests, and
-what is shuffled are rows ``group, digest, occurrences, documents``, summed in the reading tasks
-first, so that a hot source or a very frequent term is one row per task. Only terms that enough
-documents of a language hold are kept. Strings come late, and never with the counts:
-
-* for kept digests, the smallest and the largest string that the texts have for them. Where these
-  differ the digest stands for several terms; it is split, that is counted again by string, and its
-  joint counts are dropped (only digests can be split that are kept: what is too rare as a whole is
-  too rare in parts);
-* for the terms on the top list of a group, candidates on equal values included, whose strings are
-  joined back and decide the order.
+Texts are read once. A task cuts a chunk of them into terms and sorts these by 64-bit hashes with the
+place packed below, so that equal terms of a group meet in the order of their documents. Neighbours
+are compared by all their bytes, and terms that share a hash are sorted by their bytes. What leaves
+the task are rows ``group, term, occurrences, documents``, summed there again before they are
+shuffled, so that a hot source or a very frequent term is one row per task. Only terms that enough
+documents of a language hold are kept.
 
 Shares are integers: ``p = 1 + floor(scale * (count + 1) / (N + V))`` by long division in base
 1000, which holds for counts up to 9e15, and ``f = floor((p - q) ** 2 / q)``.
@@ -27,27 +22,27 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablecheck.llm.common import table, text_of, written
+from tablecheck.llm.hashing import LONG_WORD, chunks, mixed, span_hashes, spans
 
-# What separates terms, and the letters that are lower-cased.
-SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Terms are runs of letters and of bytes beyond ASCII, of which A to Z are lower-cased.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+SEPARATES = np.ones(256, dtype=bool)
+SEPARATES[ord("a") : ord("z") + 1] = SEPARATES[0x80:] = False
 LEAST_DOCUMENTS = 3
 SCALE = 1_000_000_000
 TOP = 200
-DIGEST_BITS = 64
-
-
-def terms_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), SEPARATORS), "")
+HASH_BITS = 64
+CHUNK_BYTES, BATCH_ROWS = 4 << 20, 1 << 16
 
-
-def digest_of(term: Column, bits: int = DIGEST_BITS) -> Column:
-    """A 64-bit hash; fewer bits only to provoke collisions in tests."""
-    digest = F.xxhash64(term)
-    return digest if bits == DIGEST_BITS else F.shiftrightunsigned(digest, 64 - bits)
+COUNTS = "group long, term string, held long, docs long"
 
 
 def share(count: Column, total: Column) -> Column:
@@ -75,71 +70,105 @@ def grouped(docs: DataFrame, lang_col: str, source_col: str) -> tuple[DataFrame,
         seed += 1
 
 
-def tokens(docs: DataFrame, lang_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
-    """``group`` and ``terms`` of each text."""
-    group = F.xxhash64(F.lit(seed), text_of(lang_col), text_of(source_col))
-    return docs.select(group.alias("group"), terms_of(text_of(text_col)).alias("terms"))
-
-
-def digest_counts(texts: DataFrame, bits: int) -> DataFrame:
-    """``group, digest, held, docs``: occurrences and documents of each digest in each group."""
-    digests = F.sort_array(F.transform("terms", lambda t: digest_of(t, bits)))
-    each = texts.select("group", digests.alias("digests")).select("group", "digests", F.posexplode("digests").alias("at", "digest"))
-    # In a sorted array the first of equal digests stands for the document.
-    first = (F.col("at") == 0) | (F.get("digests", F.col("at") - 1) != F.col("digest"))
-    rows = each.select("group", "digest", first.cast("long").alias("first"))
-    return rows.groupBy("group", "digest").agg(F.count("*").alias("held"), F.sum("first").alias("docs"))
+def _same_terms(whole: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Whether each term in this order is the same bytes as the one ahead of it."""
+    words = np.ndarray(len(whole) - 8, dtype="<u8", buffer=whole, strides=(1,))
+    start, size = starts[order], sizes[order]
+    same = size[1:] == size[:-1]
+    at = np.flatnonzero(same)
+    for done in range(0, LONG_WORD, 8):
+        at = at[size[at] > done]
+        if not len(at):
+            return same
+        over = np.maximum(8 - (size[at] - done), 0).astype(np.uint64) * np.uint64(8)
+        equal = (words[start[at] + done] ^ words[start[at + 1] + done]) << over == 0
+        same[at[~equal]] = False
+        at = at[equal]
+    for i in at[size[at] > LONG_WORD].tolist():
+        a, b, n = start[i], start[i + 1], size[i]
+        same[i] = whole[a : a + n].tobytes() == whole[b : b + n].tobytes()
+    return same
+
+
+def counted_terms(groups: np.ndarray, texts: list[bytes], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``group, term, held, docs`` of texts, each of which is a document of a group."""
+    whole = LOWER[np.frombuffer(b" ".join(texts) + b" " * 9, dtype=np.uint8)]
+    starts, ends = spans(SEPARATES[whole])
+    if not len(starts):
+        return
+    sizes = ends - starts
+    doc = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    doc = np.repeat(np.arange(len(texts)), np.diff(doc))
+    group = groups[doc]
+    # The upper bits of the hash, and below them the place.
+    below = np.uint64(max(64 - bits, len(starts).bit_length()))
+    places = (np.uint64(1) << below) - np.uint64(1)
+    hashes = mixed(span_hashes(whole, starts, ends) ^ mixed(group.view(np.uint64)))
+    key = np.sort((hashes & ~places) | np.arange(len(starts), dtype=np.uint64))
+    order, key = (key & places).astype(np.int64), key >> below
+    alike = key[1:] == key[:-1]
+    same = alike & (group[order][1:] == group[order][:-1])
+    at = np.flatnonzero(same)
+    same[at] = _same_terms(whole, starts, sizes, order)[at]
+    if (alike & ~same).any():  # several terms with one hash: sort these by group, bytes and place
+        mixed_up = np.flatnonzero(np.isin(key, key[1:][alike & ~same]))
+        rows = [(k, g, whole[a:b].tobytes(), i) for k, g, a, b, i in zip(*(
+            c.tolist() for c in (key[mixed_up], group[order[mixed_up]], starts[order[mixed_up]], ends[order[mixed_up]], order[mixed_up])
+        ))]
+        order[mixed_up] = [row[3] for row in sorted(rows)]
+        same = alike & (group[order][1:] == group[order][:-1]) & _same_terms(whole, starts, sizes, order)
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    # In the order of places the first of equal terms stands for the document.
+    once = np.concatenate([[True], ~same | (doc[order][1:] != doc[order][:-1])])
+    held, docs = np.diff(np.append(first, len(order))), np.add.reduceat(once.astype(np.int64), first)
+    for low in range(0, len(first), BATCH_ROWS):
+        part = slice(low, low + BATCH_ROWS)
+        which = order[first[part]]
+        offsets = np.concatenate([[0], np.cumsum(sizes[which])])
+        data = whole[np.repeat(starts[which] - offsets[:-1], sizes[which]) + np.arange(offsets[-1])]
+        terms = pa.StringArray.from_buffers(len(which), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+        columns = [pa.array(group[which]), terms, pa.array(held[part]), pa.array(docs[part])]
+        yield pa.RecordBatch.from_arrays(columns, names=["group", "term", "held", "docs"])
+
+
+def _counted(bits: int):
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((g, t) for b in batches for g, t in zip(b.column("group").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()))
+        for chunk in chunks(rows, CHUNK_BYTES):
+            yield from counted_terms(np.array([g for g, _ in chunk], dtype=np.int64), [t for _, t in chunk], bits)
+
+    return count
 
 
 def kept_terms(counts: DataFrame, groups: DataFrame, least: int) -> DataFrame:
-    """``lang`` and the keys of its kept terms, with their occurrences in the language."""
-    rows = counts.join(groups.select("group", "lang"), "group").groupBy("lang", "digest", "term")
+    """``lang`` and its kept terms, with their occurrences in the language."""
+    rows = counts.join(groups.select("group", "lang"), "group").groupBy("lang", "term")
     return rows.agg(F.sum("held").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs")
 
 
-def strings(texts: DataFrame, digests: DataFrame, bits: int) -> DataFrame:
-    """``digest, low, high``: the smallest and the largest term of the given digests."""
-    terms = texts.select(F.explode(F.array_distinct("terms")).alias("term")).distinct()
-    found = terms.withColumn("digest", digest_of(F.col("term"), bits)).join(digests, "digest", "left_semi")
-    return found.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
-
-
-def split_counts(texts: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
-    """Counts by string of the terms whose digest stands for several."""
-    rows = texts.withColumn("text_id", F.monotonically_increasing_id())
-    rows = rows.select("group", "text_id", F.explode("terms").alias("term")).withColumn("digest", digest_of(F.col("term"), bits))
-    rows = rows.join(shared, "digest", "left_semi").groupBy("group", "text_id", "digest", "term").agg(F.count("*").alias("held"))
-    return rows.groupBy("group", "digest", "term").agg(F.sum("held").alias("held"), F.count("*").alias("docs"))
-
-
 def term_counts(
     docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
-    least: int = LEAST_DOCUMENTS, bits: int = DIGEST_BITS,
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Tables of groups, of counts by group and key, of kept keys by language, and of strings.
+    least: int = LEAST_DOCUMENTS, bits: int = HASH_BITS,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables of groups, of counts by group and term, and of kept terms by language.
 
-    A key is ``digest, term``; the term is empty but for digests that were split.
+    Fewer bits of a hash are only to provoke collisions in tests.
     """
     groups, seed = grouped(docs, lang_col, source_col)
-    texts = tokens(docs, lang_col, source_col, text_col, seed)
-    counts = written(digest_counts(texts, bits).withColumn("term", F.lit("")), "term_counts")
-    kept = written(kept_terms(counts, groups, least), "kept_terms")
-    words = written(strings(texts, kept.select("digest").distinct(), bits), "term_strings")
-    shared = words.where("low != high").select("digest")
-    if not shared.isEmpty():
-        parts = split_counts(texts, shared, bits).select("group", "digest", "held", "docs", "term")
-        counts = written(counts.join(shared, "digest", "left_anti").select(*parts.columns).union(parts), "term_counts")
-        kept = written(kept_terms(counts, groups, least), "kept_terms")
-    return groups, counts, kept, words
+    group = F.xxhash64(F.lit(seed), text_of(lang_col), text_of(source_col))
+    counts = docs.select(group.alias("group"), text_of(text_col).alias("text")).mapInArrow(_counted(bits), COUNTS)
+    counts = counts.groupBy("group", "term").agg(F.sum("held").alias("held"), F.sum("docs").alias("docs"))
+    counts = written(counts, "term_counts")
+    return groups, counts, written(kept_terms(counts, groups, least), "kept_terms")
 
 
 def divergence(
     docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
-    least: int = LEAST_DOCUMENTS, top: int = TOP, bits: int = DIGEST_BITS,
+    least: int = LEAST_DOCUMENTS, top: int = TOP, bits: int = HASH_BITS,
 ) -> DataFrame:
     """Rows lang, source, part (``pair`` or ``term``), item, value, rank."""
-    groups, counts, kept, words = term_counts(docs, lang_col, source_col, text_col, least, bits)
-    key = ["lang", "digest", "term"]
+    groups, counts, kept = term_counts(docs, lang_col, source_col, text_col, least, bits)
+    key = ["lang", "term"]
     rows = counts.join(groups, "group").join(kept, key).select(*key, "source", "held", "total")
     rows = written(rows, "group_terms")
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("n_lang"))
@@ -152,12 +181,12 @@ def divergence(
 
     shared = rows.join(groups.select("lang", "source", "n", "v", "n_lang", "none"), ["lang", "source"])
     shared = shared.withColumn("p", share(F.col("held"), F.col("n") + F.col("v")))
-    return _pairs(shared, groups).unionByName(_terms(shared, words, top))
+    return _pairs(shared, groups).unionByName(_terms(shared, top))
 
 
 def _pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Each source against each other of its language."""
-    sides = rows.groupBy("lang", "digest", "term").agg(F.collect_list(F.struct("source", "p", "none")).alias("of"))
+    sides = rows.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "none")).alias("of"))
     both = sides.where(F.size("of") > 1).select("lang", "of", F.explode("of").alias("a")).select("lang", "a", F.explode("of").alias("b"))
     both = both.where("a.source != b.source")
     # What both have, less what the sums over each alone count for these terms.
@@ -186,18 +215,13 @@ def _pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
     ).withColumn("rank", F.row_number().over(order))
 
 
-def _terms(rows: DataFrame, words: DataFrame, top: int) -> DataFrame:
+def _terms(rows: DataFrame, top: int) -> DataFrame:
     """The terms that each group has most too many of."""
     q = share(F.col("total"), F.col("n_lang") + F.col("v"))
     more = rows.withColumn("q", q).where("p > q")
-    more = more.select("lang", "source", "digest", "term", distance(F.col("p"), F.col("q")).alias("value"))
-    group = Window.partitionBy("lang", "source")
-    # By digests first, with all that is level with the last place; strings decide among these.
-    listed = more.withColumn("place", F.rank().over(group.orderBy(F.desc("value")))).where(F.col("place") <= top).drop("place")
-    named = listed.join(words.select("digest", "low"), "digest")
-    item = F.when(F.col("term") == "", F.col("low")).otherwise(F.col("term"))
-    named = named.select("lang", "source", F.lit("term").alias("part"), item.alias("item"), "value")
-    return named.withColumn("rank", F.row_number().over(group.orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
+    more = more.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    return more.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,20 +22,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word of all texts in order, and the words before each text.
-
-    A word is taken eight bytes at a time, and each part goes through a full mix with what came
-    before; so words of equal length up to eight bytes never share a hash, and others by chance only.
-    """
-    whole = np.frombuffer(b" ".join(texts) + b" " * 9, dtype=np.uint8)
-    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
-    space = _SPACE[whole]
+def spans(space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of other bytes start and end, in bytes of which the last is a space."""
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edges = np.concatenate([[0], edges])
     starts, ends = edges[0::2], edges[1::2]
-    starts = starts[: len(ends)]
+    return starts[: len(ends)], ends
+
+
+def span_hashes(whole: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; at least eight bytes follow the last one."""
     hashes = mixed(_KEY ^ (ends - starts).astype(np.uint64))
     at = np.ndarray(len(whole) - 8, dtype="<u8", buffer=whole, strides=(1,))
     short = np.flatnonzero(ends - starts <= LONG_WORD)
@@ -51,7 +48,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for i in np.flatnonzero(ends - starts > LONG_WORD):
         word = whole[starts[i] : ends[i]].tobytes()
         hashes[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    return hashes, np.searchsorted(starts, bounds)
+    return hashes
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of all texts in order, and the words before each text.
+
+    A word is taken eight bytes at a time, and each part goes through a full mix with what came
+    before; so words of equal length up to eight bytes never share a hash, and others by chance only.
+    """
+    whole = np.frombuffer(b" ".join(texts) + b" " * 9, dtype=np.uint8)
+    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    starts, ends = spans(_SPACE[whole])
+    return span_hashes(whole, starts, ends), np.searchsorted(starts, bounds)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:

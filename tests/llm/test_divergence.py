@@ -1,6 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tablecheck.llm import divergence
@@ -60,6 +61,35 @@ def test_collisions_are_split(documents, rows):
     assert found(documents(rows), bits=6, least=1, top=3) == expected(rows, 1, 3)
 
 
+def test_texts_are_read_once(spark, documents, rows):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(text):
+        seen.add(1)
+        return text
+
+    df = documents(rows).withColumn("text", F.udf(same, "string")("text"))
+    assert found(df) == expected(rows) and seen.value == len(rows)
+
+
+@pytest.mark.parametrize("bits", [64, 6, 1])
+def test_terms_of_all_lengths(rng, bits):
+    """Terms of one to three parts of a hash and beyond, that differ in their last byte; none runs across texts."""
+    terms = [letter * n + end for n in (0, 1, 6, 7, 8, 15, 16, 127, 128, 129, 300) for letter in "aé" for end in "xyZ"]
+    texts = ["".join(rng.choice(terms) + rng.choice(["", " ", "-7\x00"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    groups = np.array([rng.choice([-(2**63), -1, 5]) for _ in texts])
+    held, docs = Counter(), Counter()
+    for group, text in zip(groups.tolist(), texts):
+        own = Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate(LETTERS)))
+        held.update({(group, t): n for t, n in own.items()})
+        docs.update({(group, t): 1 for t in own})
+    got = [tuple(r.values()) for b in divergence.counted_terms(groups, [t.encode() for t in texts], bits) for r in b.to_pylist()]
+    assert sorted(got) == sorted((*k, n, docs[k]) for k, n in held.items())
+    assert not list(divergence.counted_terms(groups[:2], [b"", b"1 2"], bits))
+
+
 def test_ties_at_the_last_place(documents):
     rows = [(i, "ab cd ef gh ij kl", "en", "a") for i in range(3)] + [(i, "zz", "en", "b") for i in range(5, 9)]
     got = found(documents(rows), top=4)
